@@ -139,6 +139,7 @@ def exact_groups(docs: DataFrame, bits: int = 128) -> DataFrame:
     first = F.struct(F.col("points"), F.coalesce(-F.col("doc_id"), F.lit(-(2**63))).alias("i"))
     groups = rows.groupBy("recipe").agg(F.count("*").alias("group_size"), F.max(first).alias("best")).where("group_size > 1")
     groups = groups.select(F.col("recipe").alias("_r"), "group_size", F.when(F.col("best.i") != -(2**63), -F.col("best.i")).alias("best_id"))
+    groups = materialize(groups, "recipe-groups")  # both sides of the join are then plain exchanges, whose hot partitions are split
     got = rows.join(groups, F.col("recipe") == F.col("_r"), "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("best_id"))
     return got.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
