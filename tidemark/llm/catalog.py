@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, packing, records, sharding
 
 
 def queries():
     return {
         "op1_mix_sources": mixing.query,
         "op3_exact_dedup": exact_dedup.query,
+        "op6_pack_windows": packing.query,
         "op8_sharding": sharding.query,
+        "op9_token_records": records.query,
     }
 
 
