@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, records, sharding
+import corpus_pipeline
+
+from . import embeddings, exact_dedup, hpylm, jaccard, langid, mixing, packing, pii, records, sharding
+from .common import reachable
+
+_QUERIES = {
+    "op1_mix_sources": mixing.query,
+    "op2_pii": pii.query,
+    "op3_exact_dedup": exact_dedup.query,
+    "op4_embedding_near_dedup": embeddings.query,
+    "op5_hpylm_scores": hpylm.query,
+    "op6_pack_windows": packing.query,
+    "op7_language_id": langid.query,
+    "op8_sharding": sharding.query,
+    "op9_token_records": records.query,
+    "op10_jaccard_join": jaccard.query,
+    "pipeline": corpus_pipeline.run,
+}
+
+
+def _ready(query):
+    def run(spark, sf_dir):
+        reachable(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries():
-    return {
-        "op1_mix_sources": mixing.query,
-        "op3_exact_dedup": exact_dedup.query,
-        "op6_pack_windows": packing.query,
-        "op8_sharding": sharding.query,
-        "op9_token_records": records.query,
-    }
+    return {name: _ready(q) for name, q in _QUERIES.items()}
 
 
 def oracle_sql():

@@ -85,3 +85,27 @@ def doc_texts(docs: DataFrame) -> DataFrame:
 def in_fold(doc_id: Column, fold: int) -> Column:
     """crc32 of doc_id as text, mod 5, equals fold (null doc_id: empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == fold
+
+
+def filesystem(uri: str):
+    """(pyarrow file system, path) of a folder that all executors share, by its scheme."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if ":/" in uri else f"file://{uri}")
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a materialized table that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import this package when only the driver's sys.path has it."""
+    from pathlib import Path
+
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH", ""), root) if x)

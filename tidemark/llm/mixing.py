@@ -96,5 +96,13 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: in
     return d.select("doc_id", "source", "size", F.col("_sz").cast("long").alias("source_size"), F.col("_tg").alias("target"), copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
+def repeat_documents(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, with all their columns."""
+    copies = mix_documents(docs, **how).where("copies > 0").groupBy("doc_id", "source").agg(F.max("copies").alias("_copies"))
+    copies = copies.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "_copies")
+    got = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")))
+    return got.withColumn("_k", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return mix_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "copies")
