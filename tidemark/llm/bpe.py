@@ -32,6 +32,9 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        # a piece's first token is the only one of its tokens that starts with a space
+        self.lead = np.zeros(self.tok.get_vocab_size(), bool)
+        self.lead[[i for t, i in self.tok.get_vocab().items() if t.startswith("\u0120")]] = True
         self.dtype = np.uint16 if self.tok.get_vocab_size() <= 65536 else np.uint32
         self.clear()
 
@@ -43,17 +46,32 @@ class Encoder:
         run = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         return [e.ids for e in run(texts, add_special_tokens=False)]
 
+    def _pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ' ' + word for each word one after another, and how many each has: long strings of many words."""
+        flat, counts = [], []
+        chunks = [words[i : i + 1000] for i in range(0, len(words), 1000)]
+        for chunk, ids in zip(chunks, self._batch([" " + " ".join(c) for c in chunks])):
+            ids = np.array(ids, self.dtype)
+            at = np.flatnonzero(self.lead[ids])
+            if len(at) != len(chunk):  # a tokenizer of another kind: word by word
+                apart = self._batch([" " + w for w in chunk])
+                ids = np.fromiter(chain.from_iterable(apart), self.dtype)
+                at = np.cumsum([0] + [len(i) for i in apart])[:-1]
+            flat.append(ids)
+            counts.append(np.diff(at, append=len(ids)))
+        return np.concatenate(flat), np.concatenate(counts)
+
     def _rows(self, words: list[str]) -> np.ndarray:
         """Row in the table of kept pieces of ' ' + word, for each of the distinct words."""
         if len(self.at) + len(words) > KEEP:
             self.clear()
         new = [w for w in words if w not in self.at]
         if new:
-            ids = self._batch([" " + w for w in new])
+            ids, counts = self._pieces(new)
             n = len(self.at)
             self.at.update(zip(new, range(n, n + len(new))))
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), self.dtype)])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(i) for i in ids], dtype=np.int64)])
+            self.flat = np.concatenate([self.flat, ids])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
         at = self.at
         return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
 
