@@ -21,7 +21,11 @@ A2 = {2: 1.880, 3: 1.023, 4: 0.729, 5: 0.577, 6: 0.483, 7: 0.419, 8: 0.373, 9: 0
 D3 = {2: 0.0, 3: 0.0, 4: 0.0, 5: 0.0, 6: 0.0, 7: 0.076, 8: 0.136, 9: 0.184, 10: 0.223}
 D4 = {2: 3.267, 3: 2.574, 4: 2.282, 5: 2.114, 6: 2.004, 7: 1.924, 8: 1.864, 9: 1.816, 10: 1.777}
 
-_ALL = Window.partitionBy()
+
+
+
+def _all():
+    return Window.partitionBy()
 
 
 def _need(df: DataFrame, least: int, bad: Column | None = None, message: str = "invalid input") -> None:
@@ -48,7 +52,7 @@ def individuals(df: DataFrame, value: str, order: str, label: str | None = None,
     d = df.select(F.col(order).alias("_o"), *([label] if label and label != order else []), F.col(value).cast("double").alias("value"))
     label = "_o" if label == order else label
     d = d.withColumn("_mr", F.abs(F.col("value") - F.lag("value").over(Window.orderBy("_o"))))
-    d = d.withColumns({"center": F.avg("value").over(_ALL), "sigma": F.avg("_mr").over(_ALL) / D2[2]})
+    d = d.withColumns({"center": F.avg("value").over(_all()), "sigma": F.avg("_mr").over(_all()) / D2[2]})
     return _finish(d.withColumns({"lcl": F.col("center") - 3 * F.col("sigma"), "ucl": F.col("center") + 3 * F.col("sigma")}), rules, label)
 
 
@@ -58,7 +62,7 @@ def moving_range(df: DataFrame, value: str, order: str, label: str | None = None
     d = df.select(F.col(order).alias("_o"), *([label] if label and label != order else []), F.col(value).cast("double").alias("_v"))
     label = "_o" if label == order else label
     d = d.withColumn("value", F.abs(F.col("_v") - F.lag("_v").over(Window.orderBy("_o")))).where("value IS NOT NULL")
-    d = d.withColumn("center", F.avg("value").over(_ALL))
+    d = d.withColumn("center", F.avg("value").over(_all()))
     d = d.withColumns({"ucl": D4[2] * F.col("center"), "lcl": F.greatest(F.lit(0.0), D3[2] * F.col("center")), "sigma": F.col("center") * D3_CONST[2] / D2[2]})
     return _finish(d, [1], label)
 
@@ -70,7 +74,7 @@ def xbar_r(df: DataFrame, value: str, subgroup: str, rules=None) -> DataFrame:
     if low is None or low != high or low not in D2:
         raise ValueError("subgroups must all have one size from 2 to 10")
     _need(g, 2)
-    g = g.withColumns({"center": F.avg("value").over(_ALL), "_r": F.avg("range").over(_ALL)})
+    g = g.withColumns({"center": F.avg("value").over(_all()), "_r": F.avg("range").over(_all())})
     g = g.withColumns({"ucl": F.col("center") + A2[low] * F.col("_r"), "lcl": F.col("center") - A2[low] * F.col("_r"), "sigma": F.col("_r") / D2[low] / float(low) ** 0.5})
     return _finish(g, rules, "_o")
 
@@ -80,7 +84,7 @@ def p_chart(df: DataFrame, count: str, size: str, order: str, label: str | None
     _need(df, 2, (F.col(size) <= 0) | (F.col(count) < 0) | (F.col(count) > F.col(size)), "counts must lie in 0..size and sizes be positive")
     d = df.select(F.col(order).alias("_o"), *([label] if label and label != order else []), F.col(count).cast("double").alias("_c"), F.col(size).cast("double").alias("_n"))
     label = "_o" if label == order else label
-    d = d.withColumns({"value": F.col("_c") / F.col("_n"), "center": F.sum("_c").over(_ALL) / F.sum("_n").over(_ALL)})
+    d = d.withColumns({"value": F.col("_c") / F.col("_n"), "center": F.sum("_c").over(_all()) / F.sum("_n").over(_all())})
     d = d.withColumn("sigma", F.sqrt(F.col("center") * (1 - F.col("center")) / F.col("_n")))
     return _finish(d.withColumns({"lcl": F.greatest(F.lit(0.0), F.col("center") - 3 * F.col("sigma")), "ucl": F.least(F.lit(1.0), F.col("center") + 3 * F.col("sigma"))}), rules, label)
 
@@ -95,7 +99,7 @@ def c_chart(df: DataFrame, count: str, order: str, label: str | None = None, rul
     _need(df, 2, F.col(count) < 0, "counts must not be negative")
     d = df.select(F.col(order).alias("_o"), *([label] if label and label != order else []), F.col(count).cast("double").alias("value"))
     label = "_o" if label == order else label
-    d = d.withColumn("center", F.avg("value").over(_ALL)).withColumn("sigma", F.sqrt("center"))
+    d = d.withColumn("center", F.avg("value").over(_all())).withColumn("sigma", F.sqrt("center"))
     return _finish(d.withColumns({"lcl": F.greatest(F.lit(0.0), F.col("center") - 3 * F.col("sigma")), "ucl": F.col("center") + 3 * F.col("sigma")}), rules, label)
 
 
@@ -103,7 +107,7 @@ def u_chart(df: DataFrame, count: str, exposure: str, order: str, label: str | N
     _need(df, 2, (F.col(count) < 0) | (F.col(exposure) <= 0), "counts must not be negative and exposures be positive")
     d = df.select(F.col(order).alias("_o"), *([label] if label and label != order else []), F.col(count).cast("double").alias("_c"), F.col(exposure).cast("double").alias("_e"))
     label = "_o" if label == order else label
-    d = d.withColumns({"value": F.col("_c") / F.col("_e"), "center": F.sum("_c").over(_ALL) / F.sum("_e").over(_ALL)})
+    d = d.withColumns({"value": F.col("_c") / F.col("_e"), "center": F.sum("_c").over(_all()) / F.sum("_e").over(_all())})
     d = d.withColumn("sigma", F.sqrt(F.col("center") / F.col("_e")))
     return _finish(d.withColumns({"lcl": F.greatest(F.lit(0.0), F.col("center") - 3 * F.col("sigma")), "ucl": F.col("center") + 3 * F.col("sigma")}), rules, label)
 
