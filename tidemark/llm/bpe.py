@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEEP = 1_000_000
+KEEP = 1_500_000
 _state: dict = {}
 
 
@@ -39,7 +39,7 @@ class Encoder:
         self.clear()
 
     def clear(self):
-        self.at: dict[str, int] = {}
+        self.words = pa.array([], pa.string())
         self.flat, self.ends = np.zeros(0, self.dtype), np.zeros(1, np.int64)
 
     def _batch(self, texts: list[str]) -> list:
@@ -61,19 +61,21 @@ class Encoder:
             counts.append(np.diff(at, append=len(ids)))
         return np.concatenate(flat), np.concatenate(counts)
 
-    def _rows(self, words: list[str]) -> np.ndarray:
+    def _rows(self, words: pa.Array) -> np.ndarray:
         """Row in the table of kept pieces of ' ' + word, for each of the distinct words."""
-        if len(self.at) + len(words) > KEEP:
+        if len(self.words) + len(words) > KEEP:
             self.clear()
-        new = [w for w in words if w not in self.at]
-        if new:
-            ids, counts = self._pieces(new)
-            n = len(self.at)
-            self.at.update(zip(new, range(n, n + len(new))))
+        found = pc.index_in(words, value_set=self.words)
+        rows = np.asarray(found.fill_null(-1), np.int64)
+        fresh = np.flatnonzero(rows < 0)
+        if len(fresh):
+            new = words.take(pa.array(fresh))
+            ids, counts = self._pieces(new.to_pylist())
+            rows[fresh] = len(self.words) + np.arange(len(fresh))
+            self.words = pa.concat_arrays([self.words, new])
             self.flat = np.concatenate([self.flat, ids])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
-        at = self.at
-        return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+        return rows
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, `end` after each, and the n + 1 offsets. Null counts as empty."""
@@ -83,25 +85,19 @@ class Encoder:
         split = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
         starts = np.asarray(split.offsets, np.int64)
         coded = split.flatten().dictionary_encode()
-        pieces = self._rows(coded.dictionary.to_pylist())[np.asarray(coded.indices, np.int64)]
-        size = self.ends[pieces + 1] - self.ends[pieces]
-        firsts = starts[:-1]
-        size[firsts] = 0  # no space before a text's first word; those are encoded apart
+        pieces = self._rows(coded.dictionary)[np.asarray(coded.indices, np.int64)]
+        # no space before a text's first word; those are encoded apart, and follow the kept ids for this call
         head = self._batch([t if o else t.split(" ", 1)[0] for t, o in zip(texts.to_pylist(), odd.tolist())])
         head_n = np.fromiter(map(len, head), np.int64, n)
-        piece_sum = np.concatenate([[0], np.cumsum(size)])
-        total = head_n + piece_sum[starts[1:]] - piece_sum[firsts] + 1
-        offsets = np.concatenate([[0], np.cumsum(total)])
-        out = np.empty(offsets[-1], self.dtype)
-        out[offsets[1:] - 1] = end
-        spots = np.repeat(offsets[:-1] - np.concatenate([[0], np.cumsum(head_n)])[:-1], head_n) + np.arange(head_n.sum())
-        out[spots] = np.fromiter(chain.from_iterable(head), self.dtype, int(head_n.sum()))
-        # ids of the pieces: position in the kept table, and in the output
-        doc = np.repeat(np.arange(n), np.diff(starts))
-        to = offsets[doc] + head_n[doc] + piece_sum[:-1] - piece_sum[starts[doc]]
-        ramp = np.arange(piece_sum[-1])
-        out[np.repeat(to - piece_sum[:-1], size) + ramp] = self.flat[np.repeat(self.ends[pieces] - piece_sum[:-1], size) + ramp]
-        return out, offsets
+        flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(head), self.dtype, int(head_n.sum())), np.array([end], self.dtype)])
+        begin, size = self.ends[pieces], self.ends[pieces + 1] - self.ends[pieces]
+        begin[starts[:-1]], size[starts[:-1]] = len(self.flat) + np.cumsum(head_n) - head_n, head_n
+        begin, size = np.insert(begin, starts[1:], len(flat) - 1), np.insert(size, starts[1:], 1)
+        upto = np.concatenate([[0], np.cumsum(size)])
+        kind = np.int32 if max(len(flat), upto[-1]) < 2**31 else np.int64
+        at = np.repeat((begin - upto[:-1]).astype(kind), size)
+        at += np.arange(upto[-1], dtype=kind)
+        return flat[at], upto[np.concatenate([[0], starts[1:] + np.arange(1, n + 1)])]
 
 
 def encoder(path: str) -> Encoder:

@@ -75,15 +75,14 @@ def _weights(n: int) -> np.ndarray:
     return w
 
 
-def crc32c(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """CRC-32C of each row data[offsets[i]:offsets[i + 1]] (bytes)."""
-    size = np.diff(offsets)
+def crc32c(rows: list) -> np.ndarray:
+    """CRC-32C of each row (bytes)."""
+    size = np.fromiter(map(len, rows), np.int64, len(rows))
     blocks = -(-size // _STEP)
-    total = int(blocks.sum())
-    ends = np.cumsum(blocks)
+    total, ends = int(blocks.sum()), np.cumsum(blocks)
     padded = np.zeros(total * _STEP, np.uint8)  # zeros in front leave a sum that starts at 0 as it is
-    shift = ends * _STEP - offsets[1:]
-    padded[np.repeat(shift, size) + np.arange(offsets[0], offsets[-1])] = data[offsets[0] : offsets[-1]]
+    for row, n, end in zip(rows, size.tolist(), (ends * _STEP).tolist()):
+        padded[end - n : end] = np.frombuffer(row, np.uint8)
     words = np.ascontiguousarray(padded.view("<u2").reshape(total, _STEP // 2).T)
     s = np.zeros(total, np.uint32)
     for w in words:
@@ -101,38 +100,26 @@ def masked(crc: np.ndarray) -> np.ndarray:
     return ((crc >> 15) | (crc << 17)) + np.uint32(0xA282EAD8)
 
 
-def _bytes_of(rows: np.ndarray) -> np.ndarray:
-    return rows.view(np.uint8).reshape(len(rows), -1)
+def _sums(rows: list) -> list[bytes]:
+    return [x.tobytes() for x in masked(crc32c(rows)).astype("<u4")]
 
 
-def frame(payload: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Records of the payload rows as one array of bytes, and the records' offsets."""
-    size = np.diff(offsets)
-    n = len(size)
-    lengths = _bytes_of(size.astype("<u8"))
-    head = np.concatenate([lengths, _bytes_of(masked(crc32c(lengths.ravel(), np.arange(n + 1) * 8)).astype("<u4"))], axis=1)
-    tail = _bytes_of(masked(crc32c(payload, offsets)).astype("<u4"))
-    at = np.concatenate([[0], np.cumsum(size + 16)])
-    out = np.empty(at[-1], np.uint8)
-    out[at[:-1, None] + np.arange(12)] = head
-    out[np.repeat(at[:-1] + 12 - offsets[:-1], size) + np.arange(offsets[0], offsets[-1])] = payload[offsets[0] : offsets[-1]]
-    out[at[1:, None] - 4 + np.arange(4)] = tail
-    return out, at
+def frame(payloads: list) -> list[bytes]:
+    """The records of the payloads."""
+    lengths = [len(p).to_bytes(8, "little") for p in payloads]
+    return [b"".join(x) for x in zip(lengths, _sums(lengths), payloads, _sums(payloads))]
 
 
-def unframe(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and size of each record's payload in data; raises if a length or a checksum is wrong."""
-    size, n = np.diff(at) - 16, len(at) - 1
-    head = data[at[:-1, None] + np.arange(12)]
-    lengths = np.ascontiguousarray(head[:, :8])
-    if (lengths.view("<u8").ravel() != size).any() or (np.ascontiguousarray(head[:, 8:]).view("<u4").ravel() != masked(crc32c(lengths.ravel(), np.arange(n + 1) * 8))).any():
+def unframe(data: bytes, at: list[int]) -> list[memoryview]:
+    """Payloads of the records between the offsets; raises if a length or a checksum is wrong."""
+    view = memoryview(data)
+    heads, sums = [view[a : a + 8] for a in at[:-1]], [bytes(view[a + 8 : a + 12]) for a in at[:-1]]
+    if [int.from_bytes(h, "little") for h in heads] != [b - a - 16 for a, b in zip(at[:-1], at[1:])] or sums != _sums(heads):
         raise ValueError("a record's length is damaged")
-    offsets = np.concatenate([[0], np.cumsum(size)])
-    payload = data[np.repeat(at[:-1] + 12 - offsets[:-1], size) + np.arange(offsets[-1])]
-    tail = np.ascontiguousarray(data[at[1:, None] - 4 + np.arange(4)]).view("<u4").ravel()
-    if (tail != masked(crc32c(payload, offsets))).any():
+    payloads = [view[a + 12 : b - 4] for a, b in zip(at[:-1], at[1:])]
+    if [bytes(view[b - 4 : b]) for b in at[1:]] != _sums(payloads):
         raise ValueError("a record's payload is damaged")
-    return payload, offsets
+    return payloads
 
 
 def _fs(uri: str):
@@ -153,20 +140,12 @@ def _writer(folder: str, path: str, end: int):
             for batch in batches:
                 for b in slices(batch, 1):
                     ids, offsets = enc.encode(b.column(1), end)
-                    width = ids.itemsize
-                    null = np.asarray(b.column(0).is_null())
-                    keys = np.asarray(b.column(0).fill_null(0), np.int64)
-                    starts = np.concatenate([[0], np.cumsum(np.diff(offsets) * width + 10)])
-                    payload = np.empty(starts[-1], np.uint8)
-                    payload[starts[:-1, None] + np.arange(8)] = _bytes_of(keys.astype("<i8"))
-                    payload[starts[:-1] + 8] = null
-                    payload[starts[:-1] + 9] = width
-                    size = np.diff(offsets) * width
-                    payload[np.repeat(starts[:-1] + 10 - offsets[:-1] * width, size) + np.arange(offsets[-1] * width)] = ids.astype(ids.dtype.newbyteorder("<")).view(np.uint8)
-                    data, marks = frame(payload, starts)
-                    out.write(data)
-                    index.append(marks[1:] + at)
-                    at, ids_n = at + int(marks[-1]), ids_n + len(ids)
+                    raw, marks = ids.astype(ids.dtype.newbyteorder("<")).tobytes(), (offsets * ids.itemsize).tolist()
+                    payloads = [(k or 0).to_bytes(8, "little", signed=True) + bytes((k is None, ids.itemsize)) + raw[x:y] for k, x, y in zip(b.column(0).to_pylist(), marks[:-1], marks[1:])]
+                    records = frame(payloads)
+                    out.write(b"".join(records))
+                    index.append(at + np.cumsum([len(r) for r in records]))
+                    at, ids_n = int(index[-1][-1]), ids_n + len(ids)
         index = np.concatenate(index)
         with store.open_output_stream(f"{own}.idx") as out:
             out.write(index.astype("<u8"))
@@ -178,7 +157,7 @@ def _writer(folder: str, path: str, end: int):
 
 
 def read_part(folder: str, part: int, most: int = 16 << 20):
-    """Yield (doc_ids, null flags, list of id arrays) of a file, about `most` bytes at a time."""
+    """Yield (doc_ids, list of id arrays) of a file, about `most` bytes at a time."""
     store, top = _fs(folder)
     with store.open_input_stream(f"{top}/part-{part:06d}.idx") as f:
         index = np.frombuffer(f.read(), "<u8").astype(np.int64)
@@ -186,11 +165,9 @@ def read_part(folder: str, part: int, most: int = 16 << 20):
         i = 0
         while i < len(index) - 1:
             j = max(i + 1, int(np.searchsorted(index, index[i] + most, "right")) - 1)
-            data = np.frombuffer(f.read_at(int(index[j] - index[i]), int(index[i])), np.uint8)
-            payload, starts = unframe(data, index[i : j + 1] - index[i])
-            keys = np.ascontiguousarray(payload[starts[:-1, None] + np.arange(8)]).view("<i8").ravel()
-            ids = [payload[a + 10 : b].view(f"<u{payload[a + 9]}") for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
-            yield keys, payload[starts[:-1] + 8] == 1, ids
+            payloads = unframe(f.read_at(int(index[j] - index[i]), int(index[i])), (index[i : j + 1] - index[i]).tolist())
+            keys = [None if p[8] else int.from_bytes(p[:8], "little", signed=True) for p in payloads]
+            yield keys, [np.frombuffer(p[10:], f"<u{p[9]}") for p in payloads]
             i = j
 
 
@@ -198,10 +175,10 @@ def _reader(folder: str):
     def run(batches):
         for b in batches:
             for part, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for keys, null, ids in read_part(folder, part):
+                for keys, ids in read_part(folder, part):
                     n = np.fromiter(map(len, ids), np.int64, len(ids))
                     crc = [zlib.crc32(x.astype("<u4")) for x in ids]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, mask=null), pa.array(before + np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(before + np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
                     before += int(n.sum())
 
     return run
