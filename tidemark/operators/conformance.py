@@ -143,7 +143,7 @@ class CustomRule:
         def run(pdf):
             pdf = pdf.sort_values(["ts", "seq"])
             got = [str(x) for x in check(pdf)]
-            return pd.DataFrame({"case_id": [pdf["case_id"].iloc[0]] * len(got), "rule": code, "detail": got, "at": range(len(got))}).astype({"at": "int32"})
+            return pd.DataFrame({"case_id": [pdf["case_id"].iloc[0]] * len(got), "rule": code, "detail": got, "at": range(len(got))}).astype({"at": "int32", "case_id": object, "rule": object, "detail": object})
 
         return events.groupBy("case_id").applyInPandas(run, "case_id string, rule string, detail string, at int")
 
