@@ -77,6 +77,15 @@ def test_lint(spark, tmp_path):
     assert lint.lint(many).count() == len(found)
 
 
+def test_every_rule_fires_on_the_sample(spark):
+    from tidemark.plans.sample_model import sample
+
+    found = lint.lint(sample(spark)).collect()
+    assert {f.code for f in found} == set(lint.SEVERITY)
+    assert [f.object for f in found if f.code == "MOD011"] == ["Orders[Average Price]"]
+    assert all(f.severity == lint.SEVERITY[f.code] for f in found)
+
+
 def test_tokens():
     t = lint.tokenize("VAR x = 1.5e3 /* a\nb */ RETURN 'It''s'[Col] <> \"q\"\"\" -- end")
     assert [(k, v) for k, _, v, _, _ in t] == [("identifier", "VAR"), ("identifier", "x"), ("operator", "="), ("number", "1.5e3"), ("identifier", "RETURN"), ("quoted", "It's"), ("bracket", "Col"), ("operator", "<>"), ("string", 'q"')]

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from .functions.worktime import WorkCalendar, iso_week
 from .operators import capability as cap
-from .operators import charts, conformance, cox, design, eventlog, mining, nelson, survival
+from .operators import charts, conformance, cox, design, eventlog, lint, mining, nelson, survival
 from .operators import concordance as conc
 from .operators import gage as gage_ops
 from .plans import fixtures as fx
-from .plans.workers import reachable
 from .plans.fixtures import CASES, DAILY, GAGE, LOG_SESSION, LOG_USER, OBS, ORDERED
+from .plans.sample_model import sample
+from .plans.workers import reachable
+from .sources.synth import SynthConfig, simulate
 
 CAL = WorkCalendar()
 BETA = (0.25, -0.15)
@@ -337,6 +339,25 @@ def _cox_fit(s, d):
     return s.createDataFrame([(r["covariate"], r["coef"], r["se"], r["hazard_ratio"], r["p"]) for r in m.rows()], "covariate string, coef double, se double, hazard_ratio double, p double")
 
 
+# --- model lint and synthetic extracts (no SQL: a tokenizer, and seeded draws) ----------------------
+_query("lint_findings")(lambda s, d: lint.lint(sample(s)))
+_query("dax_tokens")(lambda s, d: lint.tokens(sample(s)))
+_query("dax_function_calls")(lambda s, d: lint.function_calls(lint.tokens(sample(s))).select("owner_kind", "owner", "idx", "text", "line"))
+_query("dax_column_refs")(lambda s, d: lint.column_references(lint.tokens(sample(s))))
+_query("synth_events")(lambda s, d: simulate(s, SynthConfig(cases=500))[0])
+_query("synth_cases")(lambda s, d: simulate(s, SynthConfig(cases=500))[1])
+
+
+@_query("km_thinned", _KM + " SELECT time, round(survival, 6) AS survival FROM (SELECT *, row_number() OVER (ORDER BY time) - 1 AS i, count(*) OVER () AS n FROM km) WHERE i % greatest(1, n // 300) = 0 OR i = n - 1")
+def _thinned(s, d):
+    return _round(survival.thin(survival.kaplan_meier(fx.observations(s, d)), "time").select("time", "survival"), "survival")
+
+
+_query("chart_signals", _nelson_sql(_XBAR) + " SELECT label, violations FROM f WHERE violations <> ''")(lambda s, d: charts.signals(charts.xbar_r(_fives(s, d), "value", "g")).select("label", "violations"))
+_query("hazard_at", _RISK + " SELECT round(sum(events / at_risk::DOUBLE), 6) AS cumulative_hazard FROM risk WHERE time <= 1000")(
+    lambda s, d: survival.nelson_aalen(fx.observations(s, d)).where("time <= 1000").agg(F.round(F.max("cumulative_hazard"), 6).alias("cumulative_hazard")))
+
+
 def flagship(spark, sf_dir) -> DataFrame:
     return _Q["bottlenecks"](spark, sf_dir)
 
