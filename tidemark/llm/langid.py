@@ -6,8 +6,8 @@ a linear softmax over it gives the language. Table and softmax are trained by st
 descent in numpy. As both are linear, a prediction is the text's subword histogram times their product.
 
 Rejection is calibrated: on sampled documents held out of the descent, a temperature is chosen by
-likelihood, and the rejection level lies below the confidence of all those that were predicted rightly
-(half at most). und (null text, or no letter) is always rejected.
+likelihood, and the rejection level lies below the confidence of all those, and snippets of a few words
+of them, that were predicted rightly (half at most). und (null text, or no letter) is always rejected.
 
 Scale: the classifier is fitted on `sample` labelled documents (a documented bound; chosen by smallest
 hash of doc_id, so at random and the same each time); only their ids and hashed histograms reach the
@@ -52,10 +52,21 @@ def histogram(text: str) -> np.ndarray:
     return out
 
 
+def _snippet(text: str) -> str:
+    """One to three words from the middle of a text: short texts are learned and calibrated on too."""
+    words = text.split()
+    at = len(words) // 2
+    return " ".join(words[at : at + 1 + len(words) % 3])
+
+
 def _histograms(batches):
+    """(lang, short, at, n): for each text, and for a snippet of it, the buckets that occur and how often."""
     for b in batches:
-        hs = [histogram(t) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.flatnonzero(h).astype("<u2").tobytes() for h in hs], pa.binary()), pa.array([h[h > 0].astype("<u4").tobytes() for h in hs], pa.binary())], ["lang", "at", "n"])
+        rows = [(lang, short, histogram(t)) for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for short, t in ((False, text), (True, _snippet(text)))]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([np.flatnonzero(r[2]).astype("<u2").tobytes() for r in rows], pa.binary()), pa.array([r[2][r[2] > 0].astype("<u4").tobytes() for r in rows], pa.binary())],
+            ["lang", "short", "at", "n"],
+        )
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -86,22 +97,26 @@ def fit(x: np.ndarray, y: np.ndarray, classes: int, epochs: int = 30, rate: floa
 
 
 def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Temperature of the largest likelihood, and the level below which a prediction is rejected."""
+    """Temperature of the largest likelihood, and that likelihood."""
     if not len(y):
         return 1.0, 0.0
-    heats = np.geomspace(0.2, 10, 30)
-    heat = float(max(heats, key=lambda t: np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).sum()))
-    p = softmax(z / heat)
-    right = p.max(axis=1)[p.argmax(axis=1) == y]
-    return heat, float(min(0.5, 0.9 * right.min())) if len(right) else 0.0
+    fit_of = lambda t: float(np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).sum())
+    heat = float(max(np.geomspace(0.2, 10, 30), key=fit_of))
+    return heat, fit_of(heat)
+
 
+def _level(p: np.ndarray, y: np.ndarray) -> float:
+    """Below it a prediction is rejected: under the confidence of every right one of the calibration, short texts too."""
+    right = p.max(axis=1)[p.argmax(axis=1) == y] if len(y) else np.zeros(0)
+    return float(min(0.5, 0.9 * right.min())) if len(right) else 0.0
 
-def train(docs: DataFrame, sample: int = 3000, seed: int = 5) -> dict:
+
+def train(docs: DataFrame, sample: int = 1500, seed: int = 5) -> dict:
     ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~in_fold(F.col("doc_id"), 0)).select("doc_id", F.xxhash64(F.lit(seed), "doc_id").alias("h"))
     chosen = ids.orderBy("h", "doc_id").limit(sample).select("doc_id")  # at most `sample` ids
     rows = docs.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), "text")
-    got = rows.mapInArrow(_histograms, "lang string, at binary, n binary").collect()
-    got = sorted(got, key=lambda r: (r.lang, bytes(r.at), bytes(r.n)))
+    got = rows.mapInArrow(_histograms, "lang string, short boolean, at binary, n binary").collect()
+    got = sorted(got, key=lambda r: (r.lang, r.short, bytes(r.at), bytes(r.n)))
     langs = sorted({r.lang for r in got})
     if not langs:
         return {"langs": []}
@@ -111,45 +126,52 @@ def train(docs: DataFrame, sample: int = 3000, seed: int = 5) -> dict:
         x[i] /= x[i].sum()
     aside = np.arange(len(y)) % 5 == 4
     w, bias = fit(x[~aside], y[~aside], len(langs))
-    heat, level = calibrate(x[aside] @ w + bias, y[aside])
+    z, whole = x @ w + bias, aside & ~np.array([r.short for r in got])
+    heat, _ = calibrate(z[whole], y[whole])
+    level = _level(softmax(z[aside] / heat), y[aside])
     return {"langs": langs, "w": w, "bias": bias, "heat": heat, "level": level}
 
 
+def _labels(m: dict, texts: pa.Array):
+    """Language, score and rejection of each text."""
+    names, scores, out = [], [], []
+    for t in texts.to_pylist():
+        if not m["langs"] or t is None or not _LETTER.search(t):
+            names.append("und"), scores.append(0.0), out.append(True)
+            continue
+        h = histogram(t)
+        p = softmax(((h @ m["w"]) / h.sum() + m["bias"])[None] / m["heat"])[0]
+        k = int(p.argmax())
+        names.append(m["langs"][k]), scores.append(float(min(1.0, p[k]))), out.append(bool(p[k] < m["level"]))
+    return names, scores, out
+
+
 def _predict(model):
     def run(batches):
-        m = model.value
         for batch in batches:
             for b in slices(batch, 1):
-                names, scores, out = [], [], []
-                for t in b.column(1).to_pylist():
-                    if not m["langs"] or t is None or not _LETTER.search(t):
-                        names.append("und"), scores.append(0.0), out.append(True)
-                        continue
-                    h = histogram(t)
-                    p = softmax(((h @ m["w"]) / h.sum() + m["bias"])[None] / m["heat"])[0]
-                    k = int(p.argmax())
-                    names.append(m["langs"][k]), scores.append(float(min(1.0, p[k]))), out.append(bool(p[k] < m["level"]))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())] + [b.column(i) for i in range(2, b.num_columns)], ["doc_id", "lang_pred", "score", "rejected"] + b.schema.names[2:])
+                names, scores, out = _labels(model.value, b.column(1))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
     return run
 
 
-def identify(docs: DataFrame, sample: int = 3000) -> DataFrame:
+def identify(docs: DataFrame, sample: int = 1500) -> DataFrame:
     """doc_id, lang_pred, score, rejected for every row."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, sample))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
-def keep_identified(docs: DataFrame, sample: int = 3000) -> DataFrame:
-    """The rows of docs whose language is told with enough confidence; one pass, no join."""
-    from pyspark.sql import types as T
-
+def keep_identified(docs: DataFrame, sample: int = 1500) -> DataFrame:
+    """The rows of docs whose language is told with enough confidence: one pass, in which texts go to Python
+    and only a flag comes back."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, sample))
-    cols = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
-    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType()), *fields])
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *cols).mapInArrow(_predict(model), schema)
-    return got.where("NOT rejected").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+    @F.arrow_udf("boolean")
+    def kept(texts: pa.Array) -> pa.Array:
+        return pa.array([not x for x in _labels(model.value, texts)[2]], pa.bool_())
+
+    return docs.where(kept("text"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
