@@ -54,15 +54,42 @@ def number_rows(df: DataFrame, key: Sequence[str], order: Sequence[str], rows: i
     return d.join(sums, on).withColumn(out, (F.col("_base") + F.col("_r") - 1).cast("long")).drop("_b", "_kb", "_base", "_r", *[f"_k{i}" for i in range(len(key))])
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -> DataFrame:
+#: Up to so many edges (some 100 MB in a Python worker) one task finds the components; beyond, rounds over tables do.
+ONE_TASK = 400_000
+
+
+def _union_find(batches):
+    import pyarrow as pa
+
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            root.setdefault(u, u), root.setdefault(v, v)
+            x, y = find(u), find(v)
+            root[max(x, y)] = min(x, y)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(n) for n in nodes], pa.int64())], ["node", "component"])
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc", one_task: int = ONE_TASK) -> DataFrame:
     """(node, component): smallest node reachable over undirected edges, for nodes that have an edge.
 
-    Large-star and small-star rounds until a round changes nothing. A node's star is never gathered in
-    one row: each star is a grouped minimum joined back to its edges, so map-side combining holds for
-    hubs, and every round ends in a table in the shared folder.
+    A graph of at most one_task edges goes to one task. Larger ones take large-star and small-star rounds
+    until a round changes nothing: a node's star is never gathered in one row, as each star is a grouped
+    minimum joined back to its edges, so map-side combining holds for hubs, and every round ends in a
+    table in the shared folder.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
     cur = materialize(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+    if cur.count() <= one_task:
+        return materialize(cur.coalesce(1).mapInArrow(_union_find, "node long, component long"), name)
     seen = None
     while True:
         sym = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -109,3 +136,15 @@ def reachable(spark: SparkSession) -> None:
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH", ""), root) if x)
+
+
+def bit_filter(df: DataFrame, wanted: DataFrame, key: str, most_bits: int = 1 << 24) -> DataFrame:
+    """The rows of df whose key may be in wanted, by a bitmap of hashed keys, to spare rows a shuffle.
+
+    The bitmap has at most most_bits / 64 rows whatever the data, so it can be broadcast; the fuller it
+    is, the less it spares. Rows that pass by chance must be dropped by the join that follows."""
+    bits = min(most_bits, max(1 << 16, 1 << (32 * wanted.count()).bit_length()))
+    h = F.pmod(F.xxhash64(key), F.lit(bits))
+    words = wanted.select(h.alias("h")).groupBy((F.col("h") / 64).cast("long").alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("_bits"))
+    got = df.withColumn("_h", h).withColumn("_w", (F.col("_h") / 64).cast("long")).join(F.broadcast(words), "_w")
+    return got.where(F.expr("shiftright(_bits, cast(_h % 64 as int)) & 1L = 1L")).select(*df.columns)

@@ -14,15 +14,17 @@ value. By cost, each band takes one of two allocations:
   one element in at least one segment, so they share its signature or one less an element.
 The cost counts index entries and, weighted, the expected entries of sparse segments, which many sets share.
 
-Candidates are sets that share an entry. Equal sets are one node from the start. Nodes are first
-verified against the smallest node of each shared entry; then, in entries whose nodes are not yet in one
-component, all pairs of nodes of different components (no others can change the result). Verification
-is exact, on the sets themselves.
+Candidates are sets that share an entry. Equal sets are one node from the start. Nodes are verified
+against one node of each shared entry; then, where an entry's nodes are not yet in one component,
+against a few nodes of its largest one; then all pairs of nodes in different components are (no others can change
+the result), inside map tasks, in blocks of about 1024 nodes, so that such pairs are compared but not emitted. Pairs are first tested by parity bitmaps, which never rule out a link, then
+verified exactly on the sets themselves.
 
 Scale: an entry is 16 bytes in a block sorted by numpy; within a map task, copies and repeats of an
 entry are collapsed before the shuffle, so no task receives more than one row a map task for a hot
-entry. Shared entries go on as a table. Texts are read twice and moved once (only those of nodes that
-have a candidate, one document a node). Shingles and nodes are 64-bit hashes.
+entry. Shared entries go on as a table. Texts are read twice; those of
+nodes that have a candidate (one document a node; a bitmap of fixed size keeps most others from moving)
+move packed, to be verified. Shingles and nodes are 64-bit hashes.
 
 Edge cases: null or wordless text: size 0, its own component; null doc_id: component null unless
 linked; repeated rows: equal sets, linked; other columns are not read.
@@ -40,11 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import components, materialize
+from .common import bit_filter, components, discard, materialize
 from .words import mix, word_hashes
 
 _K = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165)]
 _ONE = np.uint64(1)
+LEADERS = 4
+BLOCK = 1024
 
 
 def shingle_sets(texts: pa.Array, k: int):
@@ -155,32 +159,49 @@ def _band_at(num: int, den: int, n: int) -> int:
     return lo
 
 
-_INDEX = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("sigs", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
+_INDEX = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("packed", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
+_ENTRIES = "part int, n int, packed binary, nodes binary, sizes binary"
 
 
-def _index(k: int, num: int, den: int, parts: int, most: int = 2_000_000):
+def _pack(sigs: np.ndarray, local: np.ndarray) -> bytes:
+    """Sorted entries, as the 48 upper bits in steps, with their nodes' places in the block's list."""
+    high = (sigs >> np.uint64(32)).astype(np.uint32)
+    parts = np.diff(high, prepend=np.uint32(0)), ((sigs >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16), local.astype(np.uint16)
+    return pa.compress(b"".join(x.tobytes() for x in parts), codec="zstd", asbytes=True)
+
+
+def _open(packed: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    b = pa.decompress(packed, 8 * n, codec="zstd", asbytes=True)
+    high = np.cumsum(np.frombuffer(b, np.uint32, n), dtype=np.uint32).astype(np.int64)
+    return high << 16 | np.frombuffer(b, np.uint16, n, 4 * n), np.frombuffer(b, np.uint16, n, 6 * n)
+
+
+def _index(k: int, num: int, den: int, parts: int, most: int = 1_500_000):
     """Rows of documents (part null), and blocks of entries by hash range: part >= 0 for entries that one
     node of the block has, part -1 for entries that several nodes of the block share."""
 
     def blocks(sigs, nodes, sizes):
-        s = np.concatenate(sigs)
-        n = np.repeat(np.array(nodes, np.int64), [len(x) for x in sigs])
-        z = np.repeat(np.array(sizes, np.int32), [len(x) for x in sigs])
+        s, local = np.concatenate(sigs), np.repeat(np.arange(len(nodes)), [len(x) for x in sigs])
         order = np.argsort(s, kind="stable")
-        s, n, z = s[order], n[order], z[order]
+        s, local = s[order], local[order]
         new = np.concatenate([[True], s[1:] != s[:-1]])
         many = ~(new & np.concatenate([new[1:], [True]]))
-        rows = [(-1, s[many], n[many], z[many])] if many.any() else []
-        s, n, z = s[new], n[new], z[new]  # the first of a shared entry also stands for it outside the block
+        rows = [(-1, s[many], local[many])] if many.any() else []
+        s, local = s[new], local[new]  # the first of a shared entry also stands for it outside the block
         cut = np.searchsorted(s, np.array([(i << 64) // parts for i in range(parts)], np.uint64)).tolist() + [len(s)]
-        rows += [(p, s[a:b], n[a:b], z[a:b]) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-        none = [None] * len(rows)
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array(none, pa.int64())] * 3, *[pa.array([np.ascontiguousarray(r[i]).tobytes() for r in rows], pa.binary()) for i in (1, 2, 3)]], schema=_INDEX)
+        rows += [(p, s[a:b], local[a:b]) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+        ids, lens = np.array(nodes, np.int64), np.array(sizes, np.int32)
+        packed, of, size = [], [], []
+        for _, x, at in rows:
+            own, at = np.unique(at, return_inverse=True)
+            packed.append(_pack(x, at)), of.append(ids[own].tobytes()), size.append(lens[own].tobytes())
+        none = pa.nulls(len(rows), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), none, none, none, pa.array([len(r[1]) for r in rows], pa.int32()), *[pa.array(x, pa.binary()) for x in (packed, of, size)]], schema=_INDEX)
 
     def run(batches):
         seen, sigs, nodes, sizes, held = set(), [], [], [], 0
         for batch in batches:
-            for b in slices(batch, 1, 4 << 20):
+            for b in slices(batch, 1, 1 << 20):
                 ids, size = [], []
                 for x in shingle_sets(b.column(1), k):
                     node = node_of(x)
@@ -191,64 +212,137 @@ def _index(k: int, num: int, den: int, parts: int, most: int = 2_000_000):
                         e = entries(x, num, den)
                         sigs.append(e), nodes.append(node), sizes.append(len(x))
                         held += len(e)
-                        if held >= most:
+                        if held >= most or len(nodes) >= 65_000:
                             yield blocks(sigs, nodes, sizes)
                             seen, sigs, nodes, sizes, held = set(), [], [], [], 0
                 none = pa.nulls(len(b), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(b), pa.int32()), b.column(0), pa.array(size, pa.int64()), pa.array(ids, pa.int64()), none, none, none], schema=_INDEX)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(b), pa.int32()), b.column(0), pa.array(size, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(len(b), pa.int32()), none, none, none], schema=_INDEX)
         if sigs:
             yield blocks(sigs, nodes, sizes)
 
     return run
 
 
+def _entries_of(batch: pa.RecordBatch):
+    for n, packed, nodes, sizes in zip(*[batch.column(c).to_pylist() for c in ("n", "packed", "nodes", "sizes")]):
+        s, at = _open(packed, n)
+        yield s, np.frombuffer(nodes, np.int64)[at], np.frombuffer(sizes, np.int32)[at].astype(np.int64)
+
+
 def _shared(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries of a hash range that several blocks have, with different nodes."""
-    s, n, z = [], [], []
-    for b in groups:
-        s += [np.frombuffer(x, np.uint64) for x in b.column("sigs").to_pylist()]
-        n += [np.frombuffer(x, np.int64) for x in b.column("nodes").to_pylist()]
-        z += [np.frombuffer(x, np.int32) for x in b.column("sizes").to_pylist()]
-    s, n, z = np.concatenate(s), np.concatenate(n), np.concatenate(z)
+    s, n, z = (np.concatenate(x) for x in zip(*[e for b in groups for e in _entries_of(b)]))
     order = np.lexsort((n, s))
     s, n, z = s[order], n[order], z[order]
     keep = np.concatenate([[True], (s[1:] != s[:-1]) | (n[1:] != n[:-1])])
     s, n, z = s[keep], n[keep], z[keep]
     same = s[1:] == s[:-1]
-    many = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(s) else np.zeros(0, bool)
-    yield pa.RecordBatch.from_arrays([pa.array(s[many].view(np.int64)), pa.array(n[many]), pa.array(z[many].astype(np.int64))], ["sig", "node", "size"])
+    many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    yield pa.RecordBatch.from_arrays([pa.array(s[many]), pa.array(n[many]), pa.array(z[many])], ["sig", "node", "size"])
 
 
 def _unpack(batches):
     for b in batches:
-        for s, n, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s, np.int64)), pa.array(np.frombuffer(n, np.int64)), pa.array(np.frombuffer(z, np.int32).astype(np.int64))], ["sig", "node", "size"])
+        for s, n, z in _entries_of(b):
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(n), pa.array(z)], ["sig", "node", "size"])
+
+
+_SKETCH = 16  # longs
+_PARITY = [f"p{i}" for i in range(_SKETCH)]
+
+
+def parity(x: np.ndarray) -> np.ndarray:
+    """How often the set's elements fall on each of 1024 bits, odd or even: two sets' parities differ in at
+    most as many bits as the sets in elements, so a large difference rules a pair out without its sets."""
+    bits = np.bincount((x >> np.uint64(20)).astype(np.int64) & (64 * _SKETCH - 1), minlength=64 * _SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
 
+def _texts_of(k: int):
+    """(node, packed text, parity) of the rows whose text has the node's set."""
 
-def _sets(k: int):
     def run(batches):
         for batch in batches:
-            for b in slices(batch, 1, 4 << 20):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in shingle_sets(b.column(1), k)], pa.binary())], ["node", "x"])
+            for b in slices(batch, 1, 1 << 20):
+                sets = list(shingle_sets(b.column(1), k))
+                good = [node_of(x) == n for n, x in zip(b.column(0).to_pylist(), sets)]
+                b = b.filter(pa.array(good, pa.bool_()))
+                p = np.array([parity(x) for x, g in zip(sets, good) if g], np.int64).reshape(-1, _SKETCH)
+                raw = b.column(1).cast(pa.binary()).to_pylist()
+                x = [len(r).to_bytes(8, "little") + pa.compress(r, codec="zstd", asbytes=True) for r in raw]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary()), *[pa.array(np.ascontiguousarray(p[:, i])) for i in range(_SKETCH)]], ["node", "x", *_PARITY])
 
     return run
 
 
-def _verify(num: int, den: int):
+def _close(num: int, den: int):
+    """Pairs of neighbours in one entry (and pair of blocks) that are in different components, and whose
+    sizes and parities allow a link. Rows come sorted; a group is at most two blocks."""
+
+    def compare(t: pa.Table):
+        sig, lo, hi, blk, node, size, c = (np.asarray(t.column(i)) for i in range(7))
+        p = np.stack([np.asarray(t.column(i)) for i in range(7, 7 + _SKETCH)], axis=1).view(np.uint64)
+        i, d, a, b = np.arange(len(sig)), 1, [], []
+        while len(i):
+            i = i[i + d < len(sig)]
+            j = i + d
+            same = (sig[i] == sig[j]) & (lo[i] == lo[j]) & (hi[i] == hi[j])
+            i, j = i[same], j[same]
+            ok = (c[i] != c[j]) & ((lo[i] == hi[i]) | (blk[i] != blk[j])) & (size[i] * num <= size[j] * den) & (size[j] * num <= size[i] * den)
+            x, y = i[ok], j[ok]
+            for k in range(0, len(x), 1 << 16):
+                u, v = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+                apart = np.bitwise_count(p[u] ^ p[v]).sum(axis=1, dtype=np.int64)
+                hit = apart * (den + num) <= (den - num) * (size[u] + size[v])
+                a.append(node[u[hit]]), b.append(node[v[hit]])
+            d += 1
+        a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
+        return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            if len(held) < 20_000:
+                continue
+            # whole groups go, the last one waits for its end
+            key = [np.asarray(held.column(i)) for i in range(3)]
+            change = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])) + 1
+            if len(change):
+                found = compare(held.slice(0, int(change[-1])).combine_chunks())
+                held = held.slice(int(change[-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+        if held is not None:
+            found = compare(held.combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return run
+
+
+def _sets_of(packed: list[bytes], k: int) -> list[np.ndarray]:
+    raw = [pa.decompress(p[8:], int.from_bytes(p[:8], "little"), codec="zstd", asbytes=True) for p in packed]
+    return list(shingle_sets(pa.array(raw, pa.large_binary()), k))
+
+
+def _verify(k: int, num: int, den: int):
+    def linked(p, q):
+        if len(p) > len(q):
+            p, q = q, p
+        spot = np.searchsorted(q, p)
+        common = int(np.count_nonzero(q[np.minimum(spot, len(q) - 1)] == p))
+        return den * common >= num * (len(p) + len(q) - common)
+
     def run(batches):
         last = (None, None)
-        for b in batches:
-            keep = []
-            for a, x, y in zip(b.column(0).to_pylist(), b.column(2), b.column(3)):
-                if last[0] != a:
-                    last = (a, np.frombuffer(x.as_py(), np.uint64))
-                p, q = last[1], np.frombuffer(y.as_py(), np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                spot = np.searchsorted(q, p)
-                common = int(np.count_nonzero(q[np.minimum(spot, len(q) - 1)] == p))
-                keep.append(den * common >= num * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
+        for batch in batches:
+            for b in slices(batch, 3, 1 << 20):
+                keep = []
+                for a, x, q in zip(b.column(0).to_pylist(), b.column(2), _sets_of(b.column(3).to_pylist(), k)):
+                    if last[0] != a:
+                        last = (a, _sets_of([x.as_py()], k)[0])
+                    keep.append(linked(last[1], q))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
 
     return run
 
@@ -258,37 +352,73 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    index = materialize(texts.mapInArrow(_index(k, num, den, parts), "part int, doc_id long, size long, node long, sigs binary, nodes binary, sizes binary"), "jaccard-index")
+    index = materialize(texts.mapInArrow(_index(k, num, den, parts), "part int, doc_id long, size long, node long, n int, packed binary, nodes binary, sizes binary"), "jaccard-index")
     rows = index.where("part IS NULL").select("doc_id", "size", "node")
-    packed = index.where("part IS NOT NULL").select("part", "sigs", "nodes", "sizes")
+    packed = index.where("part IS NOT NULL").select("part", "n", "packed", "nodes", "sizes")
     shared = packed.where("part >= 0").groupBy("part").applyInArrow(_shared, "sig long, node long, size long")
-    within = packed.where("part < 0").select("sigs", "nodes", "sizes").mapInArrow(_unpack, "sig long, node long, size long")
+    within = packed.where("part < 0").mapInArrow(_unpack, "sig long, node long, size long")
     shared = materialize(shared.union(within).distinct(), "jaccard-shared")
-    # round 1: every node against the smallest of each shared entry
-    lead = shared.groupBy("sig").agg(F.min("node").alias("a"), F.min_by("size", "node").alias("sa"))
-    near = (F.col("size") * num <= F.col("sa") * den) & (F.col("sa") * num <= F.col("size") * den)
-    first = shared.join(lead, "sig").where((F.col("node") > F.col("a")) & near).select("a", F.col("node").alias("b")).distinct()
-    first = materialize(first, "jaccard-pairs")
+    rows = materialize(rows, "jaccard-documents")
+    discard(index)
+    # near copies share many entries: of the entries that have the same nodes (by count and two hashes), one is enough
+    same = shared.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("k"))
+    shared = materialize(shared.join(same.groupBy("n", "h", "k").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi"), "jaccard-groups")
     one = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    asked = shared.select("node").distinct()
-    sets = texts.join(one.join(asked, "node"), "doc_id").select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets(k), "node long, x binary")
-    sets = materialize(sets, "jaccard-sets")
-
-    def verified(pairs):
-        s = sets.select(F.col("node").alias("b"), F.col("x").alias("y"))
-        t = sets.select(F.col("node").alias("a"), "x")
-        return pairs.join(s, "b").join(t, "a").select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a long, b long, linked boolean").where("linked").select("a", "b")
-
-    links = materialize(verified(first), "jaccard-links")
-    # round 2: pairs of nodes that share an entry, in different components
-    found = components(links, name="jaccard-first").withColumnRenamed("component", "c")
-    s = shared.join(found, "node", "left").withColumn("c", F.coalesce("c", "node"))
-    mixed = s.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("sig")
-    s = materialize(s.join(mixed, "sig", "left_semi").select("sig", "node", "size", "c"), "jaccard-mixed")
-    t = s.select("sig", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("c").alias("ca"))
-    more = s.join(t, "sig").where((F.col("node") > F.col("a")) & (F.col("c") != F.col("ca")) & near).select("a", F.col("node").alias("b")).distinct()
-    more = more.join(first, ["a", "b"], "left_anti")
-    links = materialize(links.union(verified(materialize(more, "jaccard-more"))), "jaccard-all")
+    asked = materialize(one.join(shared.select("node").distinct(), "node"), "jaccard-asked")
+    sets = bit_filter(texts, asked, "doc_id").join(asked, "doc_id").select("node", "text").mapInArrow(_texts_of(k), ", ".join(["node long, x binary", *[f"{p} long" for p in _PARITY]]))
+    sets = materialize(sets, "jaccard-texts")
+    sizes = shared.groupBy("node").agg(F.max("size").alias("size"))
+    sketches = materialize(sets.select("node", *_PARITY).join(sizes, "node"), "jaccard-parities")
+    done = []
+
+    def verified(pairs, name):
+        """The linked ones of pairs (a < b) not verified before: by parity first, then by the sets."""
+        for x in done:
+            pairs = pairs.join(x, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, f"jaccard-pairs-{name}")
+        done.append(pairs)
+        left = sketches.select(F.col("node").alias("a"), F.col("size").alias("sa"), *[F.col(p).alias(f"a{p}") for p in _PARITY])
+        right = sketches.select(F.col("node").alias("b"), F.col("size").alias("sb"), *_PARITY)
+        apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"a{p}"))) for p in _PARITY), F.lit(0))
+        close = pairs.join(right, "b").join(left, "a").where(apart * (den + num) <= (den - num) * (F.col("sa") + F.col("sb"))).select("a", "b")
+        close = materialize(close, f"jaccard-close-{name}")
+        some = bit_filter(sets.select("node", "x"), close.select(F.col("a").alias("node")).union(close.select("b")), "node")
+        s, t = some.select(F.col("node").alias("b"), F.col("x").alias("y")), some.select(F.col("node").alias("a"), "x")
+        return materialize(close.join(s, "b").join(t, "a").select("a", "b", "x", "y").mapInArrow(_verify(k, num, den), "a long, b long, linked boolean").where("linked").select("a", "b"), f"jaccard-links-{name}")
+
+    def ordered(pairs):
+        """Pairs (node, other) whose sizes can link, smaller node first, each once."""
+        near = (F.col("size") * num <= F.col("so") * den) & (F.col("so") * num <= F.col("size") * den) & (F.col("node") != F.col("other"))
+        return pairs.where(near).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+    # round 1: every node against one node of each shared entry, drawn by hash, the same for all entries
+    drawn = lambda i: F.min_by(F.struct("node", "size"), F.xxhash64("node", F.lit(i)))
+    lead = shared.groupBy("sig").agg(drawn(0).alias("o"))
+    first = shared.join(lead, "sig").select("node", "size", F.col("o.node").alias("other"), F.col("o.size").alias("so"))
+    links = verified(ordered(first), "one")
+
+    def mixed(links, name):
+        """Shared entries whose nodes are in several components: sig, node, size, c."""
+        found = components(links, name=name).withColumnRenamed("component", "c")
+        s = shared.join(found, "node", "left").withColumn("c", F.coalesce("c", "node"))
+        many = s.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("sig")
+        return materialize(s.join(many, "sig", "left_semi").select("sig", "node", "size", "c"), name)
+
+    # round 2: against nodes drawn from the largest component of each entry that holds several
+    s = mixed(links, "jaccard-mixed-one")
+    per = s.groupBy("sig", "c").agg(F.count("*").alias("n"), F.array(*[drawn(i + 1) for i in range(LEADERS)]).alias("o"))
+    lead = per.groupBy("sig").agg(F.array_distinct(F.max_by("o", F.struct("n", "c"))).alias("o"), F.max(F.struct("n", "c"))["c"].alias("big"))
+    second = s.join(lead, "sig").where("c <> big").select("node", "size", F.explode("o").alias("o")).select("node", "size", F.col("o.node").alias("other"), F.col("o.size").alias("so"))
+    links = materialize(links.union(verified(ordered(second), "two")), "jaccard-links-so-far")
+    # round 3: all pairs of an entry that are still in different components, compared by parity in blocks
+    s = mixed(links, "jaccard-mixed-two")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    s = s.join(s.groupBy("sig").agg(F.count("*").alias("n")), "sig").join(sketches.drop("size"), "node")
+    s = s.withColumn("blk", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    s = s.select("sig", F.least("blk", "y").alias("lo"), F.greatest("blk", "y").alias("hi"), "blk", "node", "size", "c", *_PARITY)
+    s = s.repartition(F.col("sig"), F.col("lo"), F.col("hi")).sortWithinPartitions("sig", "lo", "hi", "blk")
+    third = s.mapInArrow(_close(num, den), "a long, b long").distinct()
+    links = materialize(links.union(verified(third, "three")), "jaccard-links-all")
     found = components(links, name="jaccard-final")
     low = one.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("doc_id").alias("component_id"))
     of = one.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("root")).join(low, "root").select("node", "component_id")

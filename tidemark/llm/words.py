@@ -38,7 +38,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in order, and n + 1 offsets of the texts. No nulls."""
-    texts = texts.cast(pa.large_string())
+    texts = texts if texts.type == pa.large_binary() else texts.cast(pa.large_string())
     offs = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     if not len(texts) or offs[-1] == offs[0]:
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
