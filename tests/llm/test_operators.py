@@ -165,6 +165,12 @@ def test_exact_nulls_and_repeats(spark):
     assert exact_dedup.exact_groups(df.where("false")).count() == 0
 
 
+def test_exact_keeps_every_text_whatever_its_id(spark):
+    rows = [(None, "x"), (None, "y"), (None, "y"), (5, "x x"), (5, "yy"), (6, "long text"), (6, "s"), (1, "s"), (7, None), (7, "q"), (None, " ")]
+    kept = exact_dedup.deduplicate(frame(spark, [t for _, t in rows], ids=[i for i, _ in rows])).collect()
+    assert sorted([(r.doc_id, r.text) for r in kept], key=repr) == sorted([(None, "x"), (None, "y"), (5, "x x"), (5, "yy"), (6, "long text"), (1, "s"), (None, " "), (7, "q")], key=repr)
+
+
 def test_chunks_depend_on_content():
     g = np.random.default_rng(1)
     data = g.integers(97, 123, 60000, dtype=np.uint8).tobytes()

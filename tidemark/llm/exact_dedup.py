@@ -14,7 +14,8 @@ the rows of a hot group.
 
 Edge cases: null text counts as empty, and all texts without other characters than white space are one
 group; null doc_id loses ties against any other; rows that repeat a doc_id and text are one document
-(each carries the same decision; deduplicate() keeps one of them); other columns are not read.
+(each carries the same decision; deduplicate() keeps one of them), rows that repeat a doc_id, null
+included, over different texts are not; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, materialize
@@ -76,8 +77,8 @@ def _recipes(bits: int):
             for i in range(0, len(b), 512):
                 rows = [(len(t or ""), *_chunks(t)) for t in texts[i : i + 512].to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [ids[i : i + 512], pa.array([r[0] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[1]).digest() for r in rows], pa.binary()), pa.array([b"".join(_hash(c, bits) for c in r[2]) for r in rows], pa.binary())],
-                    ["doc_id", "points", "sha", "recipe"],
+                    [ids[i : i + 512], pa.array([r[0] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[1]).digest() for r in rows], pa.binary()), pa.array([b"".join(_hash(c, bits) for c in r[2]) for r in rows], pa.binary()), b.column(2)[i : i + 512]],
+                    ["doc_id", "points", "sha", "recipe", "row"],
                 )
 
     return run
@@ -107,14 +108,18 @@ def _ranked(bits: int, clashing: dict[bytes, list[bytes]]):
     return run
 
 
-def recipes(docs: DataFrame, bits: int = 128) -> DataFrame:
-    """doc_id, points (code points of the original text), sha, recipe of verified identifiers.
+_ROWS = "doc_id long, points long, sha binary, recipe binary, row long"
+
+
+def recipes(docs: DataFrame, bits: int = 128, row: str | None = None) -> DataFrame:
+    """doc_id, points (code points of the original text), sha, recipe of verified identifiers, and the column
+    named by row (null if none is), which tells rows apart.
 
     bits narrows the chunk hash, for tests of the clash path. Clashes are listed by digests of the
     differing chunks; with 128 bits the list is empty, and its size is checked before it is sent.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = texts.mapInArrow(_recipes(bits), "doc_id long, points long, sha binary, recipe binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col(row) if row else F.lit(None).cast("long")).alias("row"))
+    out = texts.mapInArrow(_recipes(bits), _ROWS)
     bodies = texts.mapInArrow(_bodies(bits), "h binary, body binary").distinct()
     clash = materialize(bodies.groupBy("h").agg(F.count("*").alias("n"), F.collect_set(F.unhex(F.sha2("body", 256))).alias("bodies")).where("n > 1"), "clashes")
     listed = clash.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -130,7 +135,7 @@ def recipes(docs: DataFrame, bits: int = 128) -> DataFrame:
             ranked = pa.Table.from_batches(list(_ranked(bits, full)([b])))
             yield from plain.set_column(3, "recipe", ranked["recipe"]).to_batches()
 
-    return texts.mapInArrow(both, "doc_id long, points long, sha binary, recipe binary")
+    return texts.mapInArrow(both, _ROWS)
 
 
 def exact_groups(docs: DataFrame, bits: int = 128) -> DataFrame:
@@ -146,10 +151,18 @@ def exact_groups(docs: DataFrame, bits: int = 128) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last()))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep"))).withColumn("_one", one).where("_one = 1").select(*docs.columns)
+    """The rows of docs that stay, with all their columns: one row of each group, the one that exact_groups keeps.
+
+    Ids may be null or repeated, so each row gets a number of its own, in a table, and goes by that. Texts
+    move once, to meet the numbers of the rows that go, or not at all while these are few.
+    """
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows = materialize(recipes(numbered, row="_row"), "recipes")
+    first = F.struct(F.col("points"), F.coalesce(-F.col("doc_id"), F.lit(-(2**63))).alias("i"), -F.col("row"))
+    groups = rows.groupBy("recipe").agg(F.count("*").alias("n"), F.max_by("row", first).alias("_best")).where("n > 1")
+    groups = materialize(groups.select(F.col("recipe").alias("_r"), "_best"), "recipe-groups")
+    gone = rows.join(groups, F.col("recipe") == F.col("_r")).where("row <> _best").select(F.col("row").alias("_row"))
+    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
