@@ -251,6 +251,38 @@ def test_predictions_sum_to_one():
         assert p[known].sum() + unknown == pytest.approx(1.0)
 
 
+def test_seating_law_does_not_depend_on_ranges():
+    """One word with nearly all tables of the parent (an end token): the other ranges must know of them."""
+    g = np.random.Generator(np.random.PCG64(4))
+    classes, words = 3000, 200
+    of = np.concatenate([np.zeros(classes, np.int64), np.repeat(np.arange(1, words), 4)])
+    cls = np.concatenate([np.arange(classes), g.integers(0, classes, 4 * (words - 1))])
+    c = g.integers(1, 30, len(of))
+    totals = np.bincount(cls, c, hpylm.CLASSES)
+    runs = [hpylm.seat(c, of, cls, words, totals, parts, np.random.Generator(np.random.PCG64(5))) for parts in (1, 8)]
+    for a, b in zip(*runs):
+        assert b[1:].sum() == pytest.approx(a[1:].sum(), rel=0.03)
+    whole = hpylm._start(c, of, words)
+    sums, tables = hpylm._sums(of, cls, *whole)
+    own = np.flatnonzero(of == 7)
+    t = np.mean([hpylm.sweep(c[own], of[own] * 0, cls[own], whole[0][own], whole[1][7:8], tables, sums, g)[0].sum() for _ in range(300)])
+    alone = np.mean([hpylm.sweep(c, of, cls, *whole, tables, sums, g)[0][own].sum() for _ in range(300)])
+    assert t == pytest.approx(alone, rel=0.05)
+
+
+def test_scores_for_any_number_of_ranges(spark, corpus):
+    df, was = frame(spark, corpus), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        got = []
+        for parts in ("8", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got.append({r.doc_id: (r.score, r.n_tokens) for r in hpylm.score_texts(df).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    off = [(got[1][i][0] - got[0][i][0]) / got[0][i][1] for i in got[0]]
+    assert abs(np.mean(off)) < 0.01 and np.max(np.abs(off)) < 0.1
+
+
 def test_seating_draws_follow_exact_law():
     g, c, a, d = np.random.Generator(np.random.PCG64(2)), 6, math.exp(0.5), 0.8
     s = np.exp(hpylm._stirling(d)[c, 1 : c + 1]) * a ** np.arange(1, c + 1)
