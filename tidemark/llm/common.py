@@ -16,9 +16,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a temporary one is set on a local master only."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not got:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(got)
     return got
@@ -32,7 +34,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
 
 
 def number_rows(df: DataFrame, key: Sequence[str], order: Sequence[str], rows: int, out: str, per_bucket: int = 50_000) -> DataFrame:
@@ -89,7 +93,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc", o
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
     cur = materialize(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     if cur.count() <= one_task:
-        return materialize(cur.coalesce(1).mapInArrow(_union_find, "node long, component long"), name)
+        out = materialize(cur.coalesce(1).mapInArrow(_union_find, "node long, component long"), name)
+        discard(cur)
+        return out
     seen = None
     while True:
         sym = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -98,10 +104,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc", o
         down = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n")
         small = large.join(down, large.u == down.n).select(F.col("u"), "v", "m")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        cur = materialize(small, name)
+        last, cur = cur, materialize(small, name)
+        discard(last)
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
-            return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+            ends = cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("component")))
+            out = materialize(ends.distinct(), name)
+            discard(cur)
+            return out
         seen = now
 
 
@@ -122,11 +132,10 @@ def filesystem(uri: str):
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a materialized table that nothing reads any more."""
+    """Delete a table of materialize() that nothing reads any more."""
     spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def reachable(spark: SparkSession) -> None:
@@ -138,13 +147,54 @@ def reachable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH", ""), root) if x)
 
 
+def _marked(df: DataFrame, wanted: DataFrame, key: str, most_bits: int) -> tuple[DataFrame, Column]:
+    """df with a bitmap's words, and whether a row's bit is set."""
+    bits = min(most_bits, max(1 << 16, 1 << (32 * wanted.count()).bit_length()))
+    h, (at, word, own) = F.pmod(F.xxhash64(key), F.lit(bits)), (f"_{uuid.uuid4().hex}" for _ in range(3))
+    words = wanted.select(h.alias("h")).groupBy((F.col("h") / 64).cast("long").alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias(own))
+    got = df.withColumn(at, h).withColumn(word, (F.col(at) / 64).cast("long")).join(F.broadcast(words), word, "left")
+    return got, F.coalesce(F.expr(f"shiftright({own}, cast({at} % 64 as int)) & 1L = 1L"), F.lit(False))
+
+
 def bit_filter(df: DataFrame, wanted: DataFrame, key: str, most_bits: int = 1 << 24) -> DataFrame:
     """The rows of df whose key may be in wanted, by a bitmap of hashed keys, to spare rows a shuffle.
 
     The bitmap has at most most_bits / 64 rows whatever the data, so it can be broadcast; the fuller it
     is, the less it spares. Rows that pass by chance must be dropped by the join that follows."""
-    bits = min(most_bits, max(1 << 16, 1 << (32 * wanted.count()).bit_length()))
-    h = F.pmod(F.xxhash64(key), F.lit(bits))
-    words = wanted.select(h.alias("h")).groupBy((F.col("h") / 64).cast("long").alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("_bits"))
-    got = df.withColumn("_h", h).withColumn("_w", (F.col("_h") / 64).cast("long")).join(F.broadcast(words), "_w")
-    return got.where(F.expr("shiftright(_bits, cast(_h % 64 as int)) & 1L = 1L")).select(*df.columns)
+    got, hit = _marked(df, wanted, key, most_bits)
+    return got.where(hit).select(*df.columns)
+
+
+def row_keys(docs: DataFrame) -> list[Column]:
+    """k1 and k2: 128 bits that tell (doc_id, text) apart, computed where the row is read."""
+    doc_id, text = docs["doc_id"].cast("long"), docs["text"]
+    return [F.xxhash64(F.lit(1), doc_id, text).alias("k1"), F.xxhash64(F.lit(2), text, doc_id).alias("k2")]
+
+
+def keep_rows(docs: DataFrame, rows: DataFrame, best: DataFrame, group: str) -> DataFrame:
+    """docs, all columns, without the rows of a group in `best` that aren't its best.
+
+    rows: group, k1, k2 of all rows; best: group (one row each), k1, k2 of the row that stays. Rows alike in
+    id and text share a key; of these the one whose columns come first as JSON stays. Whole rows move only
+    where a bitmap of bounded size can't tell that they stay; no key is null, so null ids are as any other.
+    """
+    b = best.select(F.col(group).alias("_g"), F.col("k1").alias("_b1"), F.col("k2").alias("_b2"))
+    b = materialize(b, "best")
+    hit = rows.join(b, F.col(group) == F.col("_g"))
+    own = (F.col("k1") == F.col("_b1")) & (F.col("k2") == F.col("_b2"))
+    keys = hit.groupBy("k1", "k2", own.alias("own")).agg(F.count("*").alias("n")).where("not own or n > 1")
+    keys = materialize(keys, "listed")
+    discard(b)
+    twice = keys.where("own").select("k1", "k2")
+    one, two = (f"_{uuid.uuid4().hex}" for _ in range(2))
+    keyed = docs.withColumns(dict(zip((one, two), row_keys(docs))))
+    named = lambda t: t.withColumnsRenamed({"k1": one, "k2": two})
+    got, listed = _marked(keyed, named(keys), one, 1 << 24)
+    may = bit_filter(keyed, named(keys), one)
+    out = got.where(~listed).select(*docs.columns).union(may.join(named(keys), [one, two], "left_anti").select(*docs.columns))
+    if twice.isEmpty():
+        return out
+    again = bit_filter(keyed, named(twice), one).join(named(twice), [one, two], "left_semi")
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    again = again.groupBy(one, two).agg(F.min_by(whole, F.to_json(whole, {"ignoreNullFields": "false"})).alias(one + "r"))
+    return out.union(again.select(f"{one}r.*"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize
+from .common import SPACE, discard, keep_rows, materialize, row_keys
 
 LEAST, MOST, MASK = 512, 8192, np.uint64((2048 - 1) << 40)
 _SPACE_BYTES = SPACE.encode()
@@ -77,8 +77,8 @@ def _recipes(bits: int):
             for i in range(0, len(b), 512):
                 rows = [(len(t or ""), *_chunks(t)) for t in texts[i : i + 512].to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [ids[i : i + 512], pa.array([r[0] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[1]).digest() for r in rows], pa.binary()), pa.array([b"".join(_hash(c, bits) for c in r[2]) for r in rows], pa.binary()), b.column(2)[i : i + 512]],
-                    ["doc_id", "points", "sha", "recipe", "row"],
+                    [ids[i : i + 512], pa.array([r[0] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[1]).digest() for r in rows], pa.binary()), pa.array([b"".join(_hash(c, bits) for c in r[2]) for r in rows], pa.binary()), b.column(2)[i : i + 512], b.column(3)[i : i + 512]],
+                    ["doc_id", "points", "sha", "recipe", "k1", "k2"],
                 )
 
     return run
@@ -108,26 +108,27 @@ def _ranked(bits: int, clashing: dict[bytes, list[bytes]]):
     return run
 
 
-_ROWS = "doc_id long, points long, sha binary, recipe binary, row long"
+_ROWS = "doc_id long, points long, sha binary, recipe binary, k1 long, k2 long"
 
 
-def recipes(docs: DataFrame, bits: int = 128, row: str | None = None) -> DataFrame:
-    """doc_id, points (code points of the original text), sha, recipe of verified identifiers, and the column
-    named by row (null if none is), which tells rows apart.
+def recipes(docs: DataFrame, bits: int = 128) -> DataFrame:
+    """doc_id, points (code points of the original text), sha, recipe of verified identifiers, and k1, k2, which
+    tell ids and texts apart.
 
     bits narrows the chunk hash, for tests of the clash path. Clashes are listed by digests of the
     differing chunks; with 128 bits the list is empty, and its size is checked before it is sent.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col(row) if row else F.lit(None).cast("long")).alias("row"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row_keys(docs))
     out = texts.mapInArrow(_recipes(bits), _ROWS)
     bodies = texts.mapInArrow(_bodies(bits), "h binary, body binary").distinct()
     clash = materialize(bodies.groupBy("h").agg(F.count("*").alias("n"), F.collect_set(F.unhex(F.sha2("body", 256))).alias("bodies")).where("n > 1"), "clashes")
     listed = clash.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    if not listed:
-        return out
     if listed > 1_000_000:
         raise ValueError("too many chunk hash clashes: widen the hash")
-    full = {bytes(r.h): [bytes(x) for x in r.bodies] for r in clash.collect()}
+    full = {bytes(r.h): [bytes(x) for x in r.bodies] for r in clash.collect()} if listed else {}
+    discard(clash)
+    if not full:
+        return out
 
     def both(batches):
         for b in batches:
@@ -153,16 +154,15 @@ def exact_groups(docs: DataFrame, bits: int = 128) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns: one row of each group, the one that exact_groups keeps.
 
-    Ids may be null or repeated, so each row gets a number of its own, in a table, and goes by that. Texts
-    move once, to meet the numbers of the rows that go, or not at all while these are few.
+    Ids may be null or repeated: rows go by a hash of id and text, and of rows alike in both one stays.
+    Texts move only where a bitmap of the rows that go can't tell that they stay.
     """
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    rows = materialize(recipes(numbered, row="_row"), "recipes")
-    first = F.struct(F.col("points"), F.coalesce(-F.col("doc_id"), F.lit(-(2**63))).alias("i"), -F.col("row"))
-    groups = rows.groupBy("recipe").agg(F.count("*").alias("n"), F.max_by("row", first).alias("_best")).where("n > 1")
-    groups = materialize(groups.select(F.col("recipe").alias("_r"), "_best"), "recipe-groups")
-    gone = rows.join(groups, F.col("recipe") == F.col("_r")).where("row <> _best").select(F.col("row").alias("_row"))
-    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
+    rows = materialize(recipes(docs).select("points", "doc_id", "recipe", "k1", "k2"), "recipes")
+    first = F.struct(F.col("points"), F.coalesce(-F.col("doc_id"), F.lit(-(2**63))).alias("i"), "k1", "k2")
+    best = rows.groupBy("recipe").agg(F.count("*").alias("n"), F.max(first).alias("o")).where("n > 1")
+    out = keep_rows(docs, rows, best.select("recipe", F.col("o.k1").alias("k1"), F.col("o.k2").alias("k2")), "recipe")
+    discard(rows)
+    return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -9,25 +9,31 @@ below; each set enters both. In a band, linked sets differ in at most H = (den -
 value. By cost, each band takes one of two allocations:
 - m = H + 1 + x whole segments: linked sets agree on at least x + 1 of them. A set with at most x
   empty segments leaves those out (two sets that agree on a segment agree that it is empty, so an
-  agreeing one remains); a set with more indexes them too.
+  agreeing one remains); a set with more indexes them too. x grows with the band, so that more are rare.
 - m = ceil((H + 1) / 2) segments with their one-deletion neighbourhoods: linked sets differ by at most
   one element in at least one segment, so they share its signature or one less an element.
 The cost counts index entries and, weighted, the expected entries of sparse segments, which many sets share.
 
-Candidates are sets that share an entry. Equal sets are one node from the start. Nodes are verified
-against one node of each shared entry; then, where an entry's nodes are not yet in one component,
-against a few nodes of its largest one; then all pairs of nodes in different components are (no others can change
-the result), inside map tasks, in blocks of about 1024 nodes, so that such pairs are compared but not emitted. Pairs are first tested by parity bitmaps, which never rule out a link, then
-verified exactly on the sets themselves.
+Candidates are sets that share an entry. Equal sets are one node from the start. Links are looked for
+where they can still join components: first, each node against one leader (of the nodes drawn for its
+entries the one that stands for most of them). Then in turns, while an entry has nodes in different
+components: all pairs of them are compared by their bitmaps inside map tasks, in blocks of about 1024
+nodes, and of the pairs not tried yet each node's nearest 1, 1, 2, 4, 8... are verified and united, until a
+turn finds none that the bitmaps allow. A pair is thus left unverified only within a component, and what is
+emitted follows the nodes, not their pairs. Bitmaps (parities of the set's elements) never rule out a link
+and rule out nearly all pairs somewhat below the limit; verification is exact on the sets themselves.
 
-Scale: an entry is 16 bytes in a block sorted by numpy; within a map task, copies and repeats of an
+Scale: an entry is 8 bytes in a block sorted by numpy; within a map task, copies and repeats of an
 entry are collapsed before the shuffle, so no task receives more than one row a map task for a hot
-entry. Shared entries go on as a table. Texts are read twice; those of
-nodes that have a candidate (one document a node; a bitmap of fixed size keeps most others from moving)
-move packed, to be verified. Shingles and nodes are 64-bit hashes.
-
-Edge cases: null or wordless text: size 0, its own component; null doc_id: component null unless
-linked; repeated rows: equal sets, linked; other columns are not read.
+entry. Hash ranges grow in number with the texts. Shared entries go on as a table. Only texts of nodes
+with a pair that passes the bitmaps move: packed, once to their node, and once to each leader they are
+verified against; a hot leader's members are split. Tables go as soon as nothing reads them. Shingles and
+nodes are 64-bit hashes.
+
+Edge cases: null or wordless text: size 0, its own component; null doc_id: its text links like any other,
+component_id is null where no id is reachable; repeated ids and rows: equal sets are linked, different
+ones are told apart by a hash of id and text; ties: none, links do not depend on order; an empty table
+gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,14 +47,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import slices
-from .common import bit_filter, components, discard, materialize
+from .bpe import release, slices
+from .common import bit_filter, components, discard, keep_rows, materialize, row_keys
 from .words import mix, word_hashes
 
 _K = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165)]
 _ONE = np.uint64(1)
-LEADERS = 4
 BLOCK = 1024
+#: Members of a leader that one task verifies, and bytes of text a hash range of the index stands for.
+MEMBERS, RANGE_BYTES = 512, 16 << 20
 
 
 def shingle_sets(texts: pa.Array, k: int):
@@ -102,12 +109,16 @@ def allocation(num: int, den: int, low: int, high: int) -> tuple[str, int, int]:
         mean = (low + high) / 2 / m
         return m * math.exp(-mean) * sum(mean**j / math.factorial(j) for j in range(upto + 1))
 
-    best = None
-    for x in range(5):
+    best, x = None, 0
+    while x <= max(4, h):
         m = h + 1 + x
         mean = crowd(m, 0)
-        kept = mean - sum(j * math.exp(-mean) * mean**j / math.factorial(j) for j in range(x + 1))
+        j = np.arange(x + 1)
+        with np.errstate(divide="ignore"):
+            law = np.exp(j * math.log(mean) - mean - np.concatenate([[0.0], np.cumsum(np.log(j[1:]))])) if mean > 0 else (j == 0) * 1.0
+        kept = mean - float((j * law).sum())
         best = min(best or (math.inf,), (m + 200 * max(0.0, kept), "whole", m, x))
+        x += 1 + x // 8
     m = -(-(h + 1) // 2)
     return min(best, (m + (low + high) / 2 + 200 * crowd(m, 1), "less", m, 0))[1:]
 
@@ -159,8 +170,8 @@ def _band_at(num: int, den: int, n: int) -> int:
     return lo
 
 
-_INDEX = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("packed", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
-_ENTRIES = "part int, n int, packed binary, nodes binary, sizes binary"
+_INDEX = pa.schema([("part", pa.int32()), *[(c, pa.int64()) for c in ("doc_id", "k1", "k2", "size", "node")], ("sketch", pa.binary()), ("n", pa.int32()), ("packed", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
+_INDEX_SQL = "part int, doc_id long, k1 long, k2 long, size long, node long, sketch binary, n int, packed binary, nodes binary, sizes binary"
 
 
 def _pack(sigs: np.ndarray, local: np.ndarray) -> bytes:
@@ -176,9 +187,10 @@ def _open(packed: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return high << 16 | np.frombuffer(b, np.uint16, n, 4 * n), np.frombuffer(b, np.uint16, n, 6 * n)
 
 
-def _index(k: int, num: int, den: int, parts: int, most: int = 1_500_000):
-    """Rows of documents (part null), and blocks of entries by hash range: part >= 0 for entries that one
-    node of the block has, part -1 for entries that several nodes of the block share."""
+def _index(k: int, num: int, den: int, parts: int, most: int = 1_000_000):
+    """Rows of documents (part null; the sketch with the first of a block's equal sets), and blocks of entries
+    by hash range: part >= 0 for one node of each entry of the block, part -1 for all nodes of entries that
+    several nodes of the block share."""
 
     def blocks(sigs, nodes, sizes):
         s, local = np.concatenate(sigs), np.repeat(np.arange(len(nodes)), [len(x) for x in sigs])
@@ -196,19 +208,21 @@ def _index(k: int, num: int, den: int, parts: int, most: int = 1_500_000):
             own, at = np.unique(at, return_inverse=True)
             packed.append(_pack(x, at)), of.append(ids[own].tobytes()), size.append(lens[own].tobytes())
         none = pa.nulls(len(rows), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), none, none, none, pa.array([len(r[1]) for r in rows], pa.int32()), *[pa.array(x, pa.binary()) for x in (packed, of, size)]], schema=_INDEX)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[none] * 5, pa.nulls(len(rows), pa.binary()), pa.array([len(r[1]) for r in rows], pa.int32()), *[pa.array(x, pa.binary()) for x in (packed, of, size)]], schema=_INDEX)
 
     def run(batches):
         seen, sigs, nodes, sizes, held = set(), [], [], [], 0
         for batch in batches:
             for b in slices(batch, 1, 1 << 20):
-                ids, size = [], []
+                ids, size, sketch = [], [], []
                 for x in shingle_sets(b.column(1), k):
                     node = node_of(x)
                     ids.append(node if len(x) else None)
                     size.append(len(x))
+                    sketch.append(None)
                     if len(x) and node not in seen:
                         seen.add(node)
+                        sketch[-1] = parity(x).tobytes()
                         e = entries(x, num, den)
                         sigs.append(e), nodes.append(node), sizes.append(len(x))
                         held += len(e)
@@ -216,7 +230,7 @@ def _index(k: int, num: int, den: int, parts: int, most: int = 1_500_000):
                             yield blocks(sigs, nodes, sizes)
                             seen, sigs, nodes, sizes, held = set(), [], [], [], 0
                 none = pa.nulls(len(b), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(b), pa.int32()), b.column(0), pa.array(size, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(len(b), pa.int32()), none, none, none], schema=_INDEX)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(b), pa.int32()), b.column(0), b.column(2), b.column(3), pa.array(size, pa.int64()), pa.array(ids, pa.int64()), pa.array(sketch, pa.binary()), pa.nulls(len(b), pa.int32()), none, none, none], schema=_INDEX)
         if sigs:
             yield blocks(sigs, nodes, sizes)
 
@@ -247,42 +261,106 @@ def _unpack(batches):
             yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(n), pa.array(z)], ["sig", "node", "size"])
 
 
-_SKETCH = 16  # longs
-_PARITY = [f"p{i}" for i in range(_SKETCH)]
+def parity(x: np.ndarray) -> np.ndarray:
+    """How often the set's elements fall on each of B bits, odd or even (B: the power of two at or above four
+    times its size, 1024 at least). Two sets' parities differ in at most as many bits as the sets in elements, so a
+    large difference rules a pair out without its sets."""
+    bits = max(1024, 1 << (4 * len(x) - 1).bit_length())
+    odd = np.bincount((x >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def parity(x: np.ndarray) -> np.ndarray:
-    """How often the set's elements fall on each of 1024 bits, odd or even: two sets' parities differ in at
-    most as many bits as the sets in elements, so a large difference rules a pair out without its sets."""
-    bits = np.bincount((x >> np.uint64(20)).astype(np.int64) & (64 * _SKETCH - 1), minlength=64 * _SKETCH) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def fold(p: np.ndarray, longs: int) -> np.ndarray:
+    """Parities (rows of a matrix) on fewer bits."""
+    while p.shape[1] > longs:
+        p = p[:, : p.shape[1] // 2] ^ p[:, p.shape[1] // 2 :]
+    return p
+
+
+def _sketches(column) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By width in longs: the rows of a column of sketches that have it, and their matrix."""
+    raw = column.to_pylist()
+    size = np.fromiter(map(len, raw), np.int64, len(raw)) // 8
+    out = {}
+    for w in np.unique(size).tolist():
+        at = np.flatnonzero(size == w)
+        out[w] = at, np.frombuffer(b"".join(raw[i] for i in at.tolist()), np.uint64).reshape(-1, w)
+    return out
+
+
+def _near(num: int, den: int):
+    """Of (a, b, sizes, sketches), the pairs that their parities do not rule out."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, len(batch), 4096):
+                b = batch.slice(i, 4096)
+                limit = (den - num) * (np.asarray(b.column(2)) + np.asarray(b.column(3)))
+                rows = np.arange(len(b))
+                keep = _apart(_sketches(b.column(4)), _sketches(b.column(5)), rows, rows) * (den + num) <= limit
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    return run
 
 
 def _texts_of(k: int):
-    """(node, packed text, parity) of the rows whose text has the node's set."""
+    """(node, packed text) of rows."""
 
     def run(batches):
         for batch in batches:
-            for b in slices(batch, 1, 1 << 20):
-                sets = list(shingle_sets(b.column(1), k))
-                good = [node_of(x) == n for n, x in zip(b.column(0).to_pylist(), sets)]
-                b = b.filter(pa.array(good, pa.bool_()))
-                p = np.array([parity(x) for x, g in zip(sets, good) if g], np.int64).reshape(-1, _SKETCH)
-                raw = b.column(1).cast(pa.binary()).to_pylist()
+            for b in slices(batch, 0, 1 << 20):
+                nodes = [node_of(x) if len(x) else None for x in shingle_sets(b.column(0), k)]
+                raw = b.column(0).cast(pa.binary()).to_pylist()
                 x = [len(r).to_bytes(8, "little") + pa.compress(r, codec="zstd", asbytes=True) for r in raw]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary()), *[pa.array(np.ascontiguousarray(p[:, i])) for i in range(_SKETCH)]], ["node", "x", *_PARITY])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(x, pa.binary())], ["node", "x"])
 
     return run
 
 
-def _close(num: int, den: int):
-    """Pairs of neighbours in one entry (and pair of blocks) that are in different components, and whose
-    sizes and parities allow a link. Rows come sorted; a group is at most two blocks."""
+def _apart(left, right, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Bits in which the parities of rows u and v differ. left, right: by width, as of _sketches."""
+    out = np.zeros(len(u), np.int64)
+    for w, (i0, p) in left.items():
+        at0 = np.searchsorted(i0, u)
+        mine = (at0 < len(i0)) & (i0[np.minimum(at0, len(i0) - 1)] == u)
+        for z, (i1, q) in right.items():
+            at1 = np.searchsorted(i1, v)
+            both = np.flatnonzero(mine & (at1 < len(i1)) & (i1[np.minimum(at1, len(i1) - 1)] == v))
+            step = max(64, (1 << 20) // max(w, z))
+            for k in range(0, len(both), step):
+                x = both[k : k + step]
+                out[x] = np.bitwise_count(fold(p[at0[x]], min(w, z)) ^ fold(q[at1[x]], min(w, z))).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    return mix(np.minimum(a, b) ^ _K[2]) * _K[3] + mix(np.maximum(a, b) ^ _K[4])
+
+
+def _close(num: int, den: int, most: int):
+    """Of pairs of neighbours in one entry (and pair of blocks) that are in different components, not tried
+    before, and whose sizes and parities allow a link: the `most` nearest of each node.
+    Rows come sorted; a group is at most two blocks."""
+
+    def nearest(node, ratio, other):
+        order = np.lexsort((other, ratio, node))
+        node, ratio, other = node[order], ratio[order], other[order]
+        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        rank = np.arange(len(node)) - np.repeat(first, np.diff(first, append=len(node)))
+        return node[rank < most], ratio[rank < most], other[rank < most]
 
     def compare(t: pa.Table):
         sig, lo, hi, blk, node, size, c = (np.asarray(t.column(i)) for i in range(7))
-        p = np.stack([np.asarray(t.column(i)) for i in range(7, 7 + _SKETCH)], axis=1).view(np.uint64)
-        i, d, a, b = np.arange(len(sig)), 1, [], []
+        sketches = _sketches(t.column(7))
+        p = np.zeros((len(sig), 16), np.uint64)
+        for at, x in sketches.values():
+            p[at] = fold(x, 16)
+        bad, tried = t.column(8).combine_chunks(), np.zeros(0, np.uint64)
+        if len(bad.flatten()):
+            tried = _pair_key(np.repeat(node, np.asarray(bad.value_lengths().fill_null(0))), np.asarray(bad.flatten()))
+        i, d, held = np.arange(len(sig)), 1, [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
+        fresh, n = [[], [], []], 0
         while len(i):
             i = i[i + d < len(sig)]
             j = i + d
@@ -292,30 +370,42 @@ def _close(num: int, den: int):
             x, y = i[ok], j[ok]
             for k in range(0, len(x), 1 << 16):
                 u, v = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
-                apart = np.bitwise_count(p[u] ^ p[v]).sum(axis=1, dtype=np.int64)
-                hit = apart * (den + num) <= (den - num) * (size[u] + size[v])
-                a.append(node[u[hit]]), b.append(node[v[hit]])
+                limit = (den - num) * (size[u] + size[v]) / (den + num)
+                hit = np.bitwise_count(p[u] ^ p[v]).sum(axis=1, dtype=np.int64) <= limit
+                u, v, limit = u[hit], v[hit], limit[hit]
+                if len(u) and len(tried):
+                    new = ~np.isin(_pair_key(node[u], node[v]), tried)
+                    u, v, limit = u[new], v[new], limit[new]
+                if len(u):
+                    apart = _apart(sketches, sketches, u, v)
+                    hit = apart <= limit
+                    u, v, ratio = u[hit], v[hit], (apart / limit)[hit]
+                    for z, w in zip(fresh, (np.concatenate([u, v]), np.concatenate([ratio, ratio]), np.concatenate([v, u]))):
+                        z.append(w)
+                    n += 2 * len(u)
+                if n > 1 << 18:
+                    held, fresh, n = nearest(*[np.concatenate([h, *f]) for h, f in zip(held, fresh)]), [[], [], []], 0
             d += 1
-        a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
-        return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        u, _, v = nearest(*[np.concatenate([h, *f]) for h, f in zip(held, fresh)])
+        got = np.unique(np.stack([sig[u], np.minimum(node[u], node[v]), np.maximum(node[u], node[v])], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(got[:, k])) for k in range(3)], ["sig", "a", "b"])
 
     def run(batches):
         held = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
-            if len(held) < 20_000:
+            if len(held) < 10_000:
                 continue
             # whole groups go, the last one waits for its end
             key = [np.asarray(held.column(i)) for i in range(3)]
             change = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])) + 1
             if len(change):
-                found = compare(held.slice(0, int(change[-1])).combine_chunks())
+                yield compare(held.slice(0, int(change[-1])).combine_chunks())
                 held = held.slice(int(change[-1]))
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
         if held is not None:
-            found = compare(held.combine_chunks())
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            yield compare(held.combine_chunks())
+        release()
 
     return run
 
@@ -326,6 +416,8 @@ def _sets_of(packed: list[bytes], k: int) -> list[np.ndarray]:
 
 
 def _verify(k: int, num: int, den: int):
+    """Of the texts of each leader a, its own (null b) first, those linked with it."""
+
     def linked(p, q):
         if len(p) > len(q):
             p, q = q, p
@@ -334,102 +426,111 @@ def _verify(k: int, num: int, den: int):
         return den * common >= num * (len(p) + len(q) - common)
 
     def run(batches):
-        last = (None, None)
+        lead, own = None, None
         for batch in batches:
-            for b in slices(batch, 3, 1 << 20):
+            for b in slices(batch, 2, 1 << 20):
                 keep = []
-                for a, x, q in zip(b.column(0).to_pylist(), b.column(2), _sets_of(b.column(3).to_pylist(), k)):
-                    if last[0] != a:
-                        last = (a, _sets_of([x.as_py()], k)[0])
-                    keep.append(linked(last[1], q))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
+                for a, other, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _sets_of(b.column(2).to_pylist(), k)):
+                    if other is None:
+                        lead, own = a, x
+                    elif lead != a:
+                        raise ValueError(f"the text of node {a} is missing")
+                    keep.append(other is not None and linked(own, x))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, node, component_id for every row."""
+    """doc_id, k1 and k2 (hashes of id and text), n_shingles, node, component_id for every row; null root: no words."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    index = materialize(texts.mapInArrow(_index(k, num, den, parts), "part int, doc_id long, size long, node long, n int, packed binary, nodes binary, sizes binary"), "jaccard-index")
-    rows = index.where("part IS NULL").select("doc_id", "size", "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *row_keys(docs))
+    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 14, volume // RANGE_BYTES))
+    index = materialize(texts.mapInArrow(_index(k, num, den, parts), _INDEX_SQL), "jaccard-index")
     packed = index.where("part IS NOT NULL").select("part", "n", "packed", "nodes", "sizes")
-    shared = packed.where("part >= 0").groupBy("part").applyInArrow(_shared, "sig long, node long, size long")
+    across = packed.where("part >= 0").groupBy("part").applyInArrow(_shared, "sig long, node long, size long")
     within = packed.where("part < 0").mapInArrow(_unpack, "sig long, node long, size long")
-    shared = materialize(shared.union(within).distinct(), "jaccard-shared")
-    rows = materialize(rows, "jaccard-documents")
+    every = materialize(across.union(within).distinct(), "jaccard-shared")
+    rows = materialize(index.where("part IS NULL").select("doc_id", "k1", "k2", "size", "node", "sketch"), "jaccard-documents")
     discard(index)
     # near copies share many entries: of the entries that have the same nodes (by count and two hashes), one is enough
-    same = shared.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("k"))
-    shared = materialize(shared.join(same.groupBy("n", "h", "k").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi"), "jaccard-groups")
-    one = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    asked = materialize(one.join(shared.select("node").distinct(), "node"), "jaccard-asked")
-    sets = bit_filter(texts, asked, "doc_id").join(asked, "doc_id").select("node", "text").mapInArrow(_texts_of(k), ", ".join(["node long, x binary", *[f"{p} long" for p in _PARITY]]))
-    sets = materialize(sets, "jaccard-texts")
-    sizes = shared.groupBy("node").agg(F.max("size").alias("size"))
-    sketches = materialize(sets.select("node", *_PARITY).join(sizes, "node"), "jaccard-parities")
-    done = []
-
-    def verified(pairs, name):
-        """The linked ones of pairs (a < b) not verified before: by parity first, then by the sets."""
-        for x in done:
-            pairs = pairs.join(x, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, f"jaccard-pairs-{name}")
-        done.append(pairs)
-        left = sketches.select(F.col("node").alias("a"), F.col("size").alias("sa"), *[F.col(p).alias(f"a{p}") for p in _PARITY])
-        right = sketches.select(F.col("node").alias("b"), F.col("size").alias("sb"), *_PARITY)
-        apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"a{p}"))) for p in _PARITY), F.lit(0))
-        close = pairs.join(right, "b").join(left, "a").where(apart * (den + num) <= (den - num) * (F.col("sa") + F.col("sb"))).select("a", "b")
-        close = materialize(close, f"jaccard-close-{name}")
-        some = bit_filter(sets.select("node", "x"), close.select(F.col("a").alias("node")).union(close.select("b")), "node")
-        s, t = some.select(F.col("node").alias("b"), F.col("x").alias("y")), some.select(F.col("node").alias("a"), "x")
-        return materialize(close.join(s, "b").join(t, "a").select("a", "b", "x", "y").mapInArrow(_verify(k, num, den), "a long, b long, linked boolean").where("linked").select("a", "b"), f"jaccard-links-{name}")
-
-    def ordered(pairs):
-        """Pairs (node, other) whose sizes can link, smaller node first, each once."""
-        near = (F.col("size") * num <= F.col("so") * den) & (F.col("so") * num <= F.col("size") * den) & (F.col("node") != F.col("other"))
-        return pairs.where(near).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-
-    # round 1: every node against one node of each shared entry, drawn by hash, the same for all entries
-    drawn = lambda i: F.min_by(F.struct("node", "size"), F.xxhash64("node", F.lit(i)))
-    lead = shared.groupBy("sig").agg(drawn(0).alias("o"))
-    first = shared.join(lead, "sig").select("node", "size", F.col("o.node").alias("other"), F.col("o.size").alias("so"))
-    links = verified(ordered(first), "one")
-
-    def mixed(links, name):
-        """Shared entries whose nodes are in several components: sig, node, size, c."""
-        found = components(links, name=name).withColumnRenamed("component", "c")
-        s = shared.join(found, "node", "left").withColumn("c", F.coalesce("c", "node"))
-        many = s.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("sig")
-        return materialize(s.join(many, "sig", "left_semi").select("sig", "node", "size", "c"), name)
-
-    # round 2: against nodes drawn from the largest component of each entry that holds several
-    s = mixed(links, "jaccard-mixed-one")
-    per = s.groupBy("sig", "c").agg(F.count("*").alias("n"), F.array(*[drawn(i + 1) for i in range(LEADERS)]).alias("o"))
-    lead = per.groupBy("sig").agg(F.array_distinct(F.max_by("o", F.struct("n", "c"))).alias("o"), F.max(F.struct("n", "c"))["c"].alias("big"))
-    second = s.join(lead, "sig").where("c <> big").select("node", "size", F.explode("o").alias("o")).select("node", "size", F.col("o.node").alias("other"), F.col("o.size").alias("so"))
-    links = materialize(links.union(verified(ordered(second), "two")), "jaccard-links-so-far")
-    # round 3: all pairs of an entry that are still in different components, compared by parity in blocks
-    s = mixed(links, "jaccard-mixed-two")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    s = s.join(s.groupBy("sig").agg(F.count("*").alias("n")), "sig").join(sketches.drop("size"), "node")
-    s = s.withColumn("blk", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    s = s.select("sig", F.least("blk", "y").alias("lo"), F.greatest("blk", "y").alias("hi"), "blk", "node", "size", "c", *_PARITY)
-    s = s.repartition(F.col("sig"), F.col("lo"), F.col("hi")).sortWithinPartitions("sig", "lo", "hi", "blk")
-    third = s.mapInArrow(_close(num, den), "a long, b long").distinct()
-    links = materialize(links.union(verified(third, "three")), "jaccard-links-all")
-    found = components(links, name="jaccard-final")
-    low = one.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("doc_id").alias("component_id"))
-    of = one.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("root")).join(low, "root").select("node", "component_id")
-    of = materialize(of, "jaccard-components")
-    return rows.join(of, "node", "left").select("doc_id", F.col("size").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    same = every.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("k"))
+    shared = materialize(every.join(same.groupBy("n", "h", "k").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi"), "jaccard-groups")
+    discard(every)
+    # of each node with a candidate: one row that has its text, and its sketch
+    asked = rows.where("sketch IS NOT NULL").join(shared.select("node").distinct(), "node", "left_semi")
+    asked = materialize(asked.groupBy("node").agg(F.min(F.struct("k1", "k2", "size", "sketch")).alias("r")).select("node", "r.*"), "jaccard-asked")
+
+    def verified(close, name):
+        """The linked ones of pairs (a leads b) that passed the bitmaps, by the sets."""
+        heads = close.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
+        members = close.join(heads, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
+        leaders = heads.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"))
+        both = materialize(members.union(leaders).withColumn("node", F.coalesce("b", "a")), f"jaccard-asked-{name}")
+        wanted = asked.join(both.select("node").distinct(), "node", "left_semi")
+        found = bit_filter(texts.select("text", "k1", "k2"), wanted, "k1").join(wanted.select("k1", "k2"), ["k1", "k2"], "left_semi").select("text")
+        found = found.mapInArrow(_texts_of(k), "node long, x binary").groupBy("node").agg(F.first("x").alias("x"))
+        dealt = both.join(found, "node").select("a", "salt", "b", "x").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+        links = materialize(dealt.select("a", "b", "x").mapInArrow(_verify(k, num, den), "a long, b long"), f"jaccard-links-{name}")
+        discard(both)
+        return links
+
+    def near(size, other):
+        return (F.col(size) * num <= F.col(other) * den) & (F.col(other) * num <= F.col(size) * den)
+
+    # first, every node against one of the nodes drawn for its entries (by hash, alike in all entries)
+    lead = shared.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(0)), "node", "size")).alias("o")).select("sig", F.col("o.node").alias("a"), F.col("o.size").alias("so"))
+    drawn = shared.join(lead, "sig").where((F.col("a") != F.col("node")) & near("size", "so"))
+    drawn = drawn.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("n"))
+    best = drawn.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
+    left = asked.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("sketch").alias("pa"))
+    right = asked.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("sketch").alias("pb"))
+    close = best.join(right, "b").join(left, "a").select("a", "b", "sa", "sb", "pa", "pb").mapInArrow(_near(num, den), "a long, b long")
+    tried = materialize(close, "jaccard-tried-one")
+    links = verified(tried, "one")
+    # then, while an entry has nodes in different components: each node against its nearest ones there
+    left, turn = materialize(shared.groupBy("sig").agg(F.count("*").alias("n")), "jaccard-sizes"), 0
+    while True:
+        found = components(links, name="jaccard-found")
+        bad = tried.select(F.col("b").alias("node"), "a").groupBy("node").agg(F.collect_set("a").alias("bad"))
+        s = shared.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
+        many = s.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").join(left, "sig").select("sig", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        s = s.join(many, "sig").join(asked.select("node", "sketch"), "node").join(bad, "node", "left")
+        # blocks by themselves in the first turn, when a large family is not united yet; then all pairs of blocks
+        blk = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        s = s.withColumn("blk", blk).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if turn else F.col("blk"))
+        s = s.select("sig", F.least("blk", "y").alias("lo"), F.greatest("blk", "y").alias("hi"), "blk", "node", "size", "c", "sketch", "bad")
+        s = s.repartition(F.col("sig"), F.col("lo"), F.col("hi")).sortWithinPartitions("sig", "lo", "hi", "blk")
+        got = materialize(s.mapInArrow(_close(num, den, 1 << max(0, turn - 1)), "sig long, a long, b long"), "jaccard-close")
+        if got.isEmpty() and (turn or left.where(F.col("n") > BLOCK).isEmpty()):
+            discard(got)
+            break
+        first = F.struct(F.xxhash64("a", F.lit(0)), "a") < F.struct(F.xxhash64("b", F.lit(0)), "b")
+        pairs = got.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
+        more = verified(pairs, "more")
+        old = [found, got, more, links, tried, left]
+        # of the entries whose pairs were all compared, only those that had one can have one again
+        again = left.join(got.select("sig").distinct().withColumn("had", F.lit(True)), "sig", "left").where(F.col("had") if turn else F.col("had") | (F.col("n") > BLOCK))
+        left = materialize(again.select("sig", "n"), "jaccard-sizes")
+        links, tried = materialize(links.union(more), "jaccard-links"), materialize(tried.union(pairs), "jaccard-tried")
+        for table in old:
+            discard(table)
+        turn += 1
+    one = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("root"), "doc_id")
+    one = materialize(one, "jaccard-nodes")
+    low = one.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    of = materialize(one.join(low, "root").select("node", "root", "component_id"), "jaccard-components")
+    for table in (shared, asked, links, tried, left, found, one):
+        discard(table)
+    return rows.join(of, "node", "left").select("doc_id", "k1", "k2", F.col("size").alias("n_shingles"), "node", "root", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs with one document (the smallest doc_id) of each component, all columns."""
-    found = jaccard_components(docs, k, num, den).where("component_id <=> doc_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_keep"))).select(*docs.columns)
+    """The rows of docs with one document of each component (the smallest doc_id, null last), all columns."""
+    found = materialize(jaccard_components(docs, k, num, den).where("root IS NOT NULL").select("root", "doc_id", "k1", "k2"), "jaccard-roots")
+    best = found.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("o")).where("n > 1")
+    return keep_rows(docs, found, best.select("root", F.col("o.k1").alias("k1"), F.col("o.k2").alias("k2")), "root")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
