@@ -2,7 +2,8 @@
 
 The byte-level pre-tokenizer always starts a token at a space that follows a character other than
 white space, so a text without two adjacent white-space characters is the concatenation of its pieces
-split before spaces, and pieces can be encoded apart. Texts with adjacent white space are encoded whole.
+split before spaces, and pieces can be encoded apart. Texts with adjacent white space, or with the string of an added token (which
+the library turns into that token's id), are encoded whole.
 Encoded pieces are kept for the life of the worker process, `KEEP` at most.
 """
 
@@ -32,7 +33,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        # the library finds these strings in a text before it splits words: such texts are encoded whole
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         # a piece's first token is the only one of its tokens that starts with a space
         self.lead = np.zeros(self.tok.get_vocab_size(), bool)
         self.lead[[i for t, i in self.tok.get_vocab().items() if t.startswith("\u0120")]] = True
@@ -83,6 +85,10 @@ class Encoder:
         texts = pc.fill_null(texts.cast(pa.string()), "")
         n = len(texts)
         odd = np.asarray(pc.match_substring_regex(texts, r"[\s\x0B\x{85}\pZ\x{1C}-\x{1F}][\s\x0B\x{85}\pZ\x{1C}-\x{1F}]"))
+        for t in self.added:
+            odd = odd | np.asarray(pc.match_substring(texts, t))
+        if any(" " in t for t in self.added):
+            odd = np.ones(n, bool)
         split = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
         starts = np.asarray(split.offsets, np.int64)
         coded = split.flatten().dictionary_encode()
