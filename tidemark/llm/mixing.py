@@ -8,22 +8,25 @@ sample: with inclusion probability p (the fraction left) and a uniform number u
 doc_id, documents are ranked by (u / (1 - u)) / (p / (1 - p)), and taken in that order while the
 next whole document brings the source's words closer to its target: a sample of fixed size in words.
 
-Scale: documents are read once, into a narrow table. Ranks are never sorted per source: keys are
-counted in buckets of about `bucket_rows` documents, running sums over buckets find the one in which
-the sample ends, and only that bucket is walked in order. A hot source just has more buckets. Tables
-by source, class or bucket are joined with hints left to the planner.
+Scale: documents are read once, into a narrow table. Ranks are never sorted per source: a rank is a
+number of 60 bits, and level by level its next 3 bits deal a source's documents into 8 buckets, whose
+running sums find the one in which the sample ends, until that one holds at most `bucket_rows`; only it
+is walked in order. So neither a hot source nor crowded ranks reach one task. Tables by source or class
+are small (a row a source, eight a source) and joined with hints left to the planner.
 
 Edge cases: null or wordless text has size 0 and takes 0; null source is a source, last in order; rows
-alike in doc_id, source and size share one fate (null doc_id: as one id); an empty table gives no
-rows; clashing extra columns are not read.
+alike in doc_id, source and size share one fate (null doc_id: as one id); ties in rank go by doc_id and
+size; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, discard, materialize
 
 WEIGHTS = (1.0, 2.0, 3.0)
 
@@ -42,10 +45,13 @@ def _targets(sizes: DataFrame, weights, share: float, most: float) -> DataFrame:
     return w.select("source", "source_size", "n", F.least("_cap", F.coalesce(F.col("_level") * F.col("weight"), F.col("_cap"))).alias("target"))
 
 
-def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: int = 3, seed: int = 7, bucket_rows: int = 512) -> DataFrame:
+def _size():
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: int = 3, seed: int = 7, bucket_rows: int = 1024) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every row."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    base = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "mix-sizes")
+    base = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size().alias("size")), "mix-sizes")
     kind = F.when(F.col("size") < 1, 0).otherwise(F.least(F.lit(8), F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)))) + 1)).cast("int")
     base = base.withColumn("kind", kind)
     kinds = base.groupBy("source", "kind").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
@@ -64,20 +70,29 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: in
     k = k.withColumn("whole", F.floor("want").cast("int")).withColumn("p", F.col("want") - F.col("whole"))
     k = k.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.sum(F.col("whole") * F.col("words")).over(own)))
     k = k.withColumn("odds", F.col("p") / (1 - F.col("p"))).withColumn("odds_max", F.max("odds").over(own))
-    k = materialize(k.select("_s", F.col("kind").alias("_kind"), "source_size", "target", "whole", "odds", "odds_max", "rest", F.greatest(F.lit(1), F.ceil(F.col("n") / bucket_rows)).alias("buckets")), "mix-classes")
+    k = materialize(k.select("_s", F.col("kind").alias("_kind"), "source_size", "target", "whole", "odds", "odds_max", "rest"), "mix-classes")
     # rank key: odds of u over odds of p, scaled by the source's largest odds, mapped to (0, 1)
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     d = base.join(k, F.col("source").eqNullSafe(F.col("_s")) & (F.col("kind") == F.col("_kind")), "left")
     q = (u / (1 - u)) / (F.col("odds") / F.col("odds_max"))
-    d = d.withColumn("q", F.when(F.col("odds") > 0, q / (1 + q)))
-    d = d.withColumn("bucket", F.when(F.col("q").isNotNull(), F.floor(F.col("q") * F.col("buckets"))))
-    open_ = d.where("bucket IS NOT NULL")
-    sums = open_.groupBy("_s", "bucket").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("_s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = sums.withColumn("before", before).where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
-    cut = materialize(cut.select(F.col("_s").alias("_cs"), F.col("bucket").alias("cut"), (F.col("rest") - F.col("before")).alias("room")), "mix-cuts")
+    d = d.withColumn("q", F.when(F.col("odds") > 0, F.floor(q / (1 + q) * float(1 << 60)).cast("long")))
+    d = materialize(d.select("doc_id", "source", "size", "_s", "whole", "rest", "q"), "mix-ranks")
+    open_ = d.where("q IS NOT NULL")
+    at = F.expr("shiftright(q, below)")
+    cut = open_.groupBy("_s").agg(F.sum("size").alias("words"), F.max("rest").alias("room"), F.count("*").alias("n")).where("words > room")
+    cut = materialize(cut.select(F.col("_s").alias("_cs"), F.lit(0).cast("long").alias("cut"), F.lit(60).alias("below"), "room", "n"), "mix-cuts")
+    while not cut.where((F.col("n") > bucket_rows) & (F.col("below") > 0)).isEmpty():
+        wide = (F.col("n") > bucket_rows) & (F.col("below") > 0)
+        here = open_.join(cut.where(wide), F.col("_s").eqNullSafe(F.col("_cs")) & (at == F.col("cut")))
+        sums = here.groupBy("_s", (F.col("below") - 3).alias("below"), F.expr("shiftright(q, below - 3)").alias("b")).agg(F.sum("size").alias("words"), F.max("room").alias("room"), F.count("*").alias("n"))
+        before = F.coalesce(F.sum("words").over(Window.partitionBy("_s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        sums = sums.withColumn("before", before).where((F.col("before") <= F.col("room")) & (F.col("before") + F.col("words") > F.col("room")))
+        finer = sums.select(F.col("_s").alias("_cs"), F.col("b").alias("cut"), "below", (F.col("room") - F.col("before")).alias("room"), "n")
+        old, cut = cut, materialize(cut.where(~wide).union(finer), "mix-cuts")
+        discard(old)
+    ends = cut.select("_cs", "cut", "below", "room")
     # walk the cut bucket in rank order: take a document when that brings the words closer to the target
-    units = open_.join(cut, F.col("_s").eqNullSafe(F.col("_cs")) & (F.col("bucket") == F.col("cut")))
+    units = open_.join(ends, F.col("_s").eqNullSafe(F.col("_cs")) & (at == F.col("cut")))
     units = units.groupBy("_s", "room", "q", "doc_id", "size").agg((F.count("*") * F.col("size")).alias("words"))
     walk = units.groupBy("_s", "room").agg(F.sort_array(F.collect_list(F.struct("q", "doc_id", "size", "words"))).alias("x"))
     start = F.struct(F.col("room").cast("double").alias("room"), F.expr("cast(array() as array<struct<doc_id:bigint,size:bigint>>)").alias("got"))
@@ -87,9 +102,9 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: in
         return F.struct(F.when(fits, acc["room"] - x["words"]).otherwise(acc["room"]).alias("room"), F.when(fits, F.concat(acc["got"], F.array(F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"))))).otherwise(acc["got"]).alias("got"))
 
     taken = walk.select(F.col("_s").alias("_ts"), F.explode(F.aggregate("x", start, step)["got"]).alias("g")).select("_ts", F.col("g.doc_id").alias("_td"), F.col("g.size").alias("_tz"), F.lit(True).alias("hit"))
-    d = d.join(cut, F.col("_s").eqNullSafe(F.col("_cs")), "left")
-    d = d.join(taken, F.col("_s").eqNullSafe(F.col("_ts")) & F.col("doc_id").eqNullSafe(F.col("_td")) & (F.col("size") == F.col("_tz")) & (F.col("bucket") == F.col("cut")), "left")
-    extra = F.when(F.col("bucket").isNull(), F.lit(0)).when(F.col("cut").isNull() | (F.col("bucket") < F.col("cut")) | F.col("hit"), F.lit(1)).otherwise(F.lit(0))
+    d = d.join(ends, F.col("_s").eqNullSafe(F.col("_cs")), "left")
+    d = d.join(taken, F.col("_s").eqNullSafe(F.col("_ts")) & F.col("doc_id").eqNullSafe(F.col("_td")) & (F.col("size") == F.col("_tz")) & (at == F.col("cut")), "left")
+    extra = F.when(F.col("q").isNull(), F.lit(0)).when(F.col("cut").isNull() | (at < F.col("cut")) | F.col("hit"), F.lit(1)).otherwise(F.lit(0))
     copies = F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(F.lit(0)).cast("int")
     s = sources.select(F.col("source").alias("_ss"), F.col("source_size").alias("_sz"), F.col("target").alias("_tg"))
     d = d.join(s, F.col("source").eqNullSafe(F.col("_ss")))
@@ -97,11 +112,15 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: in
 
 
 def repeat_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with all their columns."""
-    copies = mix_documents(docs, **how).where("copies > 0").groupBy("doc_id", "source").agg(F.max("copies").alias("_copies"))
-    copies = copies.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "_copies")
-    got = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")))
-    return got.withColumn("_k", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    """The rows of docs, each as often as the mix takes it, with all their columns. Rows alike in doc_id, source
+    and size (null ids too) have one number of copies; others that share an id have their own."""
+    copies = mix_documents(docs, **how).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
+    copies = materialize(copies, "mix-copies")
+    own = {c: f"_{uuid.uuid4().hex}" for c in ("doc_id", "source", "size", "copies", "k")}
+    copies = copies.withColumnsRenamed(own)
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(own["doc_id"])) & docs["source"].cast("string").eqNullSafe(F.col(own["source"])) & (_size() == F.col(own["size"]))
+    got = docs.join(copies, same)
+    return got.withColumn(own["k"], F.explode(F.sequence(F.lit(1), F.col(own["copies"])))).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
