@@ -2,17 +2,20 @@
 
 Documents with equal texts form one indivisible group. Groups, largest first, enter the bin with the
 tightest remaining capacity that still holds them, found in a balanced tree, and the smallest capacity
-for which the bins suffice is searched.
-
-Scale: group sizes are summed with map-side combining. A group larger than total / (shards * 64) is a
-unit of its own (there can be at most shards * 64 of these); all smaller groups are dealt by hash of
-their text into `bundles` units. So the packing sees at most shards * 64 + bundles units at any corpus
-size: the only thing collected and broadcast. A group that exceeds an even share gets a bin by itself
-and the others are balanced over the rest.
-
-Edge cases: null text has no bytes (size 16) and is a group with no other row (dealt by doc_id); empty
-text is a text like others; repeated rows count each; an empty table gives no rows; other columns are
-not read.
+for which the bins suffice is searched. Groups of one size are alike, so they enter in runs: the tightest
+bin stays the tightest until it can't hold one more, which gives the bins that one by one would give.
+
+Scale: group sizes are summed with map-side combining. What is collected is a count by size, whose top 12
+bits count: sizes under 4096 are told apart, larger ones to 1 in 2048 (a class is packed by its mean size),
+so there are at most 2048 rows a doubling of the size, some 70,000 at any corpus size; groups larger than
+total / (shards * 64), of which there are at most shards * 64, are listed one by one. Groups are then
+numbered within their class in two levels, find their bin by the plan's rank ranges, and are joined to
+their rows; adaptive execution splits the rows of a hot group. A group that exceeds an even share gets a
+bin by itself and the others are balanced over the rest.
+
+Edge cases: null text has no bytes (size 16) and is a group with no other row but those of its doc_id (null
+ids: one group); empty text is a text like others; repeated rows count each; ties in size go by the text's
+hash; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, number_rows
+from .common import discard, materialize, number_rows
 
 
 class _Node:
@@ -110,50 +113,64 @@ class BinTree:
         return best
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """Bin of each size (largest first, ties by position); bins open as needed. Sizes above capacity raise."""
-    tree, where, bins = BinTree(), [0] * len(sizes), 0
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        if sizes[i] > capacity:
+def best_fit_decreasing(sizes: list[tuple[float, int]], capacity: float) -> list[list[tuple[int, int]]]:
+    """For each (size, count): runs of (bin, how many), bins opened as needed. Sizes above capacity raise."""
+    tree, out, bins = BinTree(), [[] for _ in sizes], 0
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i][0], i)):
+        size, left = sizes[i]
+        if size > capacity:
             raise ValueError("a group exceeds the capacity")
-        best = tree.tightest(sizes[i])
-        if best is None:
-            best = (capacity, bins)
-            bins += 1
+        while left:
+            best = tree.tightest(size)
+            if best is None:
+                best = (capacity, bins)
+                bins += 1
+            else:
+                tree.remove(best)
+            n = min(left, int(best[0] // size))
+            out[i].append((best[1], n))
+            left -= n
+            tree.insert((best[0] - size * n, best[1]))
+    return out
+
+
+def pack_units(sizes: list[tuple[float, int]], shards: int) -> list[list[tuple[int, int]]]:
+    """Runs of (shard, how many) of each (size, count): oversized ones alone, the rest by best-fit-decreasing at
+    about the least capacity that fits (to 1 in 100,000)."""
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i][0], i))
+    out, first, at, total = [[] for _ in sizes], 0, 0, sum(s * n for s, n in sizes)
+    rest = {i: n for i, (_, n) in enumerate(sizes)}
+    while at < len(order) and shards - first > 1:
+        i = order[at]
+        if not rest[i]:
+            at += 1
+        elif sizes[i][0] * (shards - first) > total and sum(rest[j] for j in order[at : at + 2]) > 1:
+            out[i].append((first, 1))
+            rest[i] -= 1
+            total -= sizes[i][0]
+            first += 1
         else:
-            tree.remove(best)
-        where[i] = best[1]
-        tree.insert((best[0] - sizes[i], best[1]))
-    return where
-
-
-def pack_units(sizes: list[int], shards: int) -> list[int]:
-    """Shard of each unit: oversized units alone, the rest by best-fit-decreasing at the least capacity that fits."""
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    where, first, left = [0] * len(sizes), 0, sum(sizes)
-    while len(order) - first > 1 and shards - first > 1 and sizes[order[first]] * (shards - first) > left:
-        where[order[first]] = first
-        left -= sizes[order[first]]
-        first += 1
-    rest, bins = order[first:], shards - first
-    if not rest:
-        return where
-    got = [sizes[i] for i in rest]
-    even = -(-sum(got) // bins)
-    low, high, best = max(max(got), even), max(got) + 2 * even, None
-    while low < high:
-        plan = best_fit_decreasing(got, mid := (low + high) // 2)
-        if max(plan) < bins:
+            break
+    kept = [i for i in order if rest[i]]
+    if not kept:
+        return out
+    got, bins = [(sizes[i][0], rest[i]) for i in kept], shards - first
+    even = total / bins
+    low, high, best = max(got[0][0], even), got[0][0] + 2 * even, None
+    while best is None or high - low > even / 100_000:
+        plan = best_fit_decreasing(got, mid := high if best is None else (low + high) / 2)
+        if max(b for runs in plan for b, _ in runs) < bins:
             best, high = plan, mid
+        elif best is None:
+            low, high = high, 2 * high
         else:
-            low = mid + 1
-    best = best or best_fit_decreasing(got, high)
-    for i, b in zip(rest, best):
-        where[i] = first + b
-    return where
+            low = mid
+    for i, runs in zip(kept, best):
+        out[i] += [(first + b, n) for b, n in runs]
+    return out
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, bundles: int = 4096) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for every row; see the module text."""
     spark = docs.sparkSession
     raw = F.col("text").cast("binary")
@@ -165,18 +182,30 @@ def shard_documents(docs: DataFrame, shards: int = 40, bundles: int = 4096) -> D
     ).select("doc_id", "size", "text_crc32", F.unhex("_hex").alias("digest"))
     rows = materialize(rows, "shard-rows")
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    bundle = F.pmod(F.xxhash64("digest"), F.lit(bundles)).cast("long")
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"))
-    large = materialize(groups.where(F.col("bytes") * (shards * 64) > total), "shard-large")
-    small = materialize(groups.where(F.col("bytes") * (shards * 64) <= total).groupBy(bundle.alias("unit")).agg(F.sum("bytes").alias("bytes")), "shard-small")
-    big = [(bytes(r.digest), r.bytes) for r in large.orderBy("digest").collect()]  # at most shards * 64
-    few = [(r.unit, r.bytes) for r in small.orderBy("unit").collect()]  # at most bundles
-    plan = pack_units([b for _, b in big] + [b for _, b in few], shards) if n else []
-    of_big = spark.createDataFrame([(d, s) for (d, _), s in zip(big, plan)] or [(b"", 0)], "digest binary, s_big int")
-    of_few = spark.createDataFrame([(u, s) for (u, _), s in zip(few, plan[len(big):])] or [(-1, 0)], "unit long, s_few int")
-    placed = rows.join(F.broadcast(of_big), "digest", "left").withColumn("unit", bundle).join(F.broadcast(of_few), "unit", "left")
-    placed = placed.select("doc_id", "size", "text_crc32", "digest", F.coalesce("s_big", "s_few").alias("shard"))
-    return number_rows(placed, ["shard"], ["doc_id", "digest"], n, "slot").drop("digest")
+    # a class: 0 for the groups that are listed, else the size without the bits after its top 12
+    drop = F.greatest(F.lit(0), F.floor(F.log2(F.col("bytes").cast("double"))).cast("int") - 11)
+    kind = F.when(F.col("bytes") * (shards * 64) > total, F.lit(0)).otherwise(F.expr("shiftleft(shiftright(bytes, _drop), _drop)")).cast("long")
+    groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes")).withColumn("_drop", drop).withColumn("kind", kind).select("digest", "bytes", "kind")
+    groups = materialize(groups, "shard-groups")
+    big = [(bytes(r.digest), r.bytes) for r in groups.where("kind = 0").orderBy("digest").collect()]  # at most shards * 64
+    few = groups.where("kind > 0").groupBy("kind").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).orderBy("kind").collect()
+    plan = pack_units([(float(b), 1) for _, b in big] + [(r["bytes"] / r["n"], r["n"]) for r in few], shards) if n else []
+    of_big = spark.createDataFrame([(d, runs[0][0]) for (d, _), runs in zip(big, plan)] or [(b"", 0)], "digest binary, s_big int")
+    ranges = []
+    for r, runs in zip(few, plan[len(big) :]):
+        at = 0
+        for shard, k in runs:
+            ranges.append((r["kind"], at, at + k, shard))
+            at += k
+    of_few = spark.createDataFrame(ranges or [(-1, 0, 0, 0)], "_kind long, lo long, hi long, shard int")
+    if len(ranges) <= 500_000:  # some 20 MB
+        of_few = F.broadcast(of_few)
+    ranked = number_rows(groups.where("kind > 0"), ["kind"], ["digest"], sum(r["n"] for r in few), "rank")
+    small = ranked.join(of_few, (F.col("kind") == F.col("_kind")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select("digest", "shard")
+    large = groups.where("kind = 0").select("digest").join(F.broadcast(of_big), "digest").select("digest", F.col("s_big").alias("shard"))
+    placed = materialize(small.union(large), "shard-places")
+    discard(groups)
+    return number_rows(rows.join(placed, "digest"), ["shard"], ["doc_id", "digest"], n, "slot").drop("digest")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
