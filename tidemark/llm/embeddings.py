@@ -9,9 +9,10 @@ centre are all linked with each other (by the triangle inequality), so their lin
 vector outside that ball is compared with all vectors of its component, in blocks of about 1024.
 
 Recall of connection: a pair at angle t shares a key prefix of length k with probability (1 - t/pi)**k,
-and meets in a pass if that prefix narrows the order to about the window: with 16 passes and a window of
-24, over 99.9% of pairs at cosine 0.98 and 96% at exactly 0.9 among 50,000 vectors that have no other
-link; see the README for measured recall. Within a component no link is lost.
+and meets in a pass if that prefix narrows the order to about the window, k = log2(vectors / window). The
+number of passes is the least for which a pair exactly at the limit, without any other link, is met with
+probability `recall` (so it grows as a power of about 0.22 of the vectors: 12 passes for 10,000, 16 for
+50,000, 27 for a million, 120 for a billion); closer pairs are met more surely. Within a component no link is lost.
 
 Scale: equal vectors are one node, with a count. The order is a range partition by (pass, key, hash of
 the node), so a run of equal keys can be split; the vectors around each partition boundary (2 * window)
@@ -206,15 +207,29 @@ def _blocks(least: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, passes: int = 16, window: int = 24, seed: int = 4) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row."""
+def passes_for(count: int, least: float, window: int, recall: float) -> int:
+    """Passes after which a pair at the limit has met with probability recall; see the module text."""
+    k = max(0.0, math.log2(max(1, count) / window))
+    once = (1 - math.acos(least) / math.pi) ** k
+    return 4 if once > 0.999 else max(4, math.ceil(math.log(1 - recall) / math.log(1 - once)))
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.9, recall: float = 0.96, window: int = 24, seed: int = 4, passes: int | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row. passes: a number of one's own."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = rows.mapInArrow(_valid, "vec_id long, v binary").withColumn("node", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
-    rows = materialize(rows, "vectors")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("v").alias("v"), F.count("*").alias("n"), F.min("vec_id").alias("vec_id"))
-    nodes = materialize(nodes, "vector-nodes")
-    count = nodes.count()
+    units = materialize(rows.mapInArrow(_valid, "vec_id long, v binary"), "vectors")
+    for salt in range(8):  # a node's number is a hash of its vector; should two vectors share one, another hash is taken
+        rows = units.withColumn("node", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(salt), "v")))
+        nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("v").alias("v"), F.max("v").alias("w"), F.count("*").alias("n"), F.min("vec_id").alias("vec_id"))
+        nodes = materialize(nodes, "vector-nodes")
+        count, apart = nodes.agg(F.count("*"), F.coalesce(F.max((F.col("v") != F.col("w")).cast("int")), F.lit(0))).first()
+        if not apart:
+            break
+    else:
+        raise ValueError("no hash of 64 bits tells these vectors apart")
+    nodes = nodes.drop("w")
+    passes = passes or passes_for(count, least, window, recall)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(count * passes / 50_000))
     keyed = nodes.select("node", "v").mapInArrow(_keys(passes, seed), "pass int, key binary, node long, v binary")
     keyed = keyed.repartitionByRange(parts, "pass", "key", F.hash("node")).sortWithinPartitions("pass", "key", F.hash("node"))
