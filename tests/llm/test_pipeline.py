@@ -36,6 +36,26 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in pieces} == set(seen[3])
 
 
+def test_filters_keep_every_row_they_should(spark, tmp_path):
+    """Null and repeated ids, empty tables and clashing names, stage by stage (up to packing)."""
+    reachable(spark)
+    text = lambda i: f"start{i} " + " ".join(random.Random(i * 977 + j).choice(["there", "sting", "andly", "outh", "reed"]) for j in range(30))
+    rows = [(None if i % 3 == 0 else i % 7, text(i), "en", "s0", 0) for i in range(24)] + [(None, text(3), "en", "s0", 0), (2, text(4) + " ", "en", "s0", 0)]
+    more = {c: "x" for c in ("_keep", "_one", "node", "size", "_row", "k1", "_d", "_s", "recipe", "root", "_h", "_w")}
+    docs = spark.createDataFrame([(*r, *more.values()) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in more))
+    docs.write.parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns[-len(more):] == list(more)
+        assert docs.count() == (26, 24, 24)[k]
+    assert {r.text.strip() for r in docs.collect()} == {text(i) for i in range(24)}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("gone", [("tidemark.llm",), ("corpus_pipeline",), ("tidemark.llm", "corpus_pipeline")])
 def test_entry_without_the_subpackage(gone):
     code = f"""
