@@ -92,6 +92,20 @@ def test_tokens():
     assert t[5][3:] == (2, 13) and lint.tokenize("a ? b")[1][0] == "operator"
 
 
+def test_many_tmdl_folders(spark, tmp_path):
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.tmdl").write_text("table A\n\tmeasure Rate = SUM(A[X]) / 2\n\tpartition p = m\n\t\tmode: import\n\tcolumn X\n\t\tdataType: double\n\t\tisHidden\n")
+        (tmp_path / name / "b.tmdl").write_text("table B\n\tdataCategory: Time\n\tmeasure Other =\n\t\tVAR x = 1\n\t\tRETURN x\n\t\tdisplayFolder: F\n")
+    many, one = tabular.load_models(spark, str(tmp_path / "*" / "*.tmdl")), tabular.load_model(spark, str(tmp_path / "one"))
+    for kind in tabular.SCHEMAS:
+        rows = lambda d: sorted(map(tuple, d.collect()))
+        assert rows(many[kind].where("model = 'one'")) == rows(one[kind])
+    assert one["measures"].where("name = 'Other'").first().expression == "VAR x = 1\nRETURN x"
+    assert [(r.table, r.mode, r.date_table) for r in one["tables"].orderBy("table").collect()] == [("A", "import", False), ("B", "", True)]
+    assert lint.lint(many).where("code = 'DAX001'").count() == 2 and all(r.remedy for r in lint.lint(one).collect())
+
+
 def test_tmdl(spark, tmp_path):
     (tmp_path / "t.tmdl").write_text("/// about\ntable Cases\n\tcolumn 'Case ID'\n\t\tdataType: int64\n\t\tsummarizeBy: sum\n\t\tisKey\n\n\tmeasure 'It''s Rate' =\n\t\t\tDIVIDE(1,\n\t\t\t2)\n\t\tformatString: 0.0\n\nrelationship abc\n\tfromColumn: Cases.'Case ID'\n\ttoColumn: Other.ID\n\tisActive: false\n")
     m = tabular.load_model(spark, str(tmp_path))
@@ -138,10 +152,13 @@ def test_streams_match_batch(spark, tmp_path):
     rows = [(str(i % 5), "ab"[i % 3 == 0], dt.datetime(2026, 3, 2) + dt.timedelta(hours=i), "", i) for i in range(60)]
     shape = "case_id string, activity string, ts timestamp_ntz, resource string, seq long"
     batch = spark.createDataFrame(rows, shape)
-    for k in range(3):
+    order = [1, 0, 2]  # the second twenty events come first: late, but within the delay
+    for k in order:
         batch.where((F.col("seq") >= 20 * k) & (F.col("seq") < 20 * (k + 1))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    last = spark.createDataFrame([("z", "a", dt.datetime(2026, 4, 2), "", 60)], shape)
+    last.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # moves the watermark past all others
     stream = live.read_stream(spark, str(tmp_path / "in"), batch.schema)
-    q = live.transitions(stream).writeStream.format("memory").queryName("moves").outputMode("append").start()
+    q = live.transitions(stream, "100 hours").writeStream.format("memory").queryName("moves").outputMode("append").start()
     q.processAllAvailable()
     q.stop()
     got = spark.table("moves").groupBy("source", "target").agg(F.count("*").alias("frequency"), F.round(F.sum("hours"), 6).alias("h")).orderBy("source", "target").collect()
@@ -150,4 +167,4 @@ def test_streams_match_batch(spark, tmp_path):
     q = live.period_counts(live.read_stream(spark, str(tmp_path / "in"), batch.schema), "a").writeStream.format("memory").queryName("days").outputMode("complete").start()
     q.processAllAvailable()
     q.stop()
-    assert sum(r.n for r in spark.table("days").collect()) == 60
+    assert sum(r.n for r in spark.table("days").collect()) == 61

@@ -36,6 +36,7 @@ def simulate(spark, args):
 
 
 def mine(spark, args):
+    from .operators import conformance
     from .plans import render, workflows
     from .sources.eventcsv import read_events
 
@@ -48,13 +49,12 @@ def mine(spark, args):
         print(f"  {b['source']} > {b['target']}: {b['total_hours']:.0f} h in all, {b['mean_hours']:.1f} h each, {b['frequency']} times")
     for r in m["rework"]:
         print(f"  {r['activity']}: repeated in {100 * r['rework_rate']:.1f}% of its cases")
-    rules = [f"fitness {m['fitness']['fitness']:.4f}"] + [f"{r['rule']}: {r['violations']} violations in {r['cases']} cases" for r in m["by_rule"]]
-    print("\n".join(rules))
+    print(conformance.to_text(m["fitness"], m["by_rule"]))
     if args.out:
         for name, text in (("process_map.dot", render.to_dot(g, args.min_edge_frequency)), ("process_map.mmd", render.to_mermaid(g, args.min_edge_frequency)), ("process_map.svg", render.to_svg(g, args.min_edge_frequency))):
             _save(args.out, name, text)
         _save(args.out, "variants.csv", "count,length,trace\n" + "\n".join(f'{v["count"]},{v["length"]},"{" > ".join(v["trace"])}"' for v in m["variants"]))
-        _save(args.out, "conformance.txt", "\n".join(rules + [f"{x['rule']} {x['case_id']}: {x['detail']}" for x in m["examples"]]))
+        _save(args.out, "conformance.txt", conformance.to_text(m["fitness"], m["by_rule"], m["examples"]))
 
 
 def spc(spark, args):
@@ -71,9 +71,7 @@ def spc(spark, args):
         return 1
     for name, chart in (("breach_rate", s["breach_chart"]), ("handling_hours", s["hours_chart"])):
         rows = charts.to_rows(chart)
-        print(name)
-        for r in rows.collect():
-            print(f"  {r.label}  {r.value:10.4f}  [{r.lcl:.4f}, {r.ucl:.4f}]  {r.violations}")
+        print(charts.to_text(chart, name))
         if args.out:
             _table(args.out, f"spc_{name}.csv", rows)
     print(s["capability"].to_text())
@@ -82,6 +80,7 @@ def spc(spark, args):
 def sla(spark, args):
     from pyspark.sql import functions as F
 
+    from .operators import survival
     from .plans import workflows
     from .sources.eventcsv import read_cases
 
@@ -97,13 +96,12 @@ def sla(spark, args):
     if args.group:
         print(f"log-rank by {args.group}: {t['logrank'].statistic:.4f}, p {t['logrank'].p_value:.6g}" if t["logrank"] else f"no log-rank test: {args.group} has not two levels")
     if t["model"]:
-        for r in t["model"].rows():
-            print(f"  {r['covariate']}: {r['coef']:.4f} (se {r['se']:.4f}), hazard ratio {r['hazard_ratio']:.3f} [{r['lower']:.3f}, {r['upper']:.3f}], p {r['p']:.4g}")
+        print(t["model"].to_text())
         print(f"concordance {t['c_index']:.4f} over {t['pairs']} pairs; highest breach risk at {t['target']:.0f} h:")
         for r in t["ranking"].limit(10).collect():
             print(f"  {r.case_id}  {100 * r.breach_probability:.1f}%")
     if args.out:
-        _table(args.out, "km_curve.csv", t["curve"].select(*[F.round(c, 6).alias(c) for c in t["curve"].columns]).orderBy("time"))
+        _table(args.out, "km_curve.csv", survival.curve_rows(t["curve"]))
         if t["model"]:
             import pandas as pd
 
@@ -120,7 +118,7 @@ def daxlint(spark, args):
         print("\n".join(f"{k}  {v}" for k, v in SEVERITY.items()))
         return 0
     found = workflows.lint_model(load_model(spark, args.model), args.select, args.ignore or ())
-    print(json.dumps(found, indent=1) if args.format == "json" else "\n".join(f"{f['code']} {f['severity']:<8} {f['object']}{':%d' % f['line'] if f['line'] else ''}: {f['message']}" for f in found))
+    print(json.dumps(found, indent=1) if args.format == "json" else "\n".join(f"{f['code']} {f['severity']:<8} {f['object']}{':%d' % f['line'] if f['line'] else ''}: {f['message']} ({f['remedy']})" for f in found))
     order = ["error", "warning", "info"]
     return int(args.fail_on != "never" and any(order.index(f["severity"]) <= order.index(args.fail_on) for f in found))
 

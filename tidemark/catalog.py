@@ -108,7 +108,8 @@ _query("bottlenecks", _BOTTLENECKS)(lambda s, d: _round(mining.bottlenecks(fx.lo
 _query("bottlenecks_from_graph", _BOTTLENECKS)(lambda s, d: _round(mining.bottlenecks(None, top=10, graph=mining.edges(fx.log_user(s, d), CAL)), "total_hours", "mean_hours"))
 _VARIANTS = f"WITH {LOG_SESSION}, t AS (SELECT case_id, string_agg(activity, '>' ORDER BY ts, seq) AS trace, count(*) AS length FROM log GROUP BY 1)"
 _query("variants", _VARIANTS + " SELECT trace, count(*) AS count, max(length)::INT AS length, string_agg(case_id, ',' ORDER BY case_id) AS case_ids FROM t GROUP BY 1")(
-    lambda s, d: mining.variants(fx.log_session(s, d)).select(F.array_join("trace", ">").alias("trace"), "count", "length", F.array_join("case_ids", ",").alias("case_ids")))
+    lambda s, d: mining.variants(fx.log_session(s, d), with_cases=True).select(F.array_join("trace", ">").alias("trace"), "count", "length", F.array_join("case_ids", ",").alias("case_ids")))
+_query("variant_cases", _VARIANTS + " SELECT trace, case_id FROM t")(lambda s, d: mining.variant_cases(fx.log_session(s, d)).select(F.array_join("trace", ">").alias("trace"), "case_id"))
 _query("variant_coverage", _VARIANTS + """, v AS (SELECT trace, count(*) AS count, max(string_split(trace, '>')) AS key FROM t GROUP BY 1)
 SELECT trace, count, row_number() OVER (ORDER BY count DESC, key)::INT AS rank, round(sum(count) OVER (ORDER BY count DESC, key ROWS UNBOUNDED PRECEDING) / (sum(count) OVER ())::DOUBLE, 6) AS coverage FROM v""")(
     lambda s, d: _round(mining.variant_coverage(fx.log_session(s, d)).withColumn("trace", F.array_join("trace", ">")), "coverage"))
@@ -231,8 +232,8 @@ def _capability(s, d):
 
 _SS = ("ss_part", "ss_operator", "ss_interaction", "ss_error", "ss_total")
 _query("gage_components", f"""WITH {GAGE}, c AS (SELECT part, operator, value, avg(value) OVER (PARTITION BY part, operator) AS m, avg(value) OVER (PARTITION BY part) AS mp, avg(value) OVER (PARTITION BY operator) AS mo, avg(value) OVER () AS mt FROM g)
-SELECT count(DISTINCT part) AS parts, count(DISTINCT operator) AS operators, 20::BIGINT AS replicates, round(sum((mp - mt) ** 2), 2) AS ss_part, round(sum((mo - mt) ** 2), 2) AS ss_operator, round(sum((m - mp - mo + mt) ** 2), 2) AS ss_interaction, round(sum((value - m) ** 2), 2) AS ss_error, round(sum((value - mt) ** 2), 2) AS ss_total FROM c""")(
-    lambda s, d: gage_ops.sums_of_squares(fx.gage(s, d), "part", "operator", "value").select("parts", "operators", "replicates", *[F.round(x, 2).alias(x) for x in _SS]))
+SELECT count(DISTINCT part) AS parts, count(DISTINCT operator) AS operators, 10::BIGINT AS replicates, round(sum((mp - mt) ** 2), 6) AS ss_part, round(sum((mo - mt) ** 2), 6) AS ss_operator, round(sum((m - mp - mo + mt) ** 2), 6) AS ss_interaction, round(sum((value - m) ** 2), 6) AS ss_error, round(sum((value - mt) ** 2), 6) AS ss_total FROM c""")(
+    lambda s, d: gage_ops.sums_of_squares(fx.gage(s, d), "part", "operator", "value").select("parts", "operators", "replicates", *[F.round(x, 6).alias(x) for x in _SS]))
 
 
 @_query("gage_report")
@@ -328,8 +329,8 @@ def _risked(s, d):
     return fx.observations(s, d).withColumn("risk", F.round(F.col("urgent") * BETA[0] + F.col("price") * BETA[1], 2))
 
 
-_query("concordance", _CONC)(lambda s, d: _round(conc.by_join(_risked(s, d)), "concordant", "c_index"))
-_query("concordance_blocks", _CONC)(lambda s, d: _round(conc.by_blocks(_risked(s, d)), "concordant", "c_index"))
+_query("concordance", _CONC)(lambda s, d: _round(conc.concordance(_risked(s, d)), "concordant", "c_index"))
+_query("concordance_blocks", _CONC)(lambda s, d: _round(conc.by_levels(_risked(s, d)), "concordant", "c_index"))
 
 
 @_query("cox_fit")

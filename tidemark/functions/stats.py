@@ -6,6 +6,7 @@ import math
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 
 _N = NormalDist()
 
@@ -47,6 +48,24 @@ def normal_ppf(p: float) -> float:
     return _N.inv_cdf(p)
 
 
+def _over_batches(f):
+    """A scalar function as a column function, by Arrow batches."""
+    from pyspark.sql import functions as F
+
+    def apply(column):
+        @F.pandas_udf("double")
+        def run(x: pd.Series) -> pd.Series:
+            return x.map(lambda v: None if pd.isna(v) else f(float(v))).astype("float64")
+
+        return run(column)
+
+    return apply
+
+
+#: Column forms: normal_cdf_column("x"), and so on; null where the value is null.
+normal_cdf_column, normal_sf_column, normal_ppf_column = (_over_batches(f) for f in (normal_cdf, normal_sf, normal_ppf))
+
+
 def chi2_sf(x: float, df: int) -> float:
     """Upper tail of the chi-square distribution: the regularised upper incomplete gamma at (df/2, x/2)."""
     if df < 1:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import over_blocks
 from ..functions.stats import normal_cdf, normal_ppf, normal_sf
 
 
@@ -50,11 +51,11 @@ def sigma_level(dpmo: float) -> float:
 def core(df: DataFrame, value: str, order: list, lsl: float | None, usl: float | None) -> DataFrame:
     """One row: n, mean, sigma_within (mean moving range in order over 1.128), sigma_overall, observed share outside.
 
-    At scale the moving range uses neighbours in global order: rows are range-partitioned by `order`,
-    and only each partition's first row needs the last of the one before; here a single ordered window
-    serves, as capability is asked of thousands of cases, not billions."""
+    Moving ranges are taken in blocks of the order (its first column tells rows apart), each with the last
+    row of the block before."""
     v = F.col(value).cast("double")
-    d = df.select(v.alias("v"), F.abs(v - F.lag(v).over(Window.orderBy(*order))).alias("mr"))
+    d = df.select(F.col(order[0]).alias("_o"), v.alias("v"))
+    d = over_blocks(d, "_o", 1, lambda x, w: x.withColumn("mr", F.abs(F.col("v") - F.lag("v").over(w))))
     out = F.lit(False)
     if lsl is not None:
         out = out | (F.col("v") < lsl)

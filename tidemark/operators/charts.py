@@ -1,17 +1,18 @@
-"""Shewhart control charts as windows over a small ordered series (one row a subgroup or period).
+"""Shewhart control charts as windows over an ordered series (one row a subgroup or period).
 
-A chart has index, label, value, center, lcl, ucl, sigma, z, violations. Charts run on aggregated
-series (hundreds of rows), so their single ordered window is of bounded size; the data-sized part is
-the aggregation before.
+A chart has index, label, value, center, lcl, ucl, sigma, z, violations. Centres and limits come from one
+aggregate row; neighbours, numbers and run rules run in blocks of the order, so a series may be as long as
+the data.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import number, over_blocks
 from .nelson import RULES, flags
 
 # Control-chart constants for subgroups of 2 to 10.
@@ -24,22 +25,24 @@ D4 = {2: 3.267, 3: 2.574, 4: 2.282, 5: 2.114, 6: 2.004, 7: 1.924, 8: 1.864, 9: 1
 
 
 
-def _all():
-    return Window.partitionBy()
-
-
-def _need(df: DataFrame, least: int, bad: Column | None = None, message: str = "invalid input") -> None:
-    n, wrong = df.agg(F.count("*"), F.coalesce(F.max(bad.cast("int")) if bad is not None else F.lit(0), F.lit(0))).first()
+def _need(df: DataFrame, least: int, bad: Column | None = None, message: str = "invalid input", *more: Column):
+    """Check the series, and return the aggregates in `more`, of the same pass."""
+    n, wrong, *got = df.agg(F.count("*"), F.coalesce(F.max(bad.cast("int")) if bad is not None else F.lit(0), F.lit(0)), *more).first()
     if n < least:
         raise ValueError(f"a chart needs at least {least} points")
     if wrong:
         raise ValueError(message)
+    return [F.lit(None if x is None else float(x)).cast("double") for x in got]
+
+
+def _ranges(d: DataFrame, value: str, out: str) -> DataFrame:
+    """Moving ranges of two along _o."""
+    return over_blocks(d, "_o", 1, lambda x, w: x.withColumn(out, F.abs(F.col(value) - F.lag(value).over(w))))
 
 
 def _finish(points: DataFrame, rules: Sequence[int] | None, label: str | None) -> DataFrame:
     """points: _o (order), value, center, lcl, ucl, sigma. Adds index, label, z and violations."""
-    w = Window.orderBy("_o")
-    p = points.withColumn("index", F.row_number().over(w))
+    p = number(points, "_o", "index")
     p = p.withColumn("label", F.col(label).cast("string") if label else F.col("index").cast("string"))
     p = p.withColumn("z", F.when(F.col("sigma") > 0, (F.col("value") - F.col("center")) / F.col("sigma")).otherwise(0.0))
     p = flags(p, "z", "index", rules)
@@ -48,11 +51,11 @@ def _finish(points: DataFrame, rules: Sequence[int] | None, label: str | None) -
 
 def individuals(df: DataFrame, value: str, order: str, label: str | None = None, rules=None) -> DataFrame:
     """X chart: sigma is the mean moving range over 1.128."""
-    _need(df, 2)
     d = df.select(F.col(order).alias("_o"), *([label] if label and label != order else []), F.col(value).cast("double").alias("value"))
     label = "_o" if label == order else label
-    d = d.withColumn("_mr", F.abs(F.col("value") - F.lag("value").over(Window.orderBy("_o"))))
-    d = d.withColumns({"center": F.avg("value").over(_all()), "sigma": F.avg("_mr").over(_all()) / D2[2]})
+    d = _ranges(d, "value", "_mr")
+    center, mr = _need(d, 2, None, "", F.avg("value"), F.avg("_mr"))
+    d = d.withColumns({"center": center, "sigma": mr / D2[2]})
     return _finish(d.withColumns({"lcl": F.col("center") - 3 * F.col("sigma"), "ucl": F.col("center") + 3 * F.col("sigma")}), rules, label)
 
 
@@ -61,8 +64,8 @@ def moving_range(df: DataFrame, value: str, order: str, label: str | None = None
     _need(df, 2)
     d = df.select(F.col(order).alias("_o"), *([label] if label and label != order else []), F.col(value).cast("double").alias("_v"))
     label = "_o" if label == order else label
-    d = d.withColumn("value", F.abs(F.col("_v") - F.lag("_v").over(Window.orderBy("_o")))).where("value IS NOT NULL")
-    d = d.withColumn("center", F.avg("value").over(_all()))
+    d = _ranges(d, "_v", "value").where("value IS NOT NULL")
+    d = d.withColumn("center", *_need(d, 1, None, "", F.avg("value")))
     d = d.withColumns({"ucl": D4[2] * F.col("center"), "lcl": F.greatest(F.lit(0.0), D3[2] * F.col("center")), "sigma": F.col("center") * D3_CONST[2] / D2[2]})
     return _finish(d, [1], label)
 
@@ -73,18 +76,18 @@ def xbar_r(df: DataFrame, value: str, subgroup: str, rules=None) -> DataFrame:
     low, high = g.agg(F.min("_n"), F.max("_n")).first()
     if low is None or low != high or low not in D2:
         raise ValueError("subgroups must all have one size from 2 to 10")
-    _need(g, 2)
-    g = g.withColumns({"center": F.avg("value").over(_all()), "_r": F.avg("range").over(_all())})
+    center, mean_range = _need(g, 2, None, "", F.avg("value"), F.avg("range"))
+    g = g.withColumns({"center": center, "_r": mean_range})
     g = g.withColumns({"ucl": F.col("center") + A2[low] * F.col("_r"), "lcl": F.col("center") - A2[low] * F.col("_r"), "sigma": F.col("_r") / D2[low] / float(low) ** 0.5})
     return _finish(g, rules, "_o")
 
 
 def p_chart(df: DataFrame, count: str, size: str, order: str, label: str | None = None, rules=None) -> DataFrame:
     """Proportions with limits by each point's size, clipped to [0, 1]."""
-    _need(df, 2, (F.col(size) <= 0) | (F.col(count) < 0) | (F.col(count) > F.col(size)), "counts must lie in 0..size and sizes be positive")
+    total, base = _need(df, 2, (F.col(size) <= 0) | (F.col(count) < 0) | (F.col(count) > F.col(size)), "counts must lie in 0..size and sizes be positive", F.sum(F.col(count).cast("double")), F.sum(F.col(size).cast("double")))
     d = df.select(F.col(order).alias("_o"), *([label] if label and label != order else []), F.col(count).cast("double").alias("_c"), F.col(size).cast("double").alias("_n"))
     label = "_o" if label == order else label
-    d = d.withColumns({"value": F.col("_c") / F.col("_n"), "center": F.sum("_c").over(_all()) / F.sum("_n").over(_all())})
+    d = d.withColumns({"value": F.col("_c") / F.col("_n"), "center": total / base})
     d = d.withColumn("sigma", F.sqrt(F.col("center") * (1 - F.col("center")) / F.col("_n")))
     return _finish(d.withColumns({"lcl": F.greatest(F.lit(0.0), F.col("center") - 3 * F.col("sigma")), "ucl": F.least(F.lit(1.0), F.col("center") + 3 * F.col("sigma"))}), rules, label)
 
@@ -96,18 +99,18 @@ def p_chart_is_weak(df: DataFrame, count: str, size: str) -> bool:
 
 
 def c_chart(df: DataFrame, count: str, order: str, label: str | None = None, rules=None) -> DataFrame:
-    _need(df, 2, F.col(count) < 0, "counts must not be negative")
+    center = _need(df, 2, F.col(count) < 0, "counts must not be negative", F.avg(F.col(count).cast("double")))[0]
     d = df.select(F.col(order).alias("_o"), *([label] if label and label != order else []), F.col(count).cast("double").alias("value"))
     label = "_o" if label == order else label
-    d = d.withColumn("center", F.avg("value").over(_all())).withColumn("sigma", F.sqrt("center"))
+    d = d.withColumn("center", center).withColumn("sigma", F.sqrt("center"))
     return _finish(d.withColumns({"lcl": F.greatest(F.lit(0.0), F.col("center") - 3 * F.col("sigma")), "ucl": F.col("center") + 3 * F.col("sigma")}), rules, label)
 
 
 def u_chart(df: DataFrame, count: str, exposure: str, order: str, label: str | None = None, rules=None) -> DataFrame:
-    _need(df, 2, (F.col(count) < 0) | (F.col(exposure) <= 0), "counts must not be negative and exposures be positive")
+    total, base = _need(df, 2, (F.col(count) < 0) | (F.col(exposure) <= 0), "counts must not be negative and exposures be positive", F.sum(F.col(count).cast("double")), F.sum(F.col(exposure).cast("double")))
     d = df.select(F.col(order).alias("_o"), *([label] if label and label != order else []), F.col(count).cast("double").alias("_c"), F.col(exposure).cast("double").alias("_e"))
     label = "_o" if label == order else label
-    d = d.withColumns({"value": F.col("_c") / F.col("_e"), "center": F.sum("_c").over(_all()) / F.sum("_e").over(_all())})
+    d = d.withColumns({"value": F.col("_c") / F.col("_e"), "center": total / base})
     d = d.withColumn("sigma", F.sqrt(F.col("center") / F.col("_e")))
     return _finish(d.withColumns({"lcl": F.greatest(F.lit(0.0), F.col("center") - 3 * F.col("sigma")), "ucl": F.col("center") + 3 * F.col("sigma")}), rules, label)
 
@@ -126,4 +129,21 @@ def to_rows(chart: DataFrame) -> DataFrame:
     return got.orderBy("index")
 
 
-__all__ = ["RULES", "c_chart", "in_control", "individuals", "moving_range", "p_chart", "p_chart_is_weak", "signals", "to_rows", "u_chart", "xbar_r"]
+def to_text(chart: DataFrame, title: str = "", points: int = 60, width: int = 49) -> str:
+    """The last `points` points, one a line: a plot between the limits, and the rules that a point broke."""
+    rows = chart.orderBy(F.col("index").desc()).limit(points).collect()[::-1]
+    if not rows:
+        return title
+    low, high = (f(x for r in rows for x in (r.value, r.lcl, r.ucl)) for f in (min, max))
+    place = lambda x: round((width - 1) * (x - low) / ((high - low) or 1.0))
+    out = [title] if title else []
+    out.append(f"centre {rows[-1].center:.4f}, limits {rows[-1].lcl:.4f} to {rows[-1].ucl:.4f}, {sum(bool(r.violations) for r in rows)} of {len(rows)} points with a signal")
+    for r in rows:
+        line = [" "] * width
+        for x, mark in ((r.lcl, "|"), (r.ucl, "|"), (r.center, ":"), (r.value, "X" if r.violations else "o")):
+            line[place(x)] = mark
+        out.append(f"{r.label[-14:]:>14} {''.join(line)} {r.value:12.4f} {' '.join(r.violations)}".rstrip())
+    return "\n".join(out)
+
+
+__all__ = ["RULES", "c_chart", "in_control", "individuals", "moving_range", "p_chart", "p_chart_is_weak", "signals", "to_rows", "to_text", "u_chart", "xbar_r"]

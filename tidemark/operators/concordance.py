@@ -1,99 +1,62 @@
-"""Harrell's concordance index, exact at any number of cases.
-
-Pairs (i, j) compare when i has an event and j lasted longer, or as long without an event. Cases are
-first summed by (duration, event, risk). Small tables of sums are joined with themselves by inequality;
-larger ones are counted by order statistics: risks are ranked once, the sums are dealt into blocks by
-duration, and each pair of blocks needs only histograms of rank bands, so nothing compares all pairs.
+"""Harrell's concordance index, exact at any number of cases, in frames alone.
+
+Pairs (i, j) compare when i has an event and j lasted longer, or as long without an event. Cases are first
+summed by (duration, event, risk), and distinct durations are numbered. Two durations part at exactly one
+bit of their numbers: level by level, rows whose numbers agree above a bit form a group, those with the bit
+unset are the shorter ones, and each event among them counts the longer ones of lower risk by one running
+sum over risk. So a pair is counted once, no two rows are ever matched, and rows grow only by the number of
+levels (the logarithm of the distinct durations). Ties of duration are one level more. A group of any size
+is summed in ranges of the risk, and no range holds a fixed share of the data.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .survival import cumulative
+
 
 def _grouped(obs: DataFrame, duration: str, event: str, risk: str) -> DataFrame:
     return obs.groupBy(F.col(duration).cast("double").alias("t"), F.col(event).cast("int").alias("e"), F.col(risk).cast("double").alias("r")).agg(F.count("*").alias("n"))
 
 
+def _share(got: DataFrame) -> DataFrame:
+    return got.withColumn("c_index", F.when(F.col("pairs") > 0, F.col("concordant") / F.col("pairs")).otherwise(0.5))
+
+
 def by_join(obs: DataFrame, duration: str = "duration", event: str = "event", risk: str = "risk") -> DataFrame:
-    """One row: concordant (ties count a half), pairs, c_index, by an inequality self-join of the sums."""
+    """One row: concordant (ties count a half), pairs, c_index, by matching all pairs: a check on small tables."""
     g = _grouped(obs, duration, event, risk)
     i = g.where("e = 1").select(F.col("t").alias("ti"), F.col("r").alias("ri"), F.col("n").alias("ni"))
     j = g.select(F.col("t").alias("tj"), F.col("e").alias("ej"), F.col("r").alias("rj"), F.col("n").alias("nj"))
     pairs = i.join(j, (F.col("tj") > F.col("ti")) | ((F.col("tj") == F.col("ti")) & (F.col("ej") == 0)))
     weight = F.col("ni") * F.col("nj")
     good = F.when(F.col("ri") > F.col("rj"), 1.0).when(F.col("ri") == F.col("rj"), 0.5).otherwise(0.0)
-    got = pairs.agg(F.coalesce(F.sum(weight * good), F.lit(0.0)).alias("concordant"), F.coalesce(F.sum(weight), F.lit(0)).alias("pairs"))
-    return got.withColumn("c_index", F.when(F.col("pairs") > 0, F.col("concordant") / F.col("pairs")).otherwise(0.5))
-
-
-def _count_block(pdf: pd.DataFrame) -> tuple[float, int]:
-    """Concordant weight and pairs among rows of one duration block, by a Fenwick tree over ranks."""
-    pdf = pdf.sort_values(["t", "e"], ascending=[False, True])  # longest first; at one time, the open before the events
-    ranks, rank = np.unique(pdf["r"].to_numpy(), return_inverse=True)
-    tree, good, pairs, seen = np.zeros(len(ranks) + 1, np.int64), 0.0, 0, 0
-
-    def upto(k):
-        s = 0
-        while k:
-            s += int(tree[k])
-            k &= k - 1
-        return s
+    return _share(pairs.agg(F.coalesce(F.sum(weight * good), F.lit(0.0)).alias("concordant"), F.coalesce(F.sum(weight), F.lit(0)).alias("pairs")))
 
-    t, e, n = pdf["t"].to_numpy(), pdf["e"].to_numpy(), pdf["n"].to_numpy()
-    i = 0
-    while i < len(pdf):
-        k = i
-        while k < len(pdf) and t[k] == t[i] and e[k] == e[i]:
-            k += 1
-        if e[i] == 1:
-            for x in range(i, k):
-                below, through = upto(int(rank[x])), upto(int(rank[x]) + 1)
-                good += int(n[x]) * (below + 0.5 * (through - below))
-                pairs += int(n[x]) * seen
-        for x in range(i, k):
-            at = int(rank[x]) + 1
-            while at < len(tree):
-                tree[at] += int(n[x])
-                at += at & -at
-            seen += int(n[x])
-        i = k
-    return good, pairs
 
-
-def by_blocks(obs: DataFrame, duration: str = "duration", event: str = "event", risk: str = "risk", blocks: int = 64) -> DataFrame:
-    """As by_join, without comparing all pairs: exact within duration blocks, and across blocks by rank.
-
-    Across blocks every row of a later block outlasts every event of an earlier one, so only risks
-    matter: for each block, all later rows' risks are counted below each event's risk by one sort of both
-    (a window over risk), once per block."""
-    g = _grouped(obs, duration, event, risk).persist()
-    cuts = sorted(set(g.stat.approxQuantile("t", [i / blocks for i in range(1, blocks)], 0.25 / blocks)))
-    block = sum([F.when(F.col("t") > c, 1).otherwise(0) for c in cuts], F.lit(0))
-    g = g.withColumn("b", block)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        good, pairs = _count_block(pdf)
-        return pd.DataFrame({"concordant": [good], "pairs": [pairs]})
-
-    inside = g.groupBy("b").applyInPandas(run, "concordant double, pairs long")
-    # rows of later blocks, counted per earlier block (blocks is a constant, so rows grow by that factor only in counts)
-    later = g.where("b > 0").select("b", "r", "n").groupBy("b", "r").agg(F.sum("n").alias("n"))
-    spread = later.select(F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("k"), "r", "n").groupBy("k", "r").agg(F.sum("n").alias("n"))
-    events = g.where("e = 1").select(F.col("b").alias("k"), "r", F.col("n").alias("m")).groupBy("k", "r").agg(F.sum("m").alias("m"))
-    both = spread.select("k", "r", "n", F.lit(0).alias("m")).union(events.select("k", "r", F.lit(0).alias("n"), "m")).groupBy("k", "r").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    w = Window.partitionBy("k").orderBy("r")
-    below = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    all_ = F.sum("n").over(Window.partitionBy("k"))
-    across = both.select((F.col("m") * (below + 0.5 * F.col("n"))).alias("concordant"), (F.col("m") * all_).alias("pairs"))
-    got = inside.union(across).agg(F.coalesce(F.sum("concordant"), F.lit(0.0)).alias("concordant"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
-    return got.withColumn("c_index", F.when(F.col("pairs") > 0, F.col("concordant") / F.col("pairs")).otherwise(0.5))
-
-
-def concordance(obs: DataFrame, duration: str = "duration", event: str = "event", risk: str = "risk", joined_at_most: int = 20_000) -> DataFrame:
-    """Chooses by the number of distinct (duration, event, risk)."""
-    small = _grouped(obs, duration, event, risk).limit(joined_at_most + 1).count() <= joined_at_most
-    return (by_join if small else by_blocks)(obs, duration, event, risk)
+def by_levels(obs: DataFrame, duration: str = "duration", event: str = "event", risk: str = "risk") -> DataFrame:
+    """One row: concordant (ties count a half), pairs, c_index."""
+    g = _grouped(obs, duration, event, risk)
+    times = cumulative(g.select("t").distinct(), "t", {"k": F.lit(1)}).select(F.col("t").alias("_t"), "k")
+    g = g.join(times, F.col("t") == F.col("_t")).select("k", "e", "r", "n")
+    count = times.agg(F.max("k")).first()[0] or 0
+    d = g.select("*", F.explode(F.array(*[F.lit(b) for b in range(max(1, int(count).bit_length()))])).alias("bit"))
+    later = F.expr("shiftright(k, bit) & 1") == 1
+    levels = d.select("bit", F.expr("shiftright(k, bit + 1)").alias("node"), "r", F.when(later, F.col("n")).otherwise(0).alias("long"), F.when(~later & (F.col("e") == 1), F.col("n")).otherwise(0).alias("short"))
+    ties = g.select(F.lit(-1).alias("bit"), F.col("k").alias("node"), "r", F.when(F.col("e") == 0, F.col("n")).otherwise(0).alias("long"), F.when(F.col("e") == 1, F.col("n")).otherwise(0).alias("short"))
+    size = F.floor(F.log2(F.abs("r") + 1.0) * 64).cast("int")
+    both = levels.unionByName(ties).groupBy("bit", "node", "r").agg(F.sum("long").alias("long"), F.sum("short").alias("short"))
+    both = both.withColumn("band", F.when(F.col("r") < 0, -size - 1).otherwise(size))
+    w = Window.partitionBy("bit", "node").orderBy("band")
+    bands = both.groupBy("bit", "node", "band").agg(F.sum("long").alias("s"))
+    bands = bands.select("bit", "node", "band", F.coalesce(F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("lower"), F.sum("s").over(Window.partitionBy("bit", "node")).alias("all"))
+    inside = Window.partitionBy("bit", "node", "band").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = both.withColumn("below", F.coalesce(F.sum("long").over(inside), F.lit(0))).where("short > 0").join(bands, ["bit", "node", "band"])
+    good = F.col("short") * (F.col("lower") + F.col("below") + 0.5 * F.col("long"))
+    return _share(ranked.agg(F.coalesce(F.sum(good), F.lit(0.0)).alias("concordant"), F.coalesce(F.sum(F.col("short") * F.col("all")), F.lit(0)).alias("pairs")))
+
+
+def concordance(obs: DataFrame, duration: str = "duration", event: str = "event", risk: str = "risk") -> DataFrame:
+    return by_levels(obs, duration, event, risk)

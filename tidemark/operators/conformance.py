@@ -1,4 +1,9 @@
-"""Declarative process rules; each yields case_id, rule, detail, and a position for order."""
+"""Declarative process rules; each yields case_id, rule, detail, and a position for order.
+
+A rule is a column over the ordered log: null, or (detail, at) on the row where the violation shows. All
+rules of a set are columns of one frame, so the log is shuffled and sorted by case once, whatever their
+number; their windows share that order.
+"""
 
 from __future__ import annotations
 
@@ -8,15 +13,44 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .eventlog import in_case, ordered
+from .eventlog import EVENT_CORE, in_case
+
+
+def _before() -> Window:
+    return in_case().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _whole() -> Window:
+    return in_case().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def _place() -> Column:
+    return F.row_number().over(in_case())
+
+
+def _is(activity: str) -> Column:
+    return F.col("activity") == activity
+
+
+def _hit(test: Column, detail: Column, at: Column | int = 0) -> Column:
+    at = F.lit(at) if isinstance(at, int) else at
+    return F.when(test, F.struct(detail.alias("detail"), at.cast("int").alias("at")))
+
 
+class Rule:
+    """A rule whose mark() is a column over the log in order."""
 
-def _violation(code: str, df: DataFrame, detail: Column, at: Column) -> DataFrame:
-    return df.select("case_id", F.lit(code).alias("rule"), detail.alias("detail"), at.cast("int").alias("at"))
+    code: str
+
+    def mark(self) -> Column:
+        raise NotImplementedError
+
+    def violations(self, events: DataFrame) -> DataFrame:
+        return violations(events, [self]).drop("ordinal")
 
 
 @dataclass(frozen=True)
-class RequiredActivities:
+class RequiredActivities(Rule):
     activities: tuple[str, ...]
     code: str = "REQUIRED"
 
@@ -24,15 +58,13 @@ class RequiredActivities:
     def description(self):
         return "required in every case: " + ", ".join(self.activities)
 
-    def violations(self, events: DataFrame) -> DataFrame:
-        flags = [F.max(F.when(F.col("activity") == a, 1).otherwise(0)).alias(f"_h{i}") for i, a in enumerate(self.activities)]
-        got = events.groupBy("case_id").agg(*flags)
-        missing = F.concat_ws(", ", *[F.when(F.col(f"_h{i}") == 0, F.lit(a)) for i, a in enumerate(self.activities)])
-        return _violation(self.code, got.withColumn("_m", missing).where("_m <> ''"), F.concat(F.lit("missing "), F.col("_m")), F.lit(0))
+    def mark(self) -> Column:
+        missing = F.concat_ws(", ", *[F.when(F.max(F.when(_is(a), 1).otherwise(0)).over(_whole()) == 0, F.lit(a)) for a in self.activities])
+        return _hit((_place() == 1) & (missing != ""), F.concat(F.lit("missing "), missing))
 
 
 @dataclass(frozen=True)
-class ForbiddenTransition:
+class ForbiddenTransition(Rule):
     source: str
     target: str
     code: str = "FORBIDDEN"
@@ -41,13 +73,12 @@ class ForbiddenTransition:
     def description(self):
         return f"'{self.source}' is never directly followed by '{self.target}'"
 
-    def violations(self, events: DataFrame) -> DataFrame:
-        o = ordered(events).where((F.col("activity") == self.source) & (F.col("next_activity") == self.target))
-        return _violation(self.code, o, F.format_string(f"'{_esc(self.source)}' -> '{_esc(self.target)}' at position %d", "pos"), F.col("pos"))
+    def mark(self) -> Column:
+        return _hit(_is(self.source) & (F.lead("activity").over(in_case()) == self.target), F.format_string(f"'{_esc(self.source)}' -> '{_esc(self.target)}' at position %d", _place()), _place())
 
 
 @dataclass(frozen=True)
-class Ordering:
+class Ordering(Rule):
     before: str
     after: str
     code: str = "ORDERING"
@@ -56,16 +87,14 @@ class Ordering:
     def description(self):
         return f"'{self.after}' only once '{self.before}' has occurred"
 
-    def violations(self, events: DataFrame) -> DataFrame:
-        w = in_case().rowsBetween(Window.unboundedPreceding, -1)
-        o = events.withColumns({"_p": F.row_number().over(in_case()) - 1, "_b": F.max(F.when(F.col("activity") == self.before, 1).otherwise(0)).over(w)})
-        o = o.where((F.col("activity") == self.after) & (F.lit(self.after) != self.before) & (F.coalesce("_b", F.lit(0)) == 0))
-        o = o.groupBy("case_id").agg(F.min("_p").alias("_p"))
-        return _violation(self.code, o, F.format_string(f"'{_esc(self.after)}' occurred at position %d without a preceding '{_esc(self.before)}'", "_p"), F.col("_p"))
+    def mark(self) -> Column:
+        # the first `after` of a case, if nothing of either kind came before it
+        earlier = F.coalesce(F.max(F.when(F.col("activity").isin(self.before, self.after), 1).otherwise(0)).over(_before()), F.lit(0))
+        return _hit(_is(self.after) & (F.lit(self.after) != self.before) & (earlier == 0), F.format_string(f"'{_esc(self.after)}' occurred at position %d without a preceding '{_esc(self.before)}'", _place() - 1), _place() - 1)
 
 
 @dataclass(frozen=True)
-class MaxOccurrences:
+class MaxOccurrences(Rule):
     activity: str
     limit: int
     code: str = "MAX_OCCURRENCES"
@@ -74,13 +103,13 @@ class MaxOccurrences:
     def description(self):
         return f"'{self.activity}' at most {self.limit} time(s) a case"
 
-    def violations(self, events: DataFrame) -> DataFrame:
-        o = events.where(F.col("activity") == self.activity).groupBy("case_id").agg(F.count("*").alias("_n")).where(F.col("_n") > self.limit)
-        return _violation(self.code, o, F.format_string(f"'{_esc(self.activity)}' occurred %d times", "_n"), F.lit(0))
+    def mark(self) -> Column:
+        n = F.sum(F.when(_is(self.activity), 1).otherwise(0)).over(_whole())
+        return _hit((_place() == 1) & (n > self.limit), F.format_string(f"'{_esc(self.activity)}' occurred %d times", n))
 
 
 @dataclass(frozen=True)
-class StartActivities:
+class StartActivities(Rule):
     allowed: tuple[str, ...]
     code: str = "START"
 
@@ -88,13 +117,12 @@ class StartActivities:
     def description(self):
         return "cases start with one of: " + ", ".join(self.allowed)
 
-    def violations(self, events: DataFrame) -> DataFrame:
-        o = events.groupBy("case_id").agg(F.min_by("activity", F.struct("ts", "seq")).alias("_a")).where(~F.col("_a").isin(*self.allowed))
-        return _violation(self.code, o, F.format_string("started with '%s'", "_a"), F.lit(0))
+    def mark(self) -> Column:
+        return _hit((_place() == 1) & ~F.col("activity").isin(*self.allowed), F.format_string("started with '%s'", "activity"))
 
 
 @dataclass(frozen=True)
-class EndActivities:
+class EndActivities(Rule):
     allowed: tuple[str, ...]
     code: str = "END"
 
@@ -102,13 +130,12 @@ class EndActivities:
     def description(self):
         return "cases end with one of: " + ", ".join(self.allowed)
 
-    def violations(self, events: DataFrame) -> DataFrame:
-        o = events.groupBy("case_id").agg(F.max_by("activity", F.struct("ts", "seq")).alias("_a")).where(~F.col("_a").isin(*self.allowed))
-        return _violation(self.code, o, F.format_string("ended with '%s'", "_a"), F.lit(0))
+    def mark(self) -> Column:
+        return _hit((_place() == F.count(F.lit(1)).over(_whole())) & ~F.col("activity").isin(*self.allowed), F.format_string("ended with '%s'", "activity"))
 
 
 @dataclass(frozen=True)
-class FourEyes:
+class FourEyes(Rule):
     """A checker must differ from whoever did the most recent maker activity before."""
 
     makers: tuple[str, ...]
@@ -119,12 +146,10 @@ class FourEyes:
     def description(self):
         return f"'{self.checker}' by someone other than whoever performed " + " or ".join(f"'{m}'" for m in self.makers)
 
-    def violations(self, events: DataFrame) -> DataFrame:
-        made = F.when(F.col("activity").isin(*self.makers), F.struct("activity", "resource"))
-        w = in_case().rowsBetween(Window.unboundedPreceding, -1)
-        o = events.withColumns({"_p": F.row_number().over(in_case()), "_m": F.last(made, ignorenulls=True).over(w)})
-        o = o.where((F.col("activity") == self.checker) & ~F.col("activity").isin(*self.makers) & (F.col("resource") != "") & (F.col("resource") == F.col("_m.resource")))
-        return _violation(self.code, o, F.format_string("%s both performed '%s' and checked it", "resource", "_m.activity"), F.col("_p"))
+    def mark(self) -> Column:
+        made = F.last(F.when(F.col("activity").isin(*self.makers), F.struct("activity", "resource")), ignorenulls=True).over(_before())
+        test = _is(self.checker) & ~F.col("activity").isin(*self.makers) & (F.col("resource") != "") & (F.col("resource") == made["resource"])
+        return _hit(test, F.format_string("%s both performed '%s' and checked it", F.col("resource"), made["activity"]), _place())
 
 
 @dataclass(frozen=True)
@@ -163,10 +188,17 @@ DEFAULT_RULES = (
 
 def violations(events: DataFrame, rules: Sequence) -> DataFrame:
     """All rules' violations: case_id, rule, detail, ordinal (of the rule), at."""
+    shape = "case_id, rule, detail, at, ordinal"
     out = None
-    for i, rule in enumerate(rules):
-        v = rule.violations(events).withColumn("ordinal", F.lit(i))
-        out = v if out is None else out.unionByName(v)
+    columns = {f"_m{i}": r.mark() for i, r in enumerate(rules) if isinstance(r, Rule)}
+    if columns:
+        marked = events.select(*EVENT_CORE).withColumns(columns)
+        found = [F.when(F.col(f"_m{i}").isNotNull(), F.struct(F.lit(r.code).alias("rule"), F.col(f"_m{i}.detail").alias("detail"), F.col(f"_m{i}.at").alias("at"), F.lit(i).alias("ordinal"))) for i, r in enumerate(rules) if isinstance(r, Rule)]
+        out = marked.select("case_id", F.explode(F.array_compact(F.array(*found))).alias("v")).select("case_id", "v.*").selectExpr(*shape.split(", "))
+    for i, r in enumerate(rules):
+        if not isinstance(r, Rule):
+            v = r.violations(events).withColumn("ordinal", F.lit(i)).selectExpr(*shape.split(", "))
+            out = v if out is None else out.unionByName(v)
     if out is None:
         out = events.select("case_id", F.lit("").alias("rule"), F.lit("").alias("detail"), F.lit(0).alias("at"), F.lit(0).alias("ordinal")).where("false")
     return out
@@ -174,9 +206,10 @@ def violations(events: DataFrame, rules: Sequence) -> DataFrame:
 
 def fitness(events: DataFrame, found: DataFrame) -> DataFrame:
     """cases, violating_cases, fitness (1 when there are no cases)."""
-    cases = events.agg(F.count_distinct("case_id").alias("cases"))
-    bad = found.agg(F.count_distinct("case_id").alias("violating_cases"))
-    return cases.crossJoin(bad).withColumn("fitness", F.when(F.col("cases") > 0, 1 - F.col("violating_cases") / F.col("cases")).otherwise(1.0))
+    ids = events.select("case_id", F.lit(0).alias("bad")).union(found.select("case_id", F.lit(1)))
+    per = ids.groupBy("case_id").agg(F.max("bad").alias("bad"))
+    got = per.agg(F.count("case_id").alias("cases"), F.coalesce(F.sum("bad"), F.lit(0)).alias("violating_cases"))
+    return got.withColumn("fitness", F.when(F.col("cases") > 0, 1 - F.col("violating_cases") / F.col("cases")).otherwise(1.0))
 
 
 def by_rule(found: DataFrame) -> DataFrame:
@@ -188,5 +221,16 @@ def cases_for(found: DataFrame, rule: str) -> DataFrame:
 
 
 def examples(found: DataFrame, k: int = 3) -> DataFrame:
+    """The first k violations of each rule: a bounded aggregate a rule, combined on the map side."""
+    first = found.groupBy("rule", "ordinal", "case_id").agg(F.min(F.struct("at", "detail")).alias("v"))
     w = Window.partitionBy("rule").orderBy("case_id", "at")
-    return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+    return first.select("case_id", "rule", "v.detail", "v.at", "ordinal").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
+def to_text(summary: dict, rules: Sequence[dict], shown: Sequence[dict] = ()) -> str:
+    """The report of a collected fitness row, rows by rule, and examples."""
+    out = [f"fitness {100 * summary['fitness']:.2f}%: {summary['violating_cases']} of {summary['cases']} cases break a rule"]
+    for r in rules:
+        out.append(f"{r['rule']:<18}{r['violations']:>7} violations in {r['cases']} cases")
+        out += [f"    {x['case_id']}: {x['detail']}" for x in shown if x["rule"] == r["rule"]]
+    return "\n".join(out)

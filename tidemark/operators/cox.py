@@ -11,7 +11,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import chi2_sf, inverse, normal_sf, solve
@@ -29,7 +29,7 @@ def linear_predictor(names, beta, centre=None) -> Column:
     return out
 
 
-def likelihood(obs: DataFrame, names, beta, duration: str = "duration", event: str = "event", centre=None, buckets: int = 1) -> DataFrame:
+def likelihood(obs: DataFrame, names, beta, duration: str = "duration", event: str = "event", centre=None, buckets: int = 64) -> DataFrame:
     """One row: ll, g0..., h0_0... (upper triangle) of the partial likelihood at beta."""
     p = len(names)
     d = obs.select(F.col(duration).cast("double").alias("t"), F.col(event).cast("double").alias("e"), *[(F.col(n).cast("double") - (float(centre[i]) if centre is not None else 0.0)).alias(f"x{i}") for i, n in enumerate(names)])
@@ -56,7 +56,7 @@ def baseline(obs: DataFrame, names, beta, duration: str = "duration", event: str
     d = obs.select(F.col(duration).cast("double").alias("time"), F.col(event).cast("double").alias("e"), F.exp(linear_predictor(names, beta)).alias("w"))
     t = d.groupBy("time").agg(F.sum("e").alias("d"), F.sum("w").alias("w"))
     t = cumulative(t, "time", {"s0": F.col("w")}, descending=True).where("d > 0").select("time", (F.col("d") / F.col("s0")).alias("hazard"))
-    return t.withColumn("cumulative_hazard", F.sum("hazard").over(Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)))
+    return cumulative(t, "time", {"cumulative_hazard": F.col("hazard")})
 
 
 @dataclass
@@ -99,6 +99,14 @@ class CoxModel:
         ci = self.intervals()
         return [{"covariate": n, "coef": b, "se": s, "hazard_ratio": h, "lower": lo, "upper": hi, "z": z, "p": p} for n, b, s, h, (lo, hi), z, p in zip(self.names, self.beta, self.std_error, self.hazard_ratios, ci, self.z, self.p_values)]
 
+    def to_text(self) -> str:
+        """The coefficients as a table, and how the model was fitted."""
+        stat, p = self.likelihood_ratio
+        head = f"{'covariate':<28}{'coef':>9}{'se':>9}{'hazard ratio':>14}{'95% interval':>20}{'z':>8}{'p':>9}"
+        body = [f"{r['covariate']:<28}{r['coef']:>9.4f}{r['se']:>9.4f}{r['hazard_ratio']:>14.3f}{'%.3f to %.3f' % (r['lower'], r['upper']):>20}{r['z']:>8.2f}{r['p']:>9.4f}" for r in self.rows()]
+        tail = f"{self.cases} cases, {self.events} events; log likelihood {self.log_likelihood:.3f} (null {self.null_log_likelihood:.3f}); likelihood ratio {stat:.2f}, p {p:.4g}; " + (f"converged in {self.iterations} steps" if self.converged else "not converged")
+        return "\n".join([head, *body, tail])
+
     def score(self, cases: DataFrame, prefix: str = "x_") -> Column:
         return linear_predictor([prefix + n for n in self.names], self.beta)
 
@@ -115,12 +123,12 @@ class CoxModel:
         return cases.withColumn("risk", risk).withColumn("breach_probability", F.exp(-F.lit(self.hazard_at(sla_hours)) * F.exp("risk")))
 
     def breach_by_target(self, cases: DataFrame, sla: str = "sla_hours") -> DataFrame:
-        """As breach_probability with each case's own target: an as-of lookup of the baseline, by a sort-free
-        join on the last event time at or before each distinct target."""
-        targets = cases.select(F.col(sla).alias("_sla")).distinct()
-        w = Window.orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-        both = self.base.select(F.col("time").alias("_at"), F.lit(0).alias("_kind"), F.col("cumulative_hazard").alias("_h")).union(targets.select(F.col("_sla").cast("double"), F.lit(1), F.lit(None).cast("double")))
-        look = both.withColumn("_h", F.coalesce(F.last("_h", ignorenulls=True).over(w), F.lit(0.0))).where("_kind = 1").select(F.col("_at").alias("_sla"), "_h")
+        """As breach_probability with each case's own target: the hazards up to each distinct target are running
+        sums over event times and targets together."""
+        targets = cases.select(F.col(sla).cast("double").alias("_sla")).where("_sla IS NOT NULL").distinct()
+        both = self.base.select(F.col("time").alias("_sla"), "hazard", F.lit(0).alias("_asked")).union(targets.select("_sla", F.lit(0.0), F.lit(1)))
+        both = both.groupBy("_sla").agg(F.sum("hazard").alias("hazard"), F.max("_asked").alias("_asked"))
+        look = cumulative(both, "_sla", {"_h": F.col("hazard")}).where("_asked = 1").select("_sla", "_h")
         got = cases.join(look, F.col(sla).cast("double") == F.col("_sla")).withColumn("risk", self.score(cases))
         return got.withColumn("breach_probability", F.exp(-F.col("_h") * F.exp("risk"))).drop("_sla", "_h")
 
@@ -135,6 +143,13 @@ def survival_curve(model: CoxModel, values: dict[str, float]) -> DataFrame:
     return model.base.select("time", F.exp(-F.col("cumulative_hazard") * math.exp(lp)).alias("survival"))
 
 
+def curve_quantile(model: CoxModel, values: dict[str, float], p: float = 0.5) -> float | None:
+    """First event time at which the scored curve is at most 1 - p; None if it never is."""
+    if not 0 < p < 1:
+        raise ValueError("p must lie between 0 and 1")
+    return survival_curve(model, values).where(F.col("survival") <= 1 - p).agg(F.min("time")).first()[0]
+
+
 def fit_cox(obs: DataFrame, names, duration: str = "duration", event: str = "event", prefix: str = "x_", iterations: int = 50, tolerance: float = 1e-9) -> CoxModel:
     cols, p = [prefix + n for n in names], len(names)
     source = obs.select(duration, event, *cols)

@@ -1,7 +1,7 @@
 """Linting of tabular models: measures are tokenised once into a frame, and each rule is a query.
 
 Frames are those of sources.tabular. tokens: model, owner_kind (measure or column), owner (ordinal),
-idx, kind, text, value, line, col. Findings: model, code, severity, object, message, line.
+idx, kind, text, value, line, col. Findings: model, code, severity, object, message, remedy, line.
 """
 
 from __future__ import annotations
@@ -25,11 +25,22 @@ TOKEN_PATTERNS = (
     ("operator", r"<>|>=|<=|&&|\|\||[-+*/^=<>&]"),
     ("punctuation", r"[(),;{}]"),
 )
+# The names and functions by which the rules know keys, money, time and aggregates.
 KEY_NAME = r"(?i)(?:^|[_\s]|(?<=[a-z]))(id|key|code|guid|number)$"
 MONEY_NAME = r"(?i)(amount|value|price|cost|premium|balance|fee|charge|payment|salary|revenue)"
 TIME_FUNCTIONS = r"(?i)\b(DATEADD|SAMEPERIODLASTYEAR|TOTALYTD|DATESYTD|PARALLELPERIOD)\b"
 AGGREGATORS = ("SUM", "AVERAGE", "MIN", "MAX", "COUNT", "COUNTA", "DISTINCTCOUNT")
 ITERATORS = {"SUMX": "SUM", "AVERAGEX": "AVERAGE", "MINX": "MIN", "MAXX": "MAX"}
+#: What to do about a finding.
+REMEDY = {
+    "MOD001": "Say in the description what the measure counts and for whom.", "MOD002": "Put the measure into a display folder.", "MOD003": "Filter in one direction, and cross the other way inside the measures that need it.",
+    "MOD004": "Remove the relationship, or activate it in a measure with USERELATIONSHIP.", "MOD005": "Turn automatic date tables off and relate one date table of your own.", "MOD006": "Store money as a fixed decimal number.",
+    "MOD007": "Set the column's default summarisation to none.", "MOD008": "Hide the key; readers should use the attributes beside it.", "MOD009": "Mark one table as the date table, with one row for each day.",
+    "MOD010": "Give the measure a format string.", "MOD011": "Keep one measure and let the others refer to it.", "MOD012": "Make it a measure: a calculated column is stored and ignores the reader's filters.",
+    "DAX001": "Write DIVIDE(numerator, denominator), which allows for a zero.", "DAX002": "Name the column's table.", "DAX003": "Write the measure's name without a table.",
+    "DAX004": "Filter the column, or use KEEPFILTERS, in place of the table.", "DAX005": "Handle the case that fails, for instance with DIVIDE or a test for blanks.", "DAX006": "Use the plain aggregate of the column.",
+    "DAX007": "Keep the outer value in a VAR.", "DAX008": "Keep the repeated expression in a VAR.",
+}
 SEVERITY = {
     "MOD001": "info", "MOD002": "info", "MOD003": "warning", "MOD004": "warning", "MOD005": "warning", "MOD006": "warning", "MOD007": "error", "MOD008": "info", "MOD009": "error", "MOD010": "info",
     "MOD011": "warning", "MOD012": "warning", "DAX001": "warning", "DAX002": "warning", "DAX003": "info", "DAX004": "warning", "DAX005": "warning", "DAX006": "info", "DAX007": "info", "DAX008": "info",
@@ -94,10 +105,12 @@ def column_references(toks: DataFrame) -> DataFrame:
     return d.select("model", "owner_kind", "owner", "idx", F.col("value").alias("name"), "table", "line")
 
 
-def lint(model: dict[str, DataFrame], select: Sequence[str] | None = None, ignore: Sequence[str] = ()) -> DataFrame:
-    """All findings, by severity (errors first), code, object and line."""
+def lint(model: dict[str, DataFrame], select: Sequence[str] | None = None, ignore: Sequence[str] = (), toks: DataFrame | None = None) -> DataFrame:
+    """All findings with their remedies, by severity (errors first), code, object and line.
+
+    toks: the model's tokens, where the caller keeps them."""
     t, c, m, r = (model[k] for k in ("tables", "columns", "measures", "relationships"))
-    toks = tokens(model).persist()
+    toks = tokens(model) if toks is None else toks
     m = m.withColumn("object", F.concat("table", F.lit("["), "name", F.lit("]")))
     c = c.withColumn("object", F.concat("table", F.lit("["), "name", F.lit("]")))
     named = m.select("model", F.col("ordinal").alias("owner"), "object")
@@ -117,7 +130,7 @@ def lint(model: dict[str, DataFrame], select: Sequence[str] | None = None, ignor
 
     def out(code: str, df: DataFrame, message: Column | str, line: str | None = None) -> DataFrame:
         text = F.lit(message) if isinstance(message, str) else message
-        return df.select("model", F.lit(code).alias("code"), F.lit(SEVERITY[code]).alias("severity"), "object", text.alias("message"), (F.col(line) if line else F.lit(0)).cast("int").alias("line"))
+        return df.select("model", F.lit(code).alias("code"), F.lit(SEVERITY[code]).alias("severity"), "object", text.alias("message"), F.lit(REMEDY[code]).alias("remedy"), (F.col(line) if line else F.lit(0)).cast("int").alias("line"))
 
     ahead = mtoks.withColumns({f"t{k}": F.lead("text", k).over(_w()) for k in range(1, 7)} | {f"k{k}": F.lead("kind", k).over(_w()) for k in (2, 4, 5)} | {f"v{k}": F.lead("value", k).over(_w()) for k in (2, 4)})
     tables = t.select("model", F.lower("table").alias("_table")).distinct()

@@ -59,22 +59,35 @@ def bottlenecks(events: DataFrame | None, calendar: WorkCalendar | None = None,
     return graph.select("source", "target", "total_hours", "mean_hours", "frequency").orderBy(F.col("total_hours").desc(), "source", "target").limit(top)
 
 
-def variants(events: DataFrame, limit: int | None = None, with_cases: bool = True) -> DataFrame:
+def variants(events: DataFrame, limit: int | None = None, with_cases: bool = False) -> DataFrame:
     """Distinct traces with count and length, most frequent first, then by trace.
 
-    with_cases gathers each variant's case ids in one row; leave it off for logs of many cases."""
+    variant_cases lists who is in which; with_cases gathers the ids in one row a variant, for small logs."""
     g = traces(events).groupBy("trace")
     got = g.agg(F.count("*").alias("count"), *([F.sort_array(F.collect_list("case_id")).alias("case_ids")] if with_cases else []))
     got = got.withColumn("length", F.size("trace")).orderBy(F.col("count").desc(), "trace")
     return got.limit(limit) if limit else got
 
 
+def variant_cases(events: DataFrame) -> DataFrame:
+    """trace, case_id: one row a case."""
+    return traces(events).select("trace", "case_id")
+
+
 def variant_coverage(events: DataFrame) -> DataFrame:
-    """rank, trace, count, coverage: share of cases in this variant and the more frequent ones."""
-    v = variants(events, with_cases=False)
-    w = Window.orderBy(F.col("count").desc(), "trace")
-    total = F.sum("count").over(Window.partitionBy())
-    return v.select(F.row_number().over(w).alias("rank"), "trace", "count", (F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, 0)) / total).alias("coverage"))
+    """rank, trace, count, coverage: share of cases in this variant and the more frequent ones.
+
+    Variants are ordered within (count, first two activities), and these groups among themselves, so the many
+    variants of one case each don't meet in one task."""
+    v = traces(events).groupBy("trace").agg(F.count("*").alias("count")).withColumns({"_a": F.get("trace", F.lit(0)), "_b": F.get("trace", F.lit(1))})
+    key = ["count", "_a", "_b"]
+    groups = v.groupBy(*key).agg(F.count("*").alias("_n"))
+    side = Window.orderBy(F.col("count").desc(), F.col("_a").asc_nulls_first(), F.col("_b").asc_nulls_first())
+    back = side.rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select(F.col("count").alias("_c"), F.col("_a").alias("_x"), F.col("_b").alias("_y"), F.coalesce(F.sum("_n").over(back), F.lit(0)).alias("_rank"), F.coalesce(F.sum(F.col("_n") * F.col("count")).over(back), F.lit(0)).alias("_upto"), F.sum(F.col("_n") * F.col("count")).over(Window.partitionBy()).alias("_all"))
+    v = v.join(groups, (F.col("count") == F.col("_c")) & F.col("_a").eqNullSafe(F.col("_x")) & F.col("_b").eqNullSafe(F.col("_y")))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("trace"))
+    return v.select((F.col("_rank") + place).cast("int").alias("rank"), "trace", "count", ((F.col("_upto") + place * F.col("count")) / F.col("_all")).alias("coverage"))
 
 
 def activity_statistics(events: DataFrame, cases: DataFrame | None = None, exact: bool = True) -> DataFrame:

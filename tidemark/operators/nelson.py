@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import over_blocks
+
 
 @dataclass(frozen=True)
 class RunRule:
@@ -59,25 +61,35 @@ def flags(df: DataFrame, z: str, order: str, rules: Sequence[int | RunRule] | No
 
     rules: numbers of the built-in rules, or RunRules of one's own (flag takes the column and the window)."""
     chosen = [r if isinstance(r, RunRule) else RULES[r - 1] for r in (rules if rules is not None else range(1, 9))]
-    w = Window.orderBy(order)
-    d = df.withColumn("_n", F.row_number().over(w)).withColumn("_step", F.col(z) - F.lag(z).over(w))
-    d = d.withColumn("_turn", F.col("_step") * F.lag("_step").over(w) < 0)
-    made = []
-    for r in chosen:
-        if r.number == 3 and r.flag is None:
-            test = (_count(F.col("_step") > 0, 5, w) == 5) | (_count(F.col("_step") < 0, 5, w) == 5)
-        elif r.number == 4 and r.flag is None:
-            test = _count(F.col("_turn"), 12, w) == 12
-        else:
-            test = r.flag(F.col(z), w)
-        made.append(F.when(test & (F.col("_n") >= r.window), F.lit(r.code)))
-    none = F.expr("cast(array() as array<string>)")
-    d = d.withColumn("violations", F.array_compact(F.array(*made)) if made else none)
-    return d.drop("_n", "_step", "_turn")
+
+    def add(d, w):
+        d = d.withColumn("_step", F.col(z) - F.lag(z).over(w))
+        d = d.withColumn("_turn", F.col("_step") * F.lag("_step").over(w) < 0)
+        made = []
+        for r in chosen:
+            if r.number == 3 and r.flag is None:
+                test = (_count(F.col("_step") > 0, 5, w) == 5) | (_count(F.col("_step") < 0, 5, w) == 5)
+            elif r.number == 4 and r.flag is None:
+                test = _count(F.col("_turn"), 12, w) == 12
+            else:
+                test = r.flag(F.col(z), w)
+            made.append(F.when(test & (F.row_number().over(w) >= r.window), F.lit(r.code)))
+        none = F.expr("cast(array() as array<string>)")
+        return d.withColumn("violations", F.array_compact(F.array(*made)) if made else none).drop("_step", "_turn")
+
+    # a block starts with as many rows of those before as the longest rule looks back
+    return over_blocks(df, order, max([r.window for r in chosen], default=1) - 1, add)
 
 
 def expand(df: DataFrame, order: str, rules: Sequence[RunRule] = RULES) -> DataFrame:
     """Widen each flag back over the window that it completes; codes of no rule are left out."""
-    w = Window.orderBy(order)
-    wide = [F.when(F.max(F.when(F.array_contains("violations", r.code), 1).otherwise(0)).over(w.rowsBetween(0, r.window - 1)) == 1, F.lit(r.code)) for r in rules]
-    return df.withColumn("violations", F.array_compact(F.array(*wide)))
+    back = {r.code: r.window for r in rules}
+
+    def add(d, w):
+        flag = lambda c: F.when(F.array_contains("violations", c), 1).otherwise(0)
+        wide = [F.when(F.max(flag(c)).over(w.rowsBetween(1 - n, 0)) == 1, F.lit(c)) for c, n in back.items()]
+        return d.withColumn("violations", F.array_compact(F.array(*wide)))
+
+    # looking ahead is looking back in falling order
+    turned = over_blocks(df.withColumn("_turned", -F.col(order)), "_turned", max(back.values(), default=1) - 1, add)
+    return turned.drop("_turned")

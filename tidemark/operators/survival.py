@@ -1,8 +1,8 @@
 """Right-censored survival: everything runs on the risk table, one row a distinct duration.
 
 The data-sized step is one grouped count with map-side combining. Suffix and prefix sums then run over
-distinct durations; beyond some millions of those, `suffix` works in two levels (range buckets, then
-within), so no single task orders all of them.
+distinct durations in two levels: within ranges of the duration (a fixed number to a doubling), and over
+the totals of these ranges, of which there are a bounded number, so no single task orders all durations.
 """
 
 from __future__ import annotations
@@ -25,28 +25,25 @@ def check(obs: DataFrame, duration: str = "duration", event: str = "event") -> N
         raise ValueError("durations must be non-negative and events 0 or 1")
 
 
-def cumulative(df: DataFrame, by: str, columns: dict[str, Column], descending: bool = False, buckets: int = 1) -> DataFrame:
-    """Running sums over rows ordered by `by` (unique), inclusive. columns: output name to summed expression.
+def cumulative(df: DataFrame, by: str, columns: dict[str, Column], descending: bool = False, buckets: int = 64, products: dict[str, Column] | None = None) -> DataFrame:
+    """Running sums (and products) over rows ordered by `by` (unique), inclusive. columns: output name to expression.
 
-    With buckets > 1, rows are range-partitioned by value into buckets; each is summed by itself, and the
-    totals of the buckets before are added (a table of `buckets` rows, broadcast)."""
+    `buckets` ranges to a doubling of `by` + 1; each is summed by itself, and what the ranges before hold is
+    added. There are at most 1024 * buckets ranges for any numbers, and some tens to hundreds in practice."""
     order = F.col(by).desc() if descending else F.col(by).asc()
-    if buckets <= 1:
-        w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({k: F.sum(c).over(w) for k, c in columns.items()})
-    cuts = df.stat.approxQuantile(by, [i / buckets for i in range(1, buckets)], 0.5 / buckets)
-    bucket = sum([F.when(F.col(by) > c, 1).otherwise(0) for c in sorted(set(cuts))], F.lit(0))
-    d = df.withColumn("_b", bucket).withColumns({f"_c{i}": c for i, c in enumerate(columns.values())})
+    exprs = [(k, c, F.sum) for k, c in columns.items()] + [(k, c, F.product) for k, c in (products or {}).items()]
+    size = F.floor(F.log2(F.abs(F.col(by)) + 1.0) * buckets).cast("int")
+    d = df.withColumn("_b", F.when(F.col(by) < 0, -size - 1).otherwise(size)).withColumns({f"_c{i}": c for i, (_, c, _) in enumerate(exprs)})
     side = Window.orderBy(F.col("_b").desc() if descending else F.col("_b").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    sums = d.groupBy("_b").agg(*[F.sum(f"_c{i}").alias(f"_s{i}") for i in range(len(columns))])
-    sums = sums.select(F.col("_b").alias("_kb"), *[F.coalesce(F.sum(f"_s{i}").over(side), F.lit(0)).alias(f"_t{i}") for i in range(len(columns))])
+    sums = d.groupBy("_b").agg(*[f(f"_c{i}").alias(f"_s{i}") for i, (_, _, f) in enumerate(exprs)])
+    sums = sums.select(F.col("_b").alias("_kb"), *[F.coalesce(f(f"_s{i}").over(side), F.lit(1 if f is F.product else 0)).alias(f"_t{i}") for i, (_, _, f) in enumerate(exprs)])
     w = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     d = d.join(F.broadcast(sums), F.col("_b") == F.col("_kb"))
-    d = d.withColumns({k: F.sum(f"_c{i}").over(w) + F.col(f"_t{i}") for i, k in enumerate(columns)})
-    return d.drop("_b", "_kb", *[f"_c{i}" for i in range(len(columns))], *[f"_t{i}" for i in range(len(columns))])
+    d = d.withColumns({k: (F.product(f"_c{i}").over(w) * F.col(f"_t{i}") if f is F.product else F.sum(f"_c{i}").over(w) + F.col(f"_t{i}")) for i, (k, _, f) in enumerate(exprs)})
+    return d.drop("_b", "_kb", *[f"_c{i}" for i in range(len(exprs))], *[f"_t{i}" for i in range(len(exprs))])
 
 
-def risk_table(obs: DataFrame, duration: str = "duration", event: str = "event", buckets: int = 1) -> DataFrame:
+def risk_table(obs: DataFrame, duration: str = "duration", event: str = "event", buckets: int = 64) -> DataFrame:
     """time, at_risk, events, censored by distinct duration."""
     g = obs.groupBy(F.col(duration).cast("double").alias("time")).agg(F.sum(F.col(event).cast("long")).alias("events"), F.count("*").alias("n"))
     g = cumulative(g, "time", {"at_risk": F.col("n")}, descending=True, buckets=buckets)
@@ -57,13 +54,10 @@ def kaplan_meier(obs: DataFrame, duration: str = "duration", event: str = "event
     """The risk table with survival, Greenwood's std_error, and log-log limits lower and upper.
 
     The product is F.product: exact zeros stay zeros, and steps equal the textbook product."""
-    w = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    t = risk_table(obs, duration, event)
     n, d = F.col("at_risk"), F.col("events")
-    t = t.withColumns({
-        "survival": F.product(1.0 - d / n).over(w),
-        "_g": F.when(F.max(F.when(n == d, 1).otherwise(0)).over(w) == 1, F.lit(float("inf"))).otherwise(F.sum(F.when(n > d, d / (n * (n - d))).otherwise(0.0)).over(w)),
-    })
+    greenwood = F.when(n > d, d / (n * (n - d))).otherwise(0.0)
+    t = cumulative(risk_table(obs, duration, event), "time", {"_g": greenwood}, products={"survival": 1.0 - d / n})
+    t = t.withColumn("_g", F.when(F.col("survival") == 0, F.lit(float("inf"))).otherwise(F.col("_g")))
     s, g = F.col("survival"), F.col("_g")
     inside = (s > 0) & (s < 1) & (g < float("inf"))
     spread = F.when(inside, F.lit(z) * F.sqrt(g) / F.abs(F.ln(F.when(inside, s).otherwise(0.5))))
@@ -92,17 +86,20 @@ def restricted_mean(curve: DataFrame, horizon: float) -> DataFrame:
     """One row, rmst: the area under the curve up to the horizon."""
     if horizon <= 0:
         raise ValueError("the horizon must be positive")
-    w = Window.orderBy("time")
-    h = F.lit(float(horizon))
-    t = curve.select("time", F.lag("survival", 1, 1.0).over(w).alias("s"), F.lag("time", 1, 0.0).over(w).alias("a"), "survival", F.lead("time").over(w).alias("next"))
-    body = F.when(F.col("a") < h, F.col("s") * (F.least(h, F.col("time")) - F.col("a"))).otherwise(0.0)
-    tail = F.when(F.col("next").isNull() & (F.col("time") < h), F.col("survival") * (h - F.col("time"))).otherwise(0.0)
-    return t.agg(F.sum(body + tail).alias("rmst"))
+    # h less each step's drop times what it is away from h; a last step to zero drops what the others left
+    h, n, d = F.lit(float(horizon)), F.col("at_risk"), F.col("events")
+    drop, away = F.when(n > d, F.col("survival") * d / (n - d)).otherwise(0.0), F.greatest(F.lit(0.0), h - F.col("time"))
+    ends = F.max(F.when((n == d) & (d > 0), away))
+    return curve.agg((h - F.coalesce(F.sum(drop * away), F.lit(0.0)) - F.coalesce(ends * (1 - F.sum(drop)), F.lit(0.0))).alias("rmst"))
+
+
+def curve_rows(curve: DataFrame) -> DataFrame:
+    """The steps of a curve for display, rounded, in order of time."""
+    return curve.select(F.round("time", 4).alias("time"), "at_risk", "events", *[F.round(c, 6).alias(c) for c in ("survival", "std_error", "lower", "upper")]).orderBy("time")
 
 
 def nelson_aalen(obs: DataFrame, duration: str = "duration", event: str = "event") -> DataFrame:
-    w = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    return risk_table(obs, duration, event).withColumn("cumulative_hazard", F.sum(F.col("events") / F.col("at_risk")).over(w))
+    return cumulative(risk_table(obs, duration, event), "time", {"cumulative_hazard": F.col("events") / F.col("at_risk")})
 
 
 def hazard_at(curve: DataFrame, time: float) -> float:
@@ -144,13 +141,12 @@ def upper_median(df: DataFrame, value: str) -> DataFrame:
     """The element at position n div 2 (from 0) of the sorted values: not interpolated."""
     n = df.agg(F.count(value).alias("_n"))
     d = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    return d.withColumn("_to", F.sum("k").over(w)).crossJoin(F.broadcast(n)).where(F.expr("_to > _n div 2")).agg(F.min("v").alias("upper_median"))
+    d = cumulative(d, "v", {"_to": F.col("k")})
+    return d.join(F.broadcast(n), F.expr("_to > _n div 2")).agg(F.min("v").alias("upper_median"))
 
 
 def thin(curve: DataFrame, order: str, budget: int = 300) -> DataFrame:
     """Every stride-th row and the last, for display."""
     n = curve.count()
     stride = max(1, n // budget)
-    w = Window.orderBy(order)
-    return curve.withColumn("_i", F.row_number().over(w) - 1).where((F.col("_i") % stride == 0) | (F.col("_i") == n - 1)).drop("_i")
+    return cumulative(curve, order, {"_i": F.lit(1)}).withColumn("_i", F.col("_i") - 1).where((F.col("_i") % stride == 0) | (F.col("_i") == n - 1)).drop("_i")

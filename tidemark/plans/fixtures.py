@@ -52,12 +52,11 @@ def daily(spark, sf_dir) -> DataFrame:
 
 
 def gage(spark, sf_dir) -> DataFrame:
-    """part, operator, value: twenty replicates a cell."""
-    from pyspark.sql import Window
-
-    l = table(spark, sf_dir, "lineitem").where("l_linenumber <= 5")
-    w = Window.partitionBy("l_linenumber", "l_returnflag").orderBy("l_extendedprice", "l_orderkey", "l_partkey", "l_suppkey")
-    return l.withColumn("_r", F.row_number().over(w)).where("_r <= 20").select(F.col("l_linenumber").cast("string").alias("part"), F.col("l_returnflag").alias("operator"), F.col("l_extendedprice").alias("value"))
+    """part, operator, value: a balanced study of all lines. A replicate of a cell (line number, return flag) is the
+    mean price, in thousands, of its lines whose order falls in one of ten groups by key."""
+    l = table(spark, sf_dir, "lineitem")
+    g = l.groupBy(F.col("l_linenumber").cast("string").alias("part"), F.col("l_returnflag").alias("operator"), (F.floor(F.col("l_orderkey") / 32) % 10).alias("replicate"))
+    return g.agg((F.avg("l_extendedprice") / 1000).alias("value")).select("part", "operator", "value")
 
 
 # The same frames in SQL, as common table expressions.
@@ -71,8 +70,7 @@ CASES = f"""cases AS (SELECT o_orderkey::VARCHAR AS case_id, o_orderdate AS arri
  FROM orders LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS first_ship FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= o_orderdate GROUP BY 1) f ON o_orderkey = l_orderkey)"""
 OBS = CASES + ", obs AS (SELECT case_id, duration_hours AS duration, resolved::INT AS event, (priority = '1-URGENT')::INT AS urgent, price FROM cases)"
 DAILY = "d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, sum((event_type = 'error')::INT) AS errors, avg(value) AS mean_value FROM events GROUP BY 1)"
-GAGE = """g AS (SELECT l_linenumber::VARCHAR AS part, l_returnflag AS operator, l_extendedprice AS value FROM lineitem WHERE l_linenumber <= 5
- QUALIFY row_number() OVER (PARTITION BY l_linenumber, l_returnflag ORDER BY l_extendedprice, l_orderkey, l_partkey, l_suppkey) <= 20)"""
+GAGE = "g AS (SELECT l_linenumber::VARCHAR AS part, l_returnflag AS operator, avg(l_extendedprice) / 1000.0::DOUBLE AS value FROM lineitem GROUP BY l_linenumber, l_returnflag, (l_orderkey // 32) % 10)"
 
 
 def sql_elapsed(c: str) -> str:

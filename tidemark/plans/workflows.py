@@ -75,7 +75,11 @@ def turnaround(cases: DataFrame, numeric=(), binary=None, group: str = "", horiz
 
 
 def lint_model(model: dict, select=None, ignore=()) -> list[dict]:
-    return _rows(lint.lint(model, select, ignore))
+    toks = lint.tokens(model).persist()
+    try:
+        return _rows(lint.lint(model, select, ignore, toks))
+    finally:
+        toks.unpersist()
 
 
 def _r(x, n=6):
@@ -93,9 +97,10 @@ def payload(events: DataFrame, cases: DataFrame, model: dict | None, numeric=("c
     m, s, t = mine(events, top=8), control(cases), turnaround(cases, numeric, binary)
     g, c, fit = m["graph"], s["capability"], t["model"]
     km = survival.thin(t["curve"], "time")
+    span = t["design"].frame.agg(*[f for n in fit.names for f in (F.min(f"x_{n}"), F.max(f"x_{n}"), F.avg(f"x_{n}"), F.max(~F.col(f"x_{n}").isin(0.0, 1.0)))]).first()
     meta = []
-    for n in fit.names:
-        low, high, mid, kinds = t["design"].frame.agg(F.min(f"x_{n}"), F.max(f"x_{n}"), F.avg(f"x_{n}"), F.max(~F.col(f"x_{n}").isin(0.0, 1.0))).first()
+    for i, n in enumerate(fit.names):
+        low, high, mid, kinds = span[4 * i : 4 * i + 4]
         meta.append({"name": n, "binary": not kinds, "min": math.floor(low * 100) / 100, "max": math.ceil(high * 100) / 100, "mean": _r(mid, 2)})
     done = cases.where("resolved").agg(F.count("*"), F.avg(F.when(eventlog.breached(), 1.0).otherwise(0.0))).first()
     found = lint_model(model) if model else []
@@ -107,7 +112,7 @@ def payload(events: DataFrame, cases: DataFrame, model: dict | None, numeric=("c
             "topVariants": [{"count": v["count"], "share": _r(v["count"] / max(1, g.cases), 4), "trace": v["trace"]} for v in m["variants"]],
             "bottlenecks": [{"source": b["source"], "target": b["target"], "totalHours": _r(b["total_hours"], 1), "meanHours": _r(b["mean_hours"], 2), "frequency": b["frequency"]} for b in m["bottlenecks"]],
             "rework": [{"activity": r["activity"], "reworkRate": _r(r["rework_rate"], 4), "firstTimeRight": _r(r["first_time_right"], 4)} for r in m["rework"]],
-            "conformance": {"fitness": _r(m["fitness"]["fitness"], 4), "totalCases": m["fitness"]["cases"], "byRule": m["by_rule"]},
+            "conformance": {"fitness": _r(m["fitness"]["fitness"], 4), "totalCases": m["fitness"]["cases"], "byRule": m["by_rule"], "examples": [{k: x[k] for k in ("rule", "case_id", "detail")} for x in m["examples"]]},
         },
         "spc": {"breachRate": _chart(s["breach_chart"]), "handlingHours": _chart(s["hours_chart"]), "weeklyVolume": s["weekly"], "capability": {"target": _r(s["target"], 1), "ppk": _r(c.ppk, 4), "dpmo": _r(c.dpmo, 1), "sigmaLevel": _r(c.sigma_level, 3), "observedDefective": _r(c.observed_defective, 4)}},
         "sla": {
@@ -117,7 +122,7 @@ def payload(events: DataFrame, cases: DataFrame, model: dict | None, numeric=("c
                     "groundTruth": dict(ground_truth or {}), "concordance": _r(t["c_index"], 4), "comparablePairs": t["pairs"], "covariates": meta, "baseline": [{"time": _r(r["time"], 3), "cumulativeHazard": _r(r["cumulative_hazard"], 12)} for r in _rows(fit.base.orderBy("time"))]},
             "slaTargets": sorted(_r(r[0], 1) for r in cases.select("sla_hours").distinct().collect()),
         },
-        "lint": {"rules": lint.SEVERITY, "findings": found},
+        "lint": {"rules": [{"code": k, "severity": v, "remedy": lint.REMEDY[k]} for k, v in lint.SEVERITY.items()], "findings": found},
     }
 
 
@@ -151,13 +156,17 @@ def report(data: dict) -> str:
     known = [n for n in fit["names"] if n in fit["groundTruth"]]
     inside = sum(math.log(lo) <= fit["groundTruth"][n] <= math.log(hi) for n, (lo, hi) in zip(fit["names"], fit["confidenceIntervals"]) if n in fit["groundTruth"])
     note = f"<p>{inside} of {len(known)} known coefficients lie in their intervals.</p>" if known else ""
+    forest = render.forest_svg([(n, math.exp(b), lo, hi) for n, b, (lo, hi) in zip(fit["names"], fit["coefficients"], fit["confidenceIntervals"])], "Hazard ratios (above 1: closed sooner)")
+    targets = [r for r in t["slaTargets"] if r is not None]
+    findings = data["lint"]["findings"]
+    counts = {k: sum(f["severity"] == k for f in findings) for k in ("error", "warning", "info")}
     parts = [
         "<!doctype html><html lang='en'><head><meta charset='utf-8'><title>Operations report</title><style>body{font:15px/1.5 sans-serif;max-width:1000px;margin:2em auto;padding:0 1em}table{border-collapse:collapse}td,th{border:1px solid #cbd5e1;padding:.2em .6em;text-align:left}svg{max-width:100%}</style></head><body>",
         f"<h1>Operations report</h1>{grid([data['summary']], list(data['summary']))}",
-        f"<h2>Process</h2>{m['maps'][str(m['thresholds'][len(m['thresholds']) // 2])]}<h3>Bottlenecks</h3>{grid(m['bottlenecks'], ['source', 'target', 'totalHours', 'meanHours', 'frequency'])}<h3>Variants</h3>{grid(m['topVariants'], ['count', 'share', 'trace'])}<h3>Rework</h3>{grid(m['rework'], ['activity', 'reworkRate', 'firstTimeRight'])}<h3>Controls</h3><p>Fitness {e(m['conformance']['fitness'])}</p>{grid(m['conformance']['byRule'], ['rule', 'violations', 'cases'])}",
+        f"<h2>Process</h2>{m['maps'][str(m['thresholds'][len(m['thresholds']) // 2])]}<h3>Bottlenecks</h3>{grid(m['bottlenecks'], ['source', 'target', 'totalHours', 'meanHours', 'frequency'])}<h3>Variants</h3>{grid(m['topVariants'], ['count', 'share', 'trace'])}<h3>Rework</h3>{grid(m['rework'], ['activity', 'reworkRate', 'firstTimeRight'])}<h3>Controls</h3><p>Fitness {e(m['conformance']['fitness'])}</p>{grid(m['conformance']['byRule'], ['rule', 'violations', 'cases'])}<h3>Examples</h3>{grid(m['conformance']['examples'], ['rule', 'case_id', 'detail'])}",
         f"<h2>Control charts</h2>{chart(s['breachRate'], 'Weekly share of breaches')}{chart(s['handlingHours'], 'Weekly mean hours')}{grid([s['capability']], list(s['capability']))}",
-        f"<h2>Turnaround</h2>{curve}<p>Median: {e(t['medianKaplanMeier'])} h with open cases, {e(t['medianClosedOnly'])} h of closed ones alone.</p>{grid(coef, ['covariate', 'coefficient', 'error', 'low', 'high', 'p'])}<p>Concordance {e(fit['concordance'])} over {e(fit['comparablePairs'])} pairs.</p>{note}",
-        f"<h2>Model findings</h2>{grid(data['lint']['findings'], ['code', 'severity', 'object', 'message'])}</body></html>",
+        f"<h2>Turnaround</h2>{curve}<p>Median: {e(t['medianKaplanMeier'])} h with open cases, {e(t['medianClosedOnly'])} h of closed ones alone.</p>{grid(coef, ['covariate', 'coefficient', 'error', 'low', 'high', 'p'])}{forest}<p>Targets in hours: {e(', '.join(f'{x:g}' for x in targets))}. {e(t['open'])} of {e(t['cases'])} cases are open.</p><p>Concordance {e(fit['concordance'])} over {e(fit['comparablePairs'])} pairs.</p>{note}",
+        f"<h2>Model findings</h2><p>{e(', '.join(f'{n} {k}' for k, n in counts.items()))}</p>{grid(findings, ['code', 'severity', 'object', 'line', 'message', 'remedy'])}</body></html>",
     ]
     return "\n".join(parts)
 

@@ -33,20 +33,37 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour")
     return g.agg(F.count("*").alias("n")).select("case_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def transitions(events: DataFrame) -> DataFrame:
-    """source, target, hours as they happen: the state of a case is its last event. Sum them for the graph."""
+def transitions(events: DataFrame, delay: str = "1 hour", forget_hours: float = 24.0 * 90) -> DataFrame:
+    """source, target, hours as they become certain. Sum them for the graph.
+
+    A case's state is its last event before the watermark and the events after it, which wait there, so late
+    ones find their place; a case without events for forget_hours of event time is forgotten."""
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        pdf = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        rows = []
-        for activity, ts in zip(pdf["activity"], pdf["ts"]):
-            now = (activity, int(ts.value // 1000))
+        last, last_at, waiting = None, None, []
+        if state.exists:
+            last, last_at, ats, seqs, names = state.get
+            waiting = list(zip(ats, seqs, names))
+        for pdf in batches:
+            waiting += zip((t.value // 1000 for t in pdf["ts"]), pdf["seq"].tolist(), pdf["activity"].tolist())
+        mark = state.getCurrentWatermarkMs() * 1000
+        waiting.sort()
+        rows, n = [], 0
+        for at, _, activity in waiting:
+            if at > mark:
+                break
             if last is not None:
-                rows.append((last[0], activity, (now[1] - last[1]) / 3.6e9))
-            last = now
-        state.update(last)
+                rows.append((last, activity, (at - last_at) / 3.6e9))
+            last, last_at, n = activity, int(at), n + 1
+        waiting = waiting[n:]
+        forget = (last_at or 0) // 1000 + int(forget_hours * 3.6e6)
+        if state.hasTimedOut and not waiting and mark // 1000 >= forget:
+            state.remove()
+        else:
+            state.update((last, last_at, *([int(x[0]) for x in waiting], [int(x[1]) for x in waiting], [x[2] for x in waiting])))
+            state.setTimeoutTimestamp(max(mark // 1000 + 1, int(waiting[0][0] // 1000) + 1 if waiting else forget))
         yield pd.DataFrame(rows, columns=["source", "target", "hours"])
 
-    e = events.select("case_id", "activity", F.col("ts").cast("timestamp").alias("ts"), "seq")
-    return e.groupBy("case_id").applyInPandasWithState(step, "source string, target string, hours double", "activity string, at long", "append", GroupStateTimeout.NoTimeout)
+    e = timed(events, delay).select("case_id", "activity", "ts", "seq")
+    shape = "last string, last_at long, at array<long>, seq array<long>, activity array<string>"
+    return e.groupBy("case_id").applyInPandasWithState(step, "source string, target string, hours double", shape, "append", GroupStateTimeout.EventTimeTimeout)
