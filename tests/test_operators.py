@@ -208,3 +208,83 @@ def test_two_level_sums(spark):
     a = survival.cumulative(df, "t", {"s": F.col("n")}, descending=True).orderBy("t").collect()
     b = survival.cumulative(df, "t", {"s": F.col("n")}, descending=True, buckets=7).orderBy("t").collect()
     assert [r.s for r in a] == [r.s for r in b] == list(range(200, 0, -1))
+
+
+def test_series_in_blocks_equal_one_block(spark, monkeypatch):
+    """Charts, run rules and capability cut into many blocks (with ties at cuts) give what one block gives."""
+    import random
+
+    from tidemark.functions import ordered
+
+    g = random.Random(4)
+    rows, level = [], 0.0
+    for i in range(400):
+        level = 0.8 * level + g.gauss(0, 1)
+        rows.append((i // 5, i, level if i % 60 > 20 else abs(level) + 1.5))
+    df = spark.createDataFrame(rows, "g long, i long, v double")
+
+    def every():
+        x = charts.to_rows(charts.individuals(df, "v", "i")).collect()
+        r = charts.to_rows(charts.moving_range(df, "v", "i")).collect()
+        wide = nelson.expand(charts.xbar_r(df, "v", "g"), "index").orderBy("index").collect()
+        return x, r, wide, capability.core(df, "v", ["i"], -2.0, 2.0).collect(), charts.to_text(charts.individuals(df, "v", "i"), "values")
+
+    whole = every()
+    monkeypatch.setattr(ordered, "ROWS", 9)
+    cut = every()
+    assert any(r.violations for r in whole[0]) and "X" in whole[4]
+    for a, b in zip(whole, cut):
+        assert a == pytest.approx(b, nan_ok=True) if isinstance(a, list) and a and isinstance(a[0], float) else [[round(x, 9) if isinstance(x, float) else x for x in r] for r in a] == [[round(x, 9) if isinstance(x, float) else x for x in r] for r in b]
+
+
+def test_no_window_holds_all_durations(spark):
+    """No plan orders all distinct durations in one task: windows without keys run on sums of ranges alone."""
+    import io
+    from contextlib import redirect_stdout
+
+    obs = spark.createDataFrame([(float(i) * 1.7, i % 3 > 0, i % 2, float(i % 7)) for i in range(200)], "duration double, e boolean, g int, x double").withColumn("event", F.col("e").cast("int"))
+    frames = [survival.kaplan_meier(obs), survival.restricted_mean(survival.kaplan_meier(obs), 100.0), survival.nelson_aalen(obs), survival.logrank_core(obs, "g"), cox.likelihood(obs, ["x"], [0.1]), cox.baseline(obs, ["x"], [0.1])]
+    for f in frames:
+        text = io.StringIO()
+        with redirect_stdout(text):
+            f.explain()
+        for line in text.getvalue().splitlines():
+            if "Window [" in line:
+                keys = line[line.index("windowspecdefinition(") :]
+                assert keys.split("windowspecdefinition(")[1].startswith("_b#"), line
+
+
+def test_published_figures():
+    """Figures of a published sample: sigma level of its DPMO, and the third week of its breach chart."""
+    assert capability.sigma_level(332352.9) == pytest.approx(1.933, abs=5e-4)
+    p, n, bad = 0.36858, 35, 1
+    assert (bad / n - p) / (p * (1 - p) / n) ** 0.5 == pytest.approx(-4.1696, abs=1e-3)
+
+
+def test_concordance_levels_equal_all_pairs(spark):
+    import random
+
+    from tidemark.operators import concordance
+
+    g = random.Random(2)
+    for n, times in ((1, 3), (60, 5), (200, 1000), (150, 1)):
+        obs = spark.createDataFrame([(float(g.randrange(times)), g.randrange(2), round(g.gauss(0, 1), 1)) for _ in range(n)], "duration double, event int, risk double")
+        assert concordance.by_levels(obs).first() == concordance.by_join(obs).first()
+
+
+def test_column_forms_of_the_normal_law(spark):
+    from tidemark.functions import stats
+
+    df = spark.createDataFrame([(-1.96,), (0.0,), (None,)], "x double")
+    got = [r[0] for r in df.select(stats.normal_cdf_column("x")).collect()]
+    assert got[:2] == [stats.normal_cdf(-1.96), 0.5] and got[2] is None
+
+
+def test_scored_curve_quantile_and_text(spark):
+    obs = spark.createDataFrame([(float(i % 37 + 1), int(i % 4 > 0), float(i % 5)) for i in range(300)], "duration double, event int, x_a double")
+    model = cox.fit_cox(obs, ["a"])
+    q = cox.curve_quantile(model, {"a": 2.0}, 0.5)
+    curve = {r.time: r.survival for r in cox.survival_curve(model, {"a": 2.0}).collect()}
+    assert q == min(t for t, s in curve.items() if s <= 0.5)
+    assert "a " in model.to_text() and "300 cases" in model.to_text()
+    assert survival.curve_rows(survival.kaplan_meier(obs)).columns == ["time", "at_risk", "events", "survival", "std_error", "lower", "upper"]

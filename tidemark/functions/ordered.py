@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS = 100_000
+#: Blocks at most: a block of a longer series just holds more rows.
+MOST = 512
 
 
 def _key(df: DataFrame, order: str) -> Column | None:
@@ -37,9 +39,17 @@ def in_blocks(df: DataFrame, order: str, rows: int | None = None) -> DataFrame:
     if n <= rows:
         return df.withColumn("_blk", F.lit(0))
     d = df.withColumn("_key", key)
-    blocks = -(-n // rows)
+    blocks = min(MOST, -(-n // rows))
     cuts = sorted(set(d.stat.approxQuantile("_key", [i / blocks for i in range(1, blocks)], 0.2 / blocks)))
-    return d.withColumn("_blk", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("_key")))).drop("_key")
+
+    def below(part: list[float], base: int) -> Column:
+        """base and how many of the cuts lie below the key, by halving."""
+        if not part:
+            return F.lit(base)
+        m = len(part) // 2
+        return F.when(F.col("_key") <= part[m], below(part[:m], base)).otherwise(below(part[m + 1 :], base + m + 1))
+
+    return d.withColumn("_blk", below(cuts, 0)).drop("_key")
 
 
 def over_blocks(df: DataFrame, order: str, halo: int, add: Callable[[DataFrame, Window], DataFrame], rows: int | None = None) -> DataFrame:
