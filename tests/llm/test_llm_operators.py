@@ -331,6 +331,85 @@ def test_seating_law_does_not_depend_on_ranges():
     assert t == pytest.approx(alone, rel=0.05)
 
 
+def plain_restaurant(counts, totals, words, sweeps, burnt, g):
+    """Predictive probabilities of a two-level Pitman-Yor process by seating customers one by one: the plain Gibbs sampler."""
+    tables = {k: [] for k in counts}  # (class, word): customers at each table
+    top, per_class = {w: [] for w in range(words)}, Counter()
+    mean = Counter()
+
+    def pick(weights):
+        return int(np.searchsorted(np.cumsum(weights), g.random() * sum(weights)))
+
+    def upper(w):
+        n, t = sum(map(sum, top.values())), sum(map(len, top.values()))
+        return (sum(top[w]) - hpylm.D0 * len(top[w]) + (hpylm.S0 + hpylm.D0 * t) / (words + 1)) / (hpylm.S0 + n)
+
+    def add(k):
+        room = tables[k]
+        at = pick([n - hpylm.D1 for n in room] + [(hpylm.S1 + hpylm.D1 * per_class[k[0]]) * upper(k[1])])
+        if at < len(room):
+            room[at] += 1
+            return
+        room.append(1)
+        per_class[k[0]] += 1
+        own, t = top[k[1]], sum(map(len, top.values()))
+        at = pick([n - hpylm.D0 for n in own] + [(hpylm.S0 + hpylm.D0 * t) / (words + 1)])
+        if at < len(own):
+            own[at] += 1
+        else:
+            own.append(1)
+
+    def drop(k):
+        room = tables[k]
+        at = pick(room)
+        room[at] -= 1
+        if not room[at]:
+            room.pop(at)
+            per_class[k[0]] -= 1
+            own = top[k[1]]
+            at = pick(own)
+            own[at] -= 1
+            if not own[at]:
+                own.pop(at)
+
+    for k, n in counts.items():
+        for _ in range(n):
+            add(k)
+    for i in range(sweeps):
+        for k, n in counts.items():
+            for _ in range(n):
+                drop(k)
+                add(k)
+        if i >= burnt:
+            for c in range(len(totals)):
+                for w in range(words):
+                    k = (c, w)
+                    mean[k] += ((counts.get(k, 0) - hpylm.D1 * len(tables.get(k, ()))) + (hpylm.S1 + hpylm.D1 * per_class[c]) * upper(w)) / (hpylm.S1 + totals[c]) / (sweeps - burnt)
+    return mean
+
+
+def test_probabilities_against_one_by_one_seating():
+    g = np.random.Generator(np.random.PCG64(11))
+    words, classes = 40, 6
+    law = g.dirichlet(np.full(words, 0.3), classes)
+    counts = {(c, w): int(n) for c in range(classes) for w, n in enumerate(g.multinomial(90, law[c])) if n}
+    totals = [90] * classes
+    want = plain_restaurant(counts, totals, words, 120, 30, g)
+    of, cls, c = (np.array(x) for x in zip(*sorted((w, k, n) for (k, w), n in counts.items())))
+    seen = {w: i for i, w in enumerate(np.unique(of).tolist())}
+    of = np.array([seen[w] for w in of.tolist()])
+    sums = np.zeros(hpylm.CLASSES)
+    sums[:classes] = 90
+    runs = [hpylm.seat(c, of, cls, len(seen), sums, 1, np.random.Generator(np.random.PCG64(i))) for i in range(12)]
+    t, c0, t0 = (np.mean(x, axis=0) for x in zip(*runs))
+    parent = (c0 - hpylm.D0 * t0 + (hpylm.S0 + hpylm.D0 * t0.sum()) / (len(seen) + 1)) / (hpylm.S0 + c0.sum())
+    got = (c - hpylm.D1 * t + (hpylm.S1 + hpylm.D1 * np.bincount(cls, t)[cls]) * parent[of]) / (hpylm.S1 + 90)
+    back = {i: w for w, i in seen.items()}
+    expected = np.array([want[int(k), back[int(w)]] for w, k in zip(of, cls)])
+    off = np.log10(got / expected)
+    assert abs(np.average(off, weights=c)) < 0.01 and np.abs(off)[c > 2].max() < 0.06 and np.abs(off).max() < 0.25
+
+
 def test_scores_for_any_number_of_ranges(spark, corpus):
     df, was = frame(spark, corpus), spark.conf.get("spark.sql.shuffle.partitions")
     try:
