@@ -11,13 +11,13 @@ from __future__ import annotations
 
 import ctypes
 import os
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEEP = 1_500_000
+KEEP = 600_000
+AT_ONCE = 1 << 19
 _state: dict = {}
 
 
@@ -45,21 +45,35 @@ class Encoder:
         self.words = pa.array([], pa.string())
         self.flat, self.ends = np.zeros(0, self.dtype), np.zeros(1, np.int64)
 
-    def _batch(self, texts: list[str]) -> list:
+    def _batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has; the library holds about `AT_ONCE` characters
+        at a time, as it takes some hundred bytes a token."""
         run = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        return [e.ids for e in run(texts, add_special_tokens=False)]
+        flat, counts, i = [np.zeros(0, self.dtype)], np.zeros(len(texts), np.int64), 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and (j == i or size + len(texts[j]) <= AT_ONCE):
+                size += len(texts[j])
+                j += 1
+            for k, e in enumerate(run(texts[i:j], add_special_tokens=False), i):
+                ids = np.array(e.ids, self.dtype)
+                counts[k] = len(ids)
+                flat.append(ids)
+            if len(flat) > 256:
+                flat = [np.concatenate(flat)]
+            i = j
+        return np.concatenate(flat), counts
 
     def _pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of ' ' + word for each word one after another, and how many each has: long strings of many words."""
         flat, counts = [], []
-        chunks = [words[i : i + 1000] for i in range(0, len(words), 1000)]
-        for chunk, ids in zip(chunks, self._batch([" " + " ".join(c) for c in chunks])):
-            ids = np.array(ids, self.dtype)
+        for i in range(0, len(words), 1000):
+            chunk = words[i : i + 1000]
+            ids, _ = self._batch([" " + " ".join(chunk)])
             at = np.flatnonzero(self.lead[ids])
             if len(at) != len(chunk):  # a tokenizer of another kind: word by word
-                apart = self._batch([" " + w for w in chunk])
-                ids = np.fromiter(chain.from_iterable(apart), self.dtype)
-                at = np.cumsum([0] + [len(i) for i in apart])[:-1]
+                ids, each = self._batch([" " + w for w in chunk])
+                at = np.cumsum(each) - each
             flat.append(ids)
             counts.append(np.diff(at, append=len(ids)))
         return np.concatenate(flat), np.concatenate(counts)
@@ -94,9 +108,8 @@ class Encoder:
         coded = split.flatten().dictionary_encode()
         pieces = self._rows(coded.dictionary)[np.asarray(coded.indices, np.int64)]
         # no space before a text's first word; those are encoded apart, and follow the kept ids for this call
-        head = self._batch([t if o else t.split(" ", 1)[0] for t, o in zip(texts.to_pylist(), odd.tolist())])
-        head_n = np.fromiter(map(len, head), np.int64, n)
-        flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(head), self.dtype, int(head_n.sum())), np.array([end], self.dtype)])
+        head, head_n = self._batch([t if o else t.split(" ", 1)[0] for t, o in zip(texts.to_pylist(), odd.tolist())])
+        flat = np.concatenate([self.flat, head, np.array([end], self.dtype)])
         begin, size = self.ends[pieces], self.ends[pieces + 1] - self.ends[pieces]
         begin[starts[:-1]], size[starts[:-1]] = len(self.flat) + np.cumsum(head_n) - head_n, head_n
         begin, size = np.insert(begin, starts[1:], len(flat) - 1), np.insert(size, starts[1:], 1)
@@ -122,6 +135,21 @@ def release() -> None:
         pass  # another C library
 
 
+def gathered(batches, column: int, most: int = 4 << 20):
+    """Batches joined, or cut, to about `most` bytes of text each."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(column).nbytes
+        if size >= most:
+            for t in pa.Table.from_batches(held).combine_chunks().to_batches():
+                yield from slices(t, column, most)
+            held, size = [], 0
+    if held:
+        for t in pa.Table.from_batches(held).combine_chunks().to_batches():
+            yield from slices(t, column, most)
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20):
     """Zero-copy slices of a batch with about `most` bytes of text each (one row at least)."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))

@@ -138,8 +138,16 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of an Arrow batch: rows here are whole texts or blocks of numbers, of which 10,000 fill a worker's memory.
+BATCH_ROWS = 512
+
+
 def reachable(spark: SparkSession) -> None:
-    """Let Python workers on this machine import this package when only the driver's sys.path has it."""
+    """Let Python workers on this machine import this package when only the driver's sys.path has it, and have
+    Spark send texts in small batches unless the session asks for a size of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
     from pathlib import Path
 
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment

@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import release
 from .common import SPACE, discard, keep_rows, materialize, row_keys
 
 LEAST, MOST, MASK = 512, 8192, np.uint64((2048 - 1) << 40)
@@ -80,6 +81,7 @@ def _recipes(bits: int):
                     [ids[i : i + 512], pa.array([r[0] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[1]).digest() for r in rows], pa.binary()), pa.array([b"".join(_hash(c, bits) for c in r[2]) for r in rows], pa.binary()), b.column(2)[i : i + 512], b.column(3)[i : i + 512]],
                     ["doc_id", "points", "sha", "recipe", "k1", "k2"],
                 )
+            release()
 
     return run
 
@@ -91,6 +93,7 @@ def _bodies(bits: int):
                 rows = {c for t in b.column(1)[i : i + 512].to_pylist() for c in _chunks(t)[1]}
                 rows = [(_hash(c, bits), c) for c in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["h", "body"])
+            release()
 
     return run
 

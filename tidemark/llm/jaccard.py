@@ -187,7 +187,7 @@ def _open(packed: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return high << 16 | np.frombuffer(b, np.uint16, n, 4 * n), np.frombuffer(b, np.uint16, n, 6 * n)
 
 
-def _index(k: int, num: int, den: int, parts: int, most: int = 1_000_000):
+def _index(k: int, num: int, den: int, parts: int, most: int = 700_000):
     """Rows of documents (part null; the sketch with the first of a block's equal sets), and blocks of entries
     by hash range: part >= 0 for one node of each entry of the block, part -1 for all nodes of entries that
     several nodes of the block share."""
@@ -233,6 +233,8 @@ def _index(k: int, num: int, den: int, parts: int, most: int = 1_000_000):
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(b), pa.int32()), b.column(0), b.column(2), b.column(3), pa.array(size, pa.int64()), pa.array(ids, pa.int64()), pa.array(sketch, pa.binary()), pa.nulls(len(b), pa.int32()), none, none, none], schema=_INDEX)
         if sigs:
             yield blocks(sigs, nodes, sizes)
+        del seen, sigs, nodes, sizes
+        release()
 
     return run
 
@@ -252,7 +254,10 @@ def _shared(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     s, n, z = s[keep], n[keep], z[keep]
     same = s[1:] == s[:-1]
     many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    yield pa.RecordBatch.from_arrays([pa.array(s[many]), pa.array(n[many]), pa.array(z[many])], ["sig", "node", "size"])
+    out = pa.RecordBatch.from_arrays([pa.array(s[many]), pa.array(n[many]), pa.array(z[many])], ["sig", "node", "size"])
+    del s, n, z, order, keep, same, many
+    release()
+    yield out
 
 
 def _unpack(batches):

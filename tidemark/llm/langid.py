@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import slices
+from .bpe import release, slices
 from .common import in_fold
 
 BUCKETS, DIMS = 8192, 16
@@ -169,7 +169,11 @@ def keep_identified(docs: DataFrame, sample: int = 1500) -> DataFrame:
 
     @F.arrow_udf("boolean")
     def kept(texts: pa.Array) -> pa.Array:
-        return pa.array([not x for x in _labels(model.value, texts)[2]], pa.bool_())
+        out = []
+        for i in range(0, len(texts), 1000):
+            out += [not x for x in _labels(model.value, texts[i : i + 1000])[2]]
+        release()
+        return pa.array(out, pa.bool_())
 
     return docs.where(kept("text"))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder, slices, tokenizer_path
+from .bpe import encoder, gathered, tokenizer_path
 from .common import materialize, number_rows
 
 
@@ -71,18 +71,17 @@ def plan_windows(counts: dict[int, int], window: int) -> list[tuple[dict[int, in
 def _pieces(path: str, end: int, window: int):
     def run(batches):
         enc = encoder(path)
-        for batch in batches:
-            for b in slices(batch, 1):
-                ids, offsets = enc.encode(b.column(1), end)
-                tokens = np.diff(offsets)
-                n = -(-tokens // window)
-                doc = np.repeat(np.arange(len(b)), n)
-                start = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * window
-                length = np.minimum(window, tokens[doc] - start)
-                at = offsets[doc] + start
-                wide = ids.astype("<u4")
-                crc = [zlib.crc32(wide[x : x + k]) for x, k in zip(at.tolist(), length.tolist())]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(tokens[doc])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        for b in gathered(batches, 1):
+            ids, offsets = enc.encode(b.column(1), end)
+            tokens = np.diff(offsets)
+            n = -(-tokens // window)
+            doc = np.repeat(np.arange(len(b)), n)
+            start = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * window
+            length = np.minimum(window, tokens[doc] - start)
+            at = offsets[doc] + start
+            wide = ids.astype("<u4")
+            crc = [zlib.crc32(wide[x : x + k]) for x, k in zip(at.tolist(), length.tolist())]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(tokens[doc])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder, slices, tokenizer_path
+from .bpe import encoder, gathered, tokenizer_path
 from .common import materialize, new_path
 
 _POLY = 0x82F63B78
@@ -137,15 +137,14 @@ def _writer(folder: str, path: str, end: int):
         own = f"{name}.{task.taskAttemptId()}"
         index, at, ids_n = [np.zeros(1, np.int64)], 0, 0
         with store.open_output_stream(f"{own}.rec") as out:
-            for batch in batches:
-                for b in slices(batch, 1):
-                    ids, offsets = enc.encode(b.column(1), end)
-                    raw, marks = ids.astype(ids.dtype.newbyteorder("<")).tobytes(), (offsets * ids.itemsize).tolist()
-                    payloads = [(k or 0).to_bytes(8, "little", signed=True) + bytes((k is None, ids.itemsize)) + raw[x:y] for k, x, y in zip(b.column(0).to_pylist(), marks[:-1], marks[1:])]
-                    records = frame(payloads)
-                    out.write(b"".join(records))
-                    index.append(at + np.cumsum([len(r) for r in records]))
-                    at, ids_n = int(index[-1][-1]), ids_n + len(ids)
+            for b in gathered(batches, 1):
+                ids, offsets = enc.encode(b.column(1), end)
+                raw, marks = ids.astype(ids.dtype.newbyteorder("<")).tobytes(), (offsets * ids.itemsize).tolist()
+                payloads = [(k or 0).to_bytes(8, "little", signed=True) + bytes((k is None, ids.itemsize)) + raw[x:y] for k, x, y in zip(b.column(0).to_pylist(), marks[:-1], marks[1:])]
+                records = frame(payloads)
+                out.write(b"".join(records))
+                index.append(at + np.cumsum([len(r) for r in records]))
+                at, ids_n = int(index[-1][-1]), ids_n + len(ids)
         index = np.concatenate(index)
         with store.open_output_stream(f"{own}.idx") as out:
             out.write(index.astype("<u8"))
