@@ -86,6 +86,15 @@ def test_every_rule_fires_on_the_sample(spark):
     assert all(f.severity == lint.SEVERITY[f.code] for f in found)
 
 
+def test_sample_files(spark, tmp_path):
+    from tidemark.sources import samples
+
+    got = samples.paths(spark, str(tmp_path), cases=30)
+    assert samples.paths(spark, str(tmp_path)) == got
+    assert eventcsv.read_events(spark, got["events"]).select("case_id").distinct().count() == eventcsv.read_cases(spark, got["cases"]).count() > 20
+    assert tabular.load_model(spark, got["model"])["measures"].count() == 11
+
+
 def test_tokens():
     t = lint.tokenize("VAR x = 1.5e3 /* a\nb */ RETURN 'It''s'[Col] <> \"q\"\"\" -- end")
     assert [(k, v) for k, _, v, _, _ in t] == [("identifier", "VAR"), ("identifier", "x"), ("operator", "="), ("number", "1.5e3"), ("identifier", "RETURN"), ("quoted", "It's"), ("bracket", "Col"), ("operator", "<>"), ("string", 'q"')]
