@@ -21,8 +21,6 @@ size; an empty table gives no rows; other columns are not read, whatever their n
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,11 +47,11 @@ def _size():
     return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: int = 3, seed: int = 7, bucket_rows: int = 1024) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every row."""
+def _plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: int = 3, seed: int = 7, bucket_rows: int = 1024):
+    """(the narrow rows of docs, sources with their targets, and what adds `copies` to rows of doc_id, source, size)."""
     base = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size().alias("size")), "mix-sizes")
     kind = F.when(F.col("size") < 1, 0).otherwise(F.least(F.lit(8), F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)))) + 1)).cast("int")
-    base = base.withColumn("kind", kind)
+    narrow, base = base, base.withColumn("kind", kind)
     kinds = base.groupBy("source", "kind").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     sources = _targets(kinds.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n")), weights, share, most)
     # expected copies by class: c * m stopped at most; classes stop from the largest m down
@@ -75,7 +73,8 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: in
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     d = base.join(k, F.col("source").eqNullSafe(F.col("_s")) & (F.col("kind") == F.col("_kind")), "left")
     q = (u / (1 - u)) / (F.col("odds") / F.col("odds_max"))
-    d = d.withColumn("q", F.when(F.col("odds") > 0, F.floor(q / (1 + q) * float(1 << 60)).cast("long")))
+    rank, k_rows = F.floor(q / (1 + q) * float(1 << 60)).cast("long"), k.count()
+    d = d.withColumn("q", F.when(F.col("odds") > 0, rank))
     d = materialize(d.select("doc_id", "source", "size", "_s", "whole", "rest", "q"), "mix-ranks")
     open_ = d.where("q IS NOT NULL")
     at = F.expr("shiftright(q, below)")
@@ -102,25 +101,35 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: in
         return F.struct(F.when(fits, acc["room"] - x["words"]).otherwise(acc["room"]).alias("room"), F.when(fits, F.concat(acc["got"], F.array(F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"))))).otherwise(acc["got"]).alias("got"))
 
     taken = walk.select(F.col("_s").alias("_ts"), F.explode(F.aggregate("x", start, step)["got"]).alias("g")).select("_ts", F.col("g.doc_id").alias("_td"), F.col("g.size").alias("_tz"), F.lit(True).alias("hit"))
-    d = d.join(ends, F.col("_s").eqNullSafe(F.col("_cs")), "left")
-    d = d.join(taken, F.col("_s").eqNullSafe(F.col("_ts")) & F.col("doc_id").eqNullSafe(F.col("_td")) & (F.col("size") == F.col("_tz")) & (at == F.col("cut")), "left")
-    extra = F.when(F.col("q").isNull(), F.lit(0)).when(F.col("cut").isNull() | (at < F.col("cut")) | F.col("hit"), F.lit(1)).otherwise(F.lit(0))
-    copies = F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(F.lit(0)).cast("int")
+    taken = materialize(taken, "mix-taken")  # a cut bucket a source at most
+    few = F.broadcast if taken.count() <= 200_000 and k_rows <= 200_000 else (lambda t: t)  # some 10 MB
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """rows (doc_id, source, size and others) with copies: whatever else they hold doesn't move while tables are few."""
+        x = rows.withColumn("kind", kind).join(few(k), F.col("source").eqNullSafe(F.col("_s")) & (F.col("kind") == F.col("_kind")), "left")
+        x = x.withColumn("q", F.when(F.col("odds") > 0, rank)).join(few(ends), F.col("_s").eqNullSafe(F.col("_cs")), "left")
+        x = x.join(few(taken), F.col("_s").eqNullSafe(F.col("_ts")) & F.col("doc_id").eqNullSafe(F.col("_td")) & (F.col("size") == F.col("_tz")) & (at == F.col("cut")), "left")
+        extra = F.when(F.col("q").isNull(), F.lit(0)).when(F.col("cut").isNull() | (at < F.col("cut")) | F.col("hit"), F.lit(1)).otherwise(F.lit(0))
+        return x.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(F.lit(0)).cast("int"))
+
+    return narrow, sources, placed
+
+
+def mix_documents(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken for every row."""
+    narrow, sources, placed = _plan(docs, **how)
     s = sources.select(F.col("source").alias("_ss"), F.col("source_size").alias("_sz"), F.col("target").alias("_tg"))
-    d = d.join(s, F.col("source").eqNullSafe(F.col("_ss")))
-    return d.select("doc_id", "source", "size", F.col("_sz").cast("long").alias("source_size"), F.col("_tg").alias("target"), copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    d = placed(narrow).join(s, F.col("source").eqNullSafe(F.col("_ss")))
+    return d.select("doc_id", "source", "size", F.col("_sz").cast("long").alias("source_size"), F.col("_tg").alias("target"), "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def repeat_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with all their columns. Rows alike in doc_id, source
     and size (null ids too) have one number of copies; others that share an id have their own."""
-    copies = mix_documents(docs, **how).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
-    copies = materialize(copies, "mix-copies")
-    own = {c: f"_{uuid.uuid4().hex}" for c in ("doc_id", "source", "size", "copies", "k")}
-    copies = copies.withColumnsRenamed(own)
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col(own["doc_id"])) & docs["source"].cast("string").eqNullSafe(F.col(own["source"])) & (_size() == F.col(own["size"]))
-    got = docs.join(copies, same)
-    return got.withColumn(own["k"], F.explode(F.sequence(F.lit(1), F.col(own["copies"])))).select(*docs.columns)
+    _, _, placed = _plan(docs, **how)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), _size().alias("size"))
+    got = placed(rows).where("copies > 0")
+    return got.select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
