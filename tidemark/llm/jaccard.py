@@ -25,10 +25,10 @@ and rule out nearly all pairs somewhat below the limit; verification is exact on
 
 Scale: an entry is 8 bytes in a block sorted by numpy; within a map task, copies and repeats of an
 entry are collapsed before the shuffle, so no task receives more than one row a map task for a hot
-entry. Hash ranges grow in number with the texts. Shared entries go on as a table. Only texts of nodes
-with a pair that passes the bitmaps move: packed, once to their node, and once to each leader they are
-verified against; a hot leader's members are split. Tables go as soon as nothing reads them. Shingles and
-nodes are 64-bit hashes.
+entry. Hash ranges grow in number with the texts. The index is shuffled once and never stored; shared
+entries go on as a table. Only texts of nodes with a pair that passes the bitmaps move: packed, once to
+their node, and once to each leader they are verified against; a hot leader's members are split. Tables
+go as soon as nothing reads them. Shingles and nodes are 64-bit hashes.
 
 Edge cases: null or wordless text: size 0, its own component; null doc_id: its text links like any other,
 component_id is null where no id is reachable; repeated ids and rows: equal sets are linked, different
@@ -170,8 +170,10 @@ def _band_at(num: int, den: int, n: int) -> int:
     return lo
 
 
-_INDEX = pa.schema([("part", pa.int32()), *[(c, pa.int64()) for c in ("doc_id", "k1", "k2", "size", "node")], ("sketch", pa.binary()), ("n", pa.int32()), ("packed", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
-_INDEX_SQL = "part int, doc_id long, k1 long, k2 long, size long, node long, sketch binary, n int, packed binary, nodes binary, sizes binary"
+_INDEX = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("packed", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
+_INDEX_SQL = "part int, n int, packed binary, nodes binary, sizes binary"
+_ROWS = pa.schema([*[(c, pa.int64()) for c in ("doc_id", "k1", "k2", "size", "node")], ("sketch", pa.binary())])
+_ROWS_SQL = "doc_id long, k1 long, k2 long, size long, node long, sketch binary"
 
 
 def _pack(sigs: np.ndarray, local: np.ndarray) -> bytes:
@@ -187,10 +189,31 @@ def _open(packed: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return high << 16 | np.frombuffer(b, np.uint16, n, 4 * n), np.frombuffer(b, np.uint16, n, 6 * n)
 
 
+def _rows(k: int):
+    """Rows of documents; the sketch with the first of a run's equal sets."""
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            for b in slices(batch, 1, 1 << 20):
+                size, ids, sketch = [], [], []
+                for x in shingle_sets(b.column(1), k):
+                    node = node_of(x)
+                    new = len(x) > 0 and node not in seen
+                    size.append(len(x)), ids.append(node if len(x) else None), sketch.append(parity(x).tobytes() if new else None)
+                    if new:
+                        seen.add(node)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(size, pa.int64()), pa.array(ids, pa.int64()), pa.array(sketch, pa.binary())], schema=_ROWS)
+                if len(seen) >= 65_000:
+                    seen = set()
+        release()
+
+    return run
+
+
 def _index(k: int, num: int, den: int, parts: int, most: int = 700_000):
-    """Rows of documents (part null; the sketch with the first of a block's equal sets), and blocks of entries
-    by hash range: part >= 0 for one node of each entry of the block, part -1 for all nodes of entries that
-    several nodes of the block share."""
+    """Blocks of entries by hash range: part >= 0 for one node of each entry of the block, part < 0 (dealt by
+    block) for all nodes of entries that several nodes of the block share."""
 
     def blocks(sigs, nodes, sizes):
         s, local = np.concatenate(sigs), np.repeat(np.arange(len(nodes)), [len(x) for x in sigs])
@@ -198,7 +221,7 @@ def _index(k: int, num: int, den: int, parts: int, most: int = 700_000):
         s, local = s[order], local[order]
         new = np.concatenate([[True], s[1:] != s[:-1]])
         many = ~(new & np.concatenate([new[1:], [True]]))
-        rows = [(-1, s[many], local[many])] if many.any() else []
+        rows = [(-1 - nodes[0] % parts, s[many], local[many])] if many.any() else []
         s, local = s[new], local[new]  # the first of a shared entry also stands for it outside the block
         cut = np.searchsorted(s, np.array([(i << 64) // parts for i in range(parts)], np.uint64)).tolist() + [len(s)]
         rows += [(p, s[a:b], local[a:b]) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
@@ -207,30 +230,22 @@ def _index(k: int, num: int, den: int, parts: int, most: int = 700_000):
         for _, x, at in rows:
             own, at = np.unique(at, return_inverse=True)
             packed.append(_pack(x, at)), of.append(ids[own].tobytes()), size.append(lens[own].tobytes())
-        none = pa.nulls(len(rows), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[none] * 5, pa.nulls(len(rows), pa.binary()), pa.array([len(r[1]) for r in rows], pa.int32()), *[pa.array(x, pa.binary()) for x in (packed, of, size)]], schema=_INDEX)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([len(r[1]) for r in rows], pa.int32()), *[pa.array(x, pa.binary()) for x in (packed, of, size)]], schema=_INDEX)
 
     def run(batches):
         seen, sigs, nodes, sizes, held = set(), [], [], [], 0
         for batch in batches:
-            for b in slices(batch, 1, 1 << 20):
-                ids, size, sketch = [], [], []
-                for x in shingle_sets(b.column(1), k):
+            for b in slices(batch, 0, 1 << 20):
+                for x in shingle_sets(b.column(0), k):
                     node = node_of(x)
-                    ids.append(node if len(x) else None)
-                    size.append(len(x))
-                    sketch.append(None)
                     if len(x) and node not in seen:
                         seen.add(node)
-                        sketch[-1] = parity(x).tobytes()
                         e = entries(x, num, den)
                         sigs.append(e), nodes.append(node), sizes.append(len(x))
                         held += len(e)
                         if held >= most or len(nodes) >= 65_000:
                             yield blocks(sigs, nodes, sizes)
                             seen, sigs, nodes, sizes, held = set(), [], [], [], 0
-                none = pa.nulls(len(b), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(b), pa.int32()), b.column(0), b.column(2), b.column(3), pa.array(size, pa.int64()), pa.array(ids, pa.int64()), pa.array(sketch, pa.binary()), pa.nulls(len(b), pa.int32()), none, none, none], schema=_INDEX)
         if sigs:
             yield blocks(sigs, nodes, sizes)
         del seen, sigs, nodes, sizes
@@ -246,7 +261,12 @@ def _entries_of(batch: pa.RecordBatch):
 
 
 def _shared(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of a hash range that several blocks have, with different nodes."""
+    """Entries of a hash range that several blocks have, with different nodes (part < 0: all that blocks list)."""
+    if key[0].as_py() < 0:
+        for b in groups:
+            for s, n, z in _entries_of(b):
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(n), pa.array(z)], ["sig", "node", "size"])
+        return
     s, n, z = (np.concatenate(x) for x in zip(*[e for b in groups for e in _entries_of(b)]))
     order = np.lexsort((n, s))
     s, n, z = s[order], n[order], z[order]
@@ -260,12 +280,6 @@ def _shared(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     yield out
 
 
-def _unpack(batches):
-    for b in batches:
-        for s, n, z in _entries_of(b):
-            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(n), pa.array(z)], ["sig", "node", "size"])
-
-
 def parity(x: np.ndarray) -> np.ndarray:
     """How often the set's elements fall on each of B bits, odd or even (B: the power of two at or above four
     times its size, 1024 at least). Two sets' parities differ in at most as many bits as the sets in elements, so a
@@ -452,13 +466,10 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *row_keys(docs))
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 14, volume // RANGE_BYTES))
-    index = materialize(texts.mapInArrow(_index(k, num, den, parts), _INDEX_SQL), "jaccard-index")
-    packed = index.where("part IS NOT NULL").select("part", "n", "packed", "nodes", "sizes")
-    across = packed.where("part >= 0").groupBy("part").applyInArrow(_shared, "sig long, node long, size long")
-    within = packed.where("part < 0").mapInArrow(_unpack, "sig long, node long, size long")
-    every = materialize(across.union(within).distinct(), "jaccard-shared")
-    rows = materialize(index.where("part IS NULL").select("doc_id", "k1", "k2", "size", "node", "sketch"), "jaccard-documents")
-    discard(index)
+    # the index is shuffled as it is made and never a table; rows of documents come from a pass of their own
+    index = texts.select("text").mapInArrow(_index(k, num, den, parts), _INDEX_SQL)
+    every = materialize(index.groupBy("part").applyInArrow(_shared, "sig long, node long, size long").distinct(), "jaccard-shared")
+    rows = materialize(texts.select("doc_id", "text", "k1", "k2").mapInArrow(_rows(k), _ROWS_SQL), "jaccard-documents")
     # near copies share many entries: of the entries that have the same nodes (by count and two hashes), one is enough
     same = every.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("k"))
     shared = materialize(every.join(same.groupBy("n", "h", "k").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi"), "jaccard-groups")
