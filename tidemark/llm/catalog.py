@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import embeddings, exact_dedup, hpylm, jaccard, langid, mixing, packing, pii, records, sharding
+from . import decontam, embeddings, exact_dedup, hpylm, jaccard, langid, mixing, packing, pii, records, sharding
 from .common import reachable
 
 _QUERIES = {
@@ -18,6 +18,7 @@ _QUERIES = {
     "op8_sharding": sharding.query,
     "op9_token_records": records.query,
     "op10_jaccard_join": jaccard.query,
+    "op13_decontaminate": decontam.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -35,4 +36,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_exact_dedup": exact_dedup.SQL}
+    return {"op3_exact_dedup": exact_dedup.SQL, "op13_decontaminate": decontam.SQL}
