@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontam, embeddings, exact_dedup, hpylm, jaccard, langid, mixing, packing, pii, records, sharding
+from . import alignment, decontam, embeddings, exact_dedup, hpylm, jaccard, langid, mixing, packing, pii, records, sharding
 from .common import reachable
 
 _QUERIES = {
@@ -18,6 +18,7 @@ _QUERIES = {
     "op8_sharding": sharding.query,
     "op9_token_records": records.query,
     "op10_jaccard_join": jaccard.query,
+    "op11_align_tokenizers": alignment.query,
     "op13_decontaminate": decontam.query,
     "pipeline": corpus_pipeline.run,
 }
