@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import alignment, decontam, embeddings, exact_dedup, hpylm, jaccard, langid, mixing, packing, pii, records, sharding
+from . import alignment, decontam, embeddings, exact_dedup, hpylm, jaccard, langid, mixing, packing, phrases, pii, records, sharding
 from .common import reachable
 
 _QUERIES = {
@@ -19,6 +19,7 @@ _QUERIES = {
     "op9_token_records": records.query,
     "op10_jaccard_join": jaccard.query,
     "op11_align_tokenizers": alignment.query,
+    "op12_phrases": phrases.query,
     "op13_decontaminate": decontam.query,
     "pipeline": corpus_pipeline.run,
 }
@@ -37,4 +38,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_exact_dedup": exact_dedup.SQL, "op13_decontaminate": decontam.SQL}
+    return {"op3_exact_dedup": exact_dedup.SQL, "op12_phrases": phrases.SQL, "op13_decontaminate": decontam.SQL}
