@@ -31,6 +31,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from .bpe import Encoder, gathered, release, tokenizer_path
 from .common import discard, materialize
 
-KEEP = 300_000
+KEEP = 600_000
 BLOCK_BYTES = 4 << 20
 _WS = r"[\s\x0B\x{85}\pZ\x{1C}-\x{1F}]"
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -250,8 +251,20 @@ def aligner(paths: tuple[str, str]) -> Aligner:
     return _state[paths]
 
 
+def packed(x: np.ndarray, kind=np.uint32) -> bytes:
+    """The array with its high bytes next to each other, compressed."""
+    x = np.ascontiguousarray(x, kind)
+    return zstandard.ZstdCompressor(1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+
+
+def unpacked(data: bytes, kind=np.uint32) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(flat.reshape(size, -1).T).view(kind).ravel()
+
+
 _PARTS = ("doc", "word", "times", "upto", "pair_of")
-_BLOCK = "block long, pairs binary, docs binary, doc_ids array<long>, shas array<string>, n binary, " + ", ".join(f"p_{x} binary" for x in _PARTS)
+_BLOCK = "block long, pairs binary, docs binary, doc_ids array<long>, shas binary, n binary, " + ", ".join(f"p_{x} binary" for x in _PARTS)
 
 
 def _blocks(paths):
@@ -259,10 +272,11 @@ def _blocks(paths):
         made, seq = aligner(paths), TaskContext.get().partitionId() << 32
         for b in gathered(batches, 1, BLOCK_BYTES):
             got = made.block(b.column(1))
-            shas = [hashlib.sha256(t.as_buffer()).hexdigest() if w else "" for t, w in zip(got["text"], got["whole"].tolist())]
-            one = lambda x, t: pa.array([np.ascontiguousarray(x, t).tobytes()], pa.binary())
-            cols = [pa.array([seq]), one(got["pairs"], np.int64), one(got["docs"], np.uint32), pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([shas], pa.list_(pa.string())), one(got["n"], np.int64)]
-            yield pa.RecordBatch.from_arrays(cols + [one(got[x], np.uint32) for x in _PARTS], ["block", "pairs", "docs", "doc_ids", "shas", "n", *[f"p_{x}" for x in _PARTS]])
+            shas = b"".join(hashlib.sha256(t.as_buffer()).digest() for t in got["text"])
+            got["word"] = np.diff(got["word"], prepend=0)  # mostly small steps
+            one = lambda x: pa.array([x], pa.binary())
+            cols = [pa.array([seq]), one(packed(np.diff(got["pairs"], prepend=0), np.int64)), one(packed(got["docs"])), pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), one(shas), one(packed(got["n"].ravel(), np.int64))]
+            yield pa.RecordBatch.from_arrays(cols + [one(packed(got[x])) for x in _PARTS], ["block", "pairs", "docs", "doc_ids", "shas", "n", *[f"p_{x}" for x in _PARTS]])
             seq += 1
         release()
 
@@ -272,7 +286,7 @@ def _blocks(paths):
 def _pair_rows(batches):
     for b in batches:
         for i in range(len(b)):
-            pairs, docs = np.frombuffer(b.column(1)[i].as_buffer(), np.int64), np.frombuffer(b.column(2)[i].as_buffer(), np.uint32)
+            pairs, docs = np.cumsum(unpacked(b.column(1)[i].as_py(), np.int64)), unpacked(b.column(2)[i].as_py())
             for at in range(0, len(pairs), 1 << 16):
                 p = pairs[at : at + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), b.column(0)[i].as_py())), pa.array(p), pa.array(docs[at : at + (1 << 16)].astype(np.int64))], ["block", "pair", "docs"])
@@ -285,10 +299,13 @@ def _scored(blocks: pa.Table, counts: pa.Table) -> pa.Table:
     """A block's documents, once its pairs' sums are there."""
     order = np.argsort(np.asarray(counts.column("pair")), kind="stable")  # as the block's own pairs
     n, best = np.asarray(counts.column("n"), np.int64)[order], np.asarray(counts.column("best"), np.int64)[order]
-    part = {x: np.frombuffer(blocks.column(f"p_{x}")[0].as_buffer(), np.uint32).astype(np.int64) for x in _PARTS}
-    totals = np.frombuffer(blocks.column("n")[0].as_buffer(), np.int64).reshape(4, -1)
+    part = {x: unpacked(blocks.column(f"p_{x}")[0].as_py()).astype(np.int64) for x in _PARTS}
+    part["word"] = np.cumsum(part["word"].astype(np.uint32).view(np.int32)).astype(np.int64)
+    totals = unpacked(blocks.column("n")[0].as_py(), np.int64).reshape(4, -1)
     own = [_sums(_sums(x[part["pair_of"]], part["upto"])[part["word"]] * part["times"], part["doc"]) for x in (best, n)]
-    cols = [blocks.column("doc_ids")[0].values, *map(pa.array, totals), *map(pa.array, own), blocks.column("shas")[0].values]
+    raw = blocks.column("shas")[0].as_py()
+    shas = [raw[32 * i : 32 * i + 32].hex() if n else "" for i, n in enumerate(totals[0].tolist())]
+    cols = [blocks.column("doc_ids")[0].values, *map(pa.array, totals), *map(pa.array, own), pa.array(shas, pa.string())]
     return pa.Table.from_arrays(cols, [c.split()[0] for c in _DOCUMENT.split(", ")])
 
 
