@@ -165,6 +165,20 @@ def test_cox_derivatives_and_fit(spark):
         cox.fit_cox(obs(spark, TOY["d"], [0] * 10, x=TOY["x"]), ["x"], prefix="")
 
 
+def test_cached_evaluation_equals_frames(spark):
+    """Blocks, ranges and ties cut anywhere: one duration holds a third of the cases, with events among them."""
+    g = random.Random(6)
+    rows = [(float(g.randrange(12)) if g.random() < 0.67 else 5.0, int(g.random() < 0.6), g.gauss(0, 1), g.gauss(3, 1)) for _ in range(400)]
+    o = spark.createDataFrame(rows, "duration double, event int, a double, b double").repartition(3)
+    for block, size in ((1 << 16, 1 << 20), (7, 1 << 20), (1000, 40), (5, 33)):
+        blocks = cox.RiskBlocks(o, ["a", "b"], block=block, rows=size)
+        for beta in ([0.0, 0.0], [0.4, -0.3]):
+            ll, grad, h = blocks.at(beta)
+            r = cox.likelihood(o, ["a", "b"], beta, centre=blocks.centre).first()
+            assert (ll, *grad, h[0, 0], h[0, 1], h[1, 1]) == pytest.approx((r.ll, r.g0, r.g1, r.h0_0, r.h0_1, r.h1_1), rel=1e-9)
+        blocks.close()
+
+
 def naive_concordance(d, e, r):
     good = pairs = 0
     for i in range(len(d)):
@@ -179,7 +193,7 @@ def test_concordance(spark):
     g = random.Random(3)
     d, e, r = [g.randrange(30) for _ in range(300)], [g.randrange(2) for _ in range(300)], [g.randrange(12) for _ in range(300)]
     o = obs(spark, d, e, risk=r)
-    for f in (concordance.by_join, concordance.by_levels):
+    for f in (concordance.by_join, concordance.by_blocks, lambda x: concordance.by_blocks(x, rows=20)):
         got = f(o).first()
         assert (got.concordant, got.pairs) == naive_concordance(d, e, r)
     none = concordance.concordance(obs(spark, [1, 2], [0, 0], risk=[1, 2])).first()
@@ -205,11 +219,21 @@ def test_scalars():
     assert np.allclose(stats.inverse([[2, 0], [0, 4]]), [[0.5, 0], [0, 0.25]]) and math.isclose(stats.mean([0.1] * 10), 0.1)
 
 
-def test_two_level_sums(spark):
-    df = spark.range(200).select(F.col("id").cast("double").alias("t"), F.lit(1).alias("n"))
-    a = survival.cumulative(df, "t", {"s": F.col("n")}, descending=True).orderBy("t").collect()
-    b = survival.cumulative(df, "t", {"s": F.col("n")}, descending=True, buckets=7).orderBy("t").collect()
-    assert [r.s for r in a] == [r.s for r in b] == list(range(200, 0, -1))
+def test_running_sums_over_ranges(spark, monkeypatch):
+    """Equal to those of one block, in ranges of even size however the keys are packed; text keys too."""
+    from tidemark.functions import ordered
+
+    df = spark.range(2000).select((F.col("id") / 1e9).alias("t"), F.lit(1).alias("n"), F.format_string("k%05d", "id").alias("s"))
+    for order in ("t", "s"):
+        a = ordered.cumulative(df, order, {"x": F.col("n")}, descending=True).orderBy(order).collect()
+        monkeypatch.setattr(ordered, "ROWS", 100)
+        at = ordered.lay_out(df, order)
+        b = at.running({"x": F.col("n")}, descending=True).plain().orderBy(order).collect()
+        monkeypatch.undo()
+        assert [r.x for r in a] == [r.x for r in b] == list(range(2000, 0, -1))
+        sizes = [r["count"] for r in at.frame.groupBy("_blk").count().collect()]
+        assert at.blocks == 20 and max(sizes) <= 2 * 2000 / 20
+    ordered.release()
 
 
 def test_series_in_blocks_equal_one_block(spark, monkeypatch):
@@ -239,11 +263,14 @@ def test_series_in_blocks_equal_one_block(spark, monkeypatch):
         assert a == pytest.approx(b, nan_ok=True) if isinstance(a, list) and a and isinstance(a[0], float) else [[round(x, 9) if isinstance(x, float) else x for x in r] for r in a] == [[round(x, 9) if isinstance(x, float) else x for x in r] for r in b]
 
 
-def test_no_window_holds_all_durations(spark):
-    """No plan orders all distinct durations in one task: windows without keys run on sums of ranges alone."""
+def test_no_window_holds_all_durations(spark, monkeypatch):
+    """No plan orders all of many distinct durations in one task: windows without keys run on sums of ranges alone."""
     import io
     from contextlib import redirect_stdout
 
+    from tidemark.functions import ordered
+
+    monkeypatch.setattr(ordered, "ROWS", 20)
     obs = spark.createDataFrame([(float(i) * 1.7, i % 3 > 0, i % 2, float(i % 7)) for i in range(200)], "duration double, e boolean, g int, x double").withColumn("event", F.col("e").cast("int"))
     frames = [survival.kaplan_meier(obs), survival.restricted_mean(survival.kaplan_meier(obs), 100.0), survival.nelson_aalen(obs), survival.logrank_core(obs, "g"), cox.likelihood(obs, ["x"], [0.1]), cox.baseline(obs, ["x"], [0.1])]
     for f in frames:
@@ -253,7 +280,7 @@ def test_no_window_holds_all_durations(spark):
         for line in text.getvalue().splitlines():
             if "Window [" in line:
                 keys = line[line.index("windowspecdefinition(") :]
-                assert keys.split("windowspecdefinition(")[1].startswith("_b#"), line
+                assert keys.split("windowspecdefinition(")[1].startswith(("_blk#", "_kb#")) or "_blk#" in line.split("], [")[-1], line
 
 
 def test_published_figures():
@@ -263,7 +290,7 @@ def test_published_figures():
     assert (bad / n - p) / (p * (1 - p) / n) ** 0.5 == pytest.approx(-4.1696, abs=1e-3)
 
 
-def test_concordance_levels_equal_all_pairs(spark):
+def test_concordance_blocks_equal_all_pairs(spark):
     import random
 
     from tidemark.operators import concordance
@@ -271,7 +298,12 @@ def test_concordance_levels_equal_all_pairs(spark):
     g = random.Random(2)
     for n, times in ((1, 3), (60, 5), (200, 1000), (150, 1)):
         obs = spark.createDataFrame([(float(g.randrange(times)), g.randrange(2), round(g.gauss(0, 1), 1)) for _ in range(n)], "duration double, event int, risk double")
-        assert concordance.by_levels(obs).first() == concordance.by_join(obs).first()
+        want = concordance.by_join(obs).first()
+        assert [concordance.by_blocks(obs, rows=r).first() for r in (None, 7, 50)] == [want] * 3
+    # unrounded risks in a narrow band
+    rows = [(float(g.randrange(300)), g.randrange(2), g.gauss(0, 1e-3)) for _ in range(2000)]
+    obs = spark.createDataFrame(rows, "duration double, event int, risk double")
+    assert concordance.by_blocks(obs, rows=100).first() == concordance.by_join(obs).first()
 
 
 def test_column_forms_of_the_normal_law(spark):

@@ -248,7 +248,7 @@ risk AS (SELECT time, (sum(n) OVER (ORDER BY time DESC ROWS UNBOUNDED PRECEDING)
 _KM = _RISK + """, s AS (SELECT *, product(1.0::DOUBLE - events / at_risk::DOUBLE) OVER w AS survival, max((at_risk = events)::INT) OVER w AS done, sum(CASE WHEN at_risk > events THEN events / (at_risk::DOUBLE * (at_risk - events)) ELSE 0 END) OVER w AS g FROM risk WINDOW w AS (ORDER BY time ROWS UNBOUNDED PRECEDING)),
 k AS (SELECT *, (survival > 0 AND survival < 1 AND done = 0) AS inside FROM s), km AS (SELECT *, CASE WHEN inside THEN 1.959963984540054 * sqrt(g) / abs(ln(survival)) END AS spread FROM k)"""
 _query("risk_table", _RISK + " SELECT * FROM risk")(lambda s, d: survival.risk_table(fx.observations(s, d)))
-_query("risk_table_buckets", _RISK + " SELECT * FROM risk")(lambda s, d: survival.risk_table(fx.observations(s, d), buckets=8))
+_query("risk_table_buckets", _RISK + " SELECT * FROM risk")(lambda s, d: survival.risk_table(fx.observations(s, d), rows=100))
 _query("km_curve", _KM + """ SELECT time, at_risk, events, censored, round(survival, 6) AS survival, round(CASE WHEN done = 0 THEN survival * sqrt(g) ELSE 0 END, 6) AS std_error,
  round(CASE WHEN inside THEN survival ** exp(spread) ELSE least(1, greatest(0, survival)) END, 6) AS lower, round(CASE WHEN inside THEN survival ** exp(-spread) ELSE least(1, greatest(0, survival)) END, 6) AS upper FROM km""")(
     lambda s, d: _round(survival.kaplan_meier(fx.observations(s, d)), "survival", "std_error", "lower", "upper"))
@@ -320,17 +320,19 @@ def _ranking(s, d):
 
 
 _query("survival_curve", _BASE + " SELECT time, round(exp(-cumulative_hazard * exp(0.25::DOUBLE - 0.15::DOUBLE * 2)), 6) AS survival FROM base")(lambda s, d: _round(cox.survival_curve(_model(s, d), {"urgent": 1.0, "price": 2.0}), "survival"))
-_CONC = f"""WITH {OBS}, g AS (SELECT duration AS t, event AS e, round({_LP}, 2) AS r, count(*) AS n FROM obs GROUP BY 1, 2, 3)
+def _conc_sql(risk: str) -> str:
+    return f"""WITH {OBS}, g AS (SELECT duration AS t, event AS e, {risk} AS r, count(*) AS n FROM obs GROUP BY 1, 2, 3)
 SELECT round(sum(i.n * j.n * CASE WHEN i.r > j.r THEN 1.0 WHEN i.r = j.r THEN 0.5 ELSE 0 END)::DOUBLE, 6) AS concordant, sum(i.n * j.n)::BIGINT AS pairs, round(sum(i.n * j.n * CASE WHEN i.r > j.r THEN 1.0 WHEN i.r = j.r THEN 0.5 ELSE 0 END)::DOUBLE / sum(i.n * j.n), 6) AS c_index
 FROM g i JOIN g j ON i.e = 1 AND (j.t > i.t OR (j.t = i.t AND j.e = 0))"""
 
 
 def _risked(s, d):
-    return fx.observations(s, d).withColumn("risk", F.round(F.col("urgent") * BETA[0] + F.col("price") * BETA[1], 2))
+    return fx.observations(s, d).withColumn("risk", F.col("urgent") * BETA[0] + F.col("price") * BETA[1])
 
 
-_query("concordance", _CONC)(lambda s, d: _round(conc.concordance(_risked(s, d)), "concordant", "c_index"))
-_query("concordance_blocks", _CONC)(lambda s, d: _round(conc.by_levels(_risked(s, d)), "concordant", "c_index"))
+_query("concordance", _conc_sql(_LP))(lambda s, d: _round(conc.concordance(_risked(s, d)), "concordant", "c_index"))
+# rounded risks have ties; small blocks make most pairs lie in two
+_query("concordance_blocks", _conc_sql(f"round({_LP}, 2)"))(lambda s, d: _round(conc.by_blocks(_risked(s, d).withColumn("risk", F.round("risk", 2)), rows=2000), "concordant", "c_index"))
 
 
 @_query("cox_fit")

@@ -7,7 +7,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import over_blocks
+from ..functions.ordered import lay_out
 from ..functions.stats import normal_cdf, normal_ppf, normal_sf
 
 
@@ -55,7 +55,7 @@ def core(df: DataFrame, value: str, order: list, lsl: float | None, usl: float |
     row of the block before."""
     v = F.col(value).cast("double")
     d = df.select(F.col(order[0]).alias("_o"), v.alias("v"))
-    d = over_blocks(d, "_o", 1, lambda x, w: x.withColumn("mr", F.abs(F.col("v") - F.lag("v").over(w))))
+    d = lay_out(d, "_o", keep=False).over(1, lambda x, w: x.withColumn("mr", F.abs(F.col("v") - F.lag("v").over(w)))).plain()
     out = F.lit(False)
     if lsl is not None:
         out = out | (F.col("v") < lsl)

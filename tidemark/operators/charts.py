@@ -1,8 +1,8 @@
 """Shewhart control charts as windows over an ordered series (one row a subgroup or period).
 
 A chart has index, label, value, center, lcl, ucl, sigma, z, violations. Centres and limits come from one
-aggregate row; neighbours, numbers and run rules run in blocks of the order, so a series may be as long as
-the data.
+aggregate row; neighbours, numbers and run rules share one layout of the points in order, which reads them
+once and may be as long as the data.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import number, over_blocks
+from ..functions.ordered import Layout, lay_out
 from .nelson import RULES, flags
 
 # Control-chart constants for subgroups of 2 to 10.
@@ -35,61 +35,64 @@ def _need(df: DataFrame, least: int, bad: Column | None = None, message: str = "
     return [F.lit(None if x is None else float(x)).cast("double") for x in got]
 
 
-def _ranges(d: DataFrame, value: str, out: str) -> DataFrame:
-    """Moving ranges of two along _o."""
-    return over_blocks(d, "_o", 1, lambda x, w: x.withColumn(out, F.abs(F.col(value) - F.lag(value).over(w))))
+def _points(df: DataFrame, order: str, label: str | None, **columns: Column) -> tuple[Layout, str | None]:
+    """The series laid out by _o, with the given columns and the label's, and where the label is."""
+    d = df.select(F.col(order).alias("_o"), *([label] if label and label != order else []), *[c.cast("double").alias(k) for k, c in columns.items()])
+    return lay_out(d, "_o"), "_o" if label == order else label
 
 
-def _finish(points: DataFrame, rules: Sequence[int] | None, label: str | None) -> DataFrame:
-    """points: _o (order), value, center, lcl, ucl, sigma. Adds index, label, z and violations."""
-    p = number(points, "_o", "index")
-    p = p.withColumn("label", F.col(label).cast("string") if label else F.col("index").cast("string"))
-    p = p.withColumn("z", F.when(F.col("sigma") > 0, (F.col("value") - F.col("center")) / F.col("sigma")).otherwise(0.0))
-    p = flags(p, "z", "index", rules)
+def _ranges(at: Layout, value: str, out: str) -> Layout:
+    """Moving ranges of two along the order."""
+    return at.over(1, lambda x, w: x.withColumn(out, F.abs(F.col(value) - F.lag(value).over(w))))
+
+
+def _finish(at: Layout, points: DataFrame, rules: Sequence[int] | None, label: str | None) -> DataFrame:
+    """points: rows of the layout with value, center, lcl, ucl, sigma. Adds index, label, z and violations."""
+    p = at.having(points.withColumn("z", F.when(F.col("sigma") > 0, (F.col("value") - F.col("center")) / F.col("sigma")).otherwise(0.0))).numbered("index")
+    p = flags(p.having(p.frame.withColumn("label", F.col(label).cast("string") if label else F.col("index").cast("string"))), "z", "_o", rules)
     return p.select("index", "label", "value", "center", "lcl", "ucl", "sigma", "z", "violations")
 
 
 def individuals(df: DataFrame, value: str, order: str, label: str | None = None, rules=None) -> DataFrame:
     """X chart: sigma is the mean moving range over 1.128."""
-    d = df.select(F.col(order).alias("_o"), *([label] if label and label != order else []), F.col(value).cast("double").alias("value"))
-    label = "_o" if label == order else label
-    d = _ranges(d, "value", "_mr")
-    center, mr = _need(d, 2, None, "", F.avg("value"), F.avg("_mr"))
-    d = d.withColumns({"center": center, "sigma": mr / D2[2]})
-    return _finish(d.withColumns({"lcl": F.col("center") - 3 * F.col("sigma"), "ucl": F.col("center") + 3 * F.col("sigma")}), rules, label)
+    at, label = _points(df, order, label, value=F.col(value))
+    center, mr = _need(_ranges(at, "value", "_mr").frame, 2, None, "", F.avg("value"), F.avg("_mr"))
+    d = at.frame.withColumns({"center": center, "sigma": mr / D2[2]})
+    return _finish(at, d.withColumns({"lcl": F.col("center") - 3 * F.col("sigma"), "ucl": F.col("center") + 3 * F.col("sigma")}), rules, label)
 
 
 def moving_range(df: DataFrame, value: str, order: str, label: str | None = None) -> DataFrame:
     """Chart of the moving ranges; only rule 1; a range has the label of its later point."""
-    _need(df, 2)
-    d = df.select(F.col(order).alias("_o"), *([label] if label and label != order else []), F.col(value).cast("double").alias("_v"))
-    label = "_o" if label == order else label
-    d = _ranges(d, "_v", "value").where("value IS NOT NULL")
+    at, label = _points(df, order, label, _v=F.col(value))
+    _need(at.frame, 2)
+    d = _ranges(at, "_v", "value").frame.where("value IS NOT NULL")
     d = d.withColumn("center", *_need(d, 1, None, "", F.avg("value")))
     d = d.withColumns({"ucl": D4[2] * F.col("center"), "lcl": F.greatest(F.lit(0.0), D3[2] * F.col("center")), "sigma": F.col("center") * D3_CONST[2] / D2[2]})
-    return _finish(d, [1], label)
+    return _finish(at, d, [1], label)
 
 
 def xbar_r(df: DataFrame, value: str, subgroup: str, rules=None) -> DataFrame:
-    """Means of equal subgroups of 2 to 10; limits by A2 and the mean range. Adds column range."""
+    """Means of equal subgroups of 2 to 10; limits by A2 and the mean range."""
     g = df.groupBy(F.col(subgroup).alias("_o")).agg(F.avg(value).alias("value"), (F.max(value) - F.min(value)).alias("range"), F.count("*").alias("_n"))
-    low, high = g.agg(F.min("_n"), F.max("_n")).first()
+    at = lay_out(g, "_o")
+    low, high, center, mean_range, n = at.frame.agg(F.min("_n"), F.max("_n"), F.avg("value"), F.avg("range"), F.count("*")).first()
     if low is None or low != high or low not in D2:
         raise ValueError("subgroups must all have one size from 2 to 10")
-    center, mean_range = _need(g, 2, None, "", F.avg("value"), F.avg("range"))
-    g = g.withColumns({"center": center, "_r": mean_range})
+    if n < 2:
+        raise ValueError("a chart needs at least 2 points")
+    g = at.frame.withColumns({"center": F.lit(center), "_r": F.lit(mean_range)})
     g = g.withColumns({"ucl": F.col("center") + A2[low] * F.col("_r"), "lcl": F.col("center") - A2[low] * F.col("_r"), "sigma": F.col("_r") / D2[low] / float(low) ** 0.5})
-    return _finish(g, rules, "_o")
+    return _finish(at, g, rules, "_o")
 
 
 def p_chart(df: DataFrame, count: str, size: str, order: str, label: str | None = None, rules=None) -> DataFrame:
     """Proportions with limits by each point's size, clipped to [0, 1]."""
-    total, base = _need(df, 2, (F.col(size) <= 0) | (F.col(count) < 0) | (F.col(count) > F.col(size)), "counts must lie in 0..size and sizes be positive", F.sum(F.col(count).cast("double")), F.sum(F.col(size).cast("double")))
-    d = df.select(F.col(order).alias("_o"), *([label] if label and label != order else []), F.col(count).cast("double").alias("_c"), F.col(size).cast("double").alias("_n"))
-    label = "_o" if label == order else label
-    d = d.withColumns({"value": F.col("_c") / F.col("_n"), "center": total / base})
-    d = d.withColumn("sigma", F.sqrt(F.col("center") * (1 - F.col("center")) / F.col("_n")))
-    return _finish(d.withColumns({"lcl": F.greatest(F.lit(0.0), F.col("center") - 3 * F.col("sigma")), "ucl": F.least(F.lit(1.0), F.col("center") + 3 * F.col("sigma"))}), rules, label)
+    at, label = _points(df, order, label, _c=F.col(count), _n=F.col(size))
+    c, n = F.col("_c"), F.col("_n")
+    total, base = _need(at.frame, 2, (n <= 0) | (c < 0) | (c > n), "counts must lie in 0..size and sizes be positive", F.sum(c), F.sum(n))
+    d = at.frame.withColumns({"value": c / n, "center": total / base})
+    d = d.withColumn("sigma", F.sqrt(F.col("center") * (1 - F.col("center")) / n))
+    return _finish(at, d.withColumns({"lcl": F.greatest(F.lit(0.0), F.col("center") - 3 * F.col("sigma")), "ucl": F.least(F.lit(1.0), F.col("center") + 3 * F.col("sigma"))}), rules, label)
 
 
 def p_chart_is_weak(df: DataFrame, count: str, size: str) -> bool:
@@ -99,20 +102,19 @@ def p_chart_is_weak(df: DataFrame, count: str, size: str) -> bool:
 
 
 def c_chart(df: DataFrame, count: str, order: str, label: str | None = None, rules=None) -> DataFrame:
-    center = _need(df, 2, F.col(count) < 0, "counts must not be negative", F.avg(F.col(count).cast("double")))[0]
-    d = df.select(F.col(order).alias("_o"), *([label] if label and label != order else []), F.col(count).cast("double").alias("value"))
-    label = "_o" if label == order else label
-    d = d.withColumn("center", center).withColumn("sigma", F.sqrt("center"))
-    return _finish(d.withColumns({"lcl": F.greatest(F.lit(0.0), F.col("center") - 3 * F.col("sigma")), "ucl": F.col("center") + 3 * F.col("sigma")}), rules, label)
+    at, label = _points(df, order, label, value=F.col(count))
+    center = _need(at.frame, 2, F.col("value") < 0, "counts must not be negative", F.avg("value"))[0]
+    d = at.frame.withColumn("center", center).withColumn("sigma", F.sqrt("center"))
+    return _finish(at, d.withColumns({"lcl": F.greatest(F.lit(0.0), F.col("center") - 3 * F.col("sigma")), "ucl": F.col("center") + 3 * F.col("sigma")}), rules, label)
 
 
 def u_chart(df: DataFrame, count: str, exposure: str, order: str, label: str | None = None, rules=None) -> DataFrame:
-    total, base = _need(df, 2, (F.col(count) < 0) | (F.col(exposure) <= 0), "counts must not be negative and exposures be positive", F.sum(F.col(count).cast("double")), F.sum(F.col(exposure).cast("double")))
-    d = df.select(F.col(order).alias("_o"), *([label] if label and label != order else []), F.col(count).cast("double").alias("_c"), F.col(exposure).cast("double").alias("_e"))
-    label = "_o" if label == order else label
-    d = d.withColumns({"value": F.col("_c") / F.col("_e"), "center": total / base})
-    d = d.withColumn("sigma", F.sqrt(F.col("center") / F.col("_e")))
-    return _finish(d.withColumns({"lcl": F.greatest(F.lit(0.0), F.col("center") - 3 * F.col("sigma")), "ucl": F.col("center") + 3 * F.col("sigma")}), rules, label)
+    at, label = _points(df, order, label, _c=F.col(count), _e=F.col(exposure))
+    c, e = F.col("_c"), F.col("_e")
+    total, base = _need(at.frame, 2, (c < 0) | (e <= 0), "counts must not be negative and exposures be positive", F.sum(c), F.sum(e))
+    d = at.frame.withColumns({"value": c / e, "center": total / base})
+    d = d.withColumn("sigma", F.sqrt(F.col("center") / e))
+    return _finish(at, d.withColumns({"lcl": F.greatest(F.lit(0.0), F.col("center") - 3 * F.col("sigma")), "ucl": F.col("center") + 3 * F.col("sigma")}), rules, label)
 
 
 def signals(chart: DataFrame) -> DataFrame:

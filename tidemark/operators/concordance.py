@@ -1,20 +1,30 @@
-"""Harrell's concordance index, exact at any number of cases, in frames alone.
-
-Pairs (i, j) compare when i has an event and j lasted longer, or as long without an event. Cases are first
-summed by (duration, event, risk), and distinct durations are numbered. Two durations part at exactly one
-bit of their numbers: level by level, rows whose numbers agree above a bit form a group, those with the bit
-unset are the shorter ones, and each event among them counts the longer ones of lower risk by one running
-sum over risk. So a pair is counted once, no two rows are ever matched, and rows grow only by the number of
-levels (the logarithm of the distinct durations). Ties of duration are one level more. A group of any size
-is summed in ranges of the risk, and no range holds a fixed share of the data.
+"""Harrell's concordance index, exact, on blocks of even size.
+
+Pairs (i, j) compare when i has an event and j lasted longer, or as long without an event. Cases are numbered
+by falling duration in classes: those of one duration without an event come before those with one, so that i
+compares with exactly the cases of smaller class. Classes are cut into slices of even size. A pair lies
+
+- in one slice: each slice's cases are counted by themselves, in order of risk;
+- or in two: dealt by ranges of risk, each range counts its own pairs of different slices, and for the risks
+  below it one vector of cases a slice is enough, the sum of the ranges' before.
+
+So each case moves twice, whatever the durations and risks; no two cases are matched, and the driver holds one
+number a slice and range. Within a task pairs are counted by running sums over risk, bit by bit of the slice or
+class number.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .survival import cumulative
+from ..functions.ordered import lay_out
+from ..plans.workers import reachable
+
+#: Cases of a slice or range, and slices at most (each range keeps a vector of so many numbers).
+ROWS, SLICES = 1 << 18, 1 << 12
 
 
 def _grouped(obs: DataFrame, duration: str, event: str, risk: str) -> DataFrame:
@@ -36,27 +46,110 @@ def by_join(obs: DataFrame, duration: str = "duration", event: str = "event", ri
     return _share(pairs.agg(F.coalesce(F.sum(weight * good), F.lit(0.0)).alias("concordant"), F.coalesce(F.sum(weight), F.lit(0)).alias("pairs")))
 
 
-def by_levels(obs: DataFrame, duration: str = "duration", event: str = "event", risk: str = "risk") -> DataFrame:
+def below(level: np.ndarray, r: np.ndarray, n: np.ndarray, short: np.ndarray) -> tuple[float, int]:
+    """(concordant, pairs) of rows in order of risk r: pairs of a row with weight `short` and one of smaller level, weight n.
+
+    Two levels part at one bit: above it they agree, and the smaller has it unset. For each bit, one running
+    sum over risk within equal higher bits counts what lies below, ties of risk a half."""
+    if not len(r):
+        return 0.0, 0
+    good, pairs = 0, 0
+    for bit in range(int(level.max()).bit_length()):
+        group, high = level >> (bit + 1), (level >> bit) & 1 == 1
+        order = np.argsort(group, kind="stable")  # keeps the order of risk
+        g, x = group[order], r[order]
+        count, mine = np.where(high, 0, n)[order], np.where(high, short, 0)[order]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        first = np.concatenate([[True], g[1:] != g[:-1]])
+        start = np.flatnonzero(first)[np.cumsum(first) - 1]
+        new = first | np.concatenate([[True], x[1:] != x[:-1]])
+        tie = np.cumsum(new) - 1
+        at = np.flatnonzero(new)
+        end = np.append(at[1:], len(x))
+        last = np.append(np.flatnonzero(first)[1:], len(x))[np.cumsum(first) - 1]
+        lower, same, whole = upto[at][tie] - upto[start], (upto[end] - upto[at])[tie], upto[last] - upto[start]
+        good += int(mine @ (2 * lower + same))
+        pairs += int(mine @ whole)
+    return good / 2, pairs
+
+
+def _result(good: int, pairs: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([good], pa.int64()), pa.array([pairs], pa.int64())], ["twice", "pairs"])
+
+
+_SHAPE = "twice long, pairs long"
+
+
+def _within(t: pa.Table) -> pa.Table:
+    """Pairs of one slice."""
+    level, r, n, e = (np.asarray(t.column(c)) for c in ("level", "r", "n", "e"))
+    order = np.argsort(r, kind="stable")
+    level, r, n, e = level[order], r[order], n[order], e[order]
+    good, pairs = below(np.unique(level, return_inverse=True)[1], r, n, n * e)
+    return pa.Table.from_batches([_result(int(2 * good), pairs)])
+
+
+def _sizes(slices: int):
+    """Map: of each range of risk, its cases by slice."""
+
+    def run(batches):
+        total, part = np.zeros(slices, np.int64), None
+        for b in batches:
+            total += np.bincount(np.asarray(b.column(0)), weights=np.asarray(b.column(2)), minlength=slices).astype(np.int64)
+            part = b.column(4)[0].as_py()
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "sizes"])
+
+    return run
+
+
+def _across(slices: int, lower: dict):
+    """Map: pairs of different slices whose other case lies in this range of risk or, by `lower`, in those before."""
+
+    def run(batches):
+        got = [[np.asarray(c) for c in b.columns] for b in batches]
+        if not got:
+            return
+        cut, r, n, e, part = map(np.concatenate, zip(*got))
+        order = np.argsort(r, kind="stable")
+        cut, r, n, e = cut[order].astype(np.int64), r[order], n[order], e[order]
+        short = n * e
+        good, _ = below(cut, r, n, short)
+        under = np.concatenate([[0], np.cumsum(lower[int(part[0])])])[:-1]  # in smaller slices
+        yield _result(int(2 * good) + 2 * int(short @ under[cut]), 0)
+
+    return run
+
+
+def by_blocks(obs: DataFrame, duration: str = "duration", event: str = "event", risk: str = "risk", rows: int | None = None) -> DataFrame:
     """One row: concordant (ties count a half), pairs, c_index."""
+    spark, rows = obs.sparkSession, rows or ROWS
+    reachable(spark)
     g = _grouped(obs, duration, event, risk)
-    times = cumulative(g.select("t").distinct(), "t", {"k": F.lit(1)}).select(F.col("t").alias("_t"), "k")
-    g = g.join(times, F.col("t") == F.col("_t")).select("k", "e", "r", "n")
-    count = times.agg(F.max("k")).first()[0] or 0
-    d = g.select("*", F.explode(F.array(*[F.lit(b) for b in range(max(1, int(count).bit_length()))])).alias("bit"))
-    later = F.expr("shiftright(k, bit) & 1") == 1
-    levels = d.select("bit", F.expr("shiftright(k, bit + 1)").alias("node"), "r", F.when(later, F.col("n")).otherwise(0).alias("long"), F.when(~later & (F.col("e") == 1), F.col("n")).otherwise(0).alias("short"))
-    ties = g.select(F.lit(-1).alias("bit"), F.col("k").alias("node"), "r", F.when(F.col("e") == 0, F.col("n")).otherwise(0).alias("long"), F.when(F.col("e") == 1, F.col("n")).otherwise(0).alias("short"))
-    size = F.floor(F.log2(F.abs("r") + 1.0) * 64).cast("int")
-    both = levels.unionByName(ties).groupBy("bit", "node", "r").agg(F.sum("long").alias("long"), F.sum("short").alias("short"))
-    both = both.withColumn("band", F.when(F.col("r") < 0, -size - 1).otherwise(size))
-    w = Window.partitionBy("bit", "node").orderBy("band")
-    bands = both.groupBy("bit", "node", "band").agg(F.sum("long").alias("s"))
-    bands = bands.select("bit", "node", "band", F.coalesce(F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("lower"), F.sum("s").over(Window.partitionBy("bit", "node")).alias("all"))
-    inside = Window.partitionBy("bit", "node", "band").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = both.withColumn("below", F.coalesce(F.sum("long").over(inside), F.lit(0))).where("short > 0").join(bands, ["bit", "node", "band"])
-    good = F.col("short") * (F.col("lower") + F.col("below") + 0.5 * F.col("long"))
-    return _share(ranked.agg(F.coalesce(F.sum(good), F.lit(0.0)).alias("concordant"), F.coalesce(F.sum(F.col("short") * F.col("all")), F.lit(0)).alias("pairs")))
+    at = lay_out(g.groupBy("t").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("e")).alias("d")), "t")
+    # classes by falling duration, censored before events; the cases of smaller class compare with an event
+    at = at.running({"place": F.lit(1)}, descending=True).running({"upto": F.col("size")}, descending=True)
+    cases = at.frame.agg(F.sum("size")).first()[0] or 0
+    each = max(rows, -(-cases // SLICES))
+    pairs = at.frame.agg(F.sum((F.col("upto") - F.col("d")) * F.col("d"))).first()[0] or 0
+    slices = cases // each + 1
+    # a slice holds whole durations
+    times = at.frame.select(F.col("t").alias("_t"), "place", F.floor((F.col("upto") - 1) / each).cast("int").alias("cut"))
+    d = g.join(times, F.col("t") == F.col("_t")).select("cut", (2 * F.col("place") + F.col("e")).alias("level"), "r", "n", "e")
+    inside = d.groupBy("cut").applyInArrow(_within, _SHAPE)
+    if slices > 1:
+        n = d.groupBy("cut", "r", "e").agg(F.sum("n").alias("n")).select("cut", "r", "n", "e")
+        ranged = n.repartitionByRange(max(1, -(-cases // rows)), "r").withColumn("part", F.spark_partition_id()).persist()
+        got = {r.part: np.frombuffer(r.sizes, np.int64) for r in ranged.mapInArrow(_sizes(slices), "part int, sizes binary").collect()}
+        lower, upto = {}, np.zeros(slices, np.int64)
+        for part in sorted(got):
+            lower[part], upto = upto, upto + got[part]
+        inside = inside.union(ranged.mapInArrow(_across(slices, lower), _SHAPE))
+    twice = inside.agg(F.sum("twice")).first()[0] or 0
+    if slices > 1:
+        ranged.unpersist()
+    return _share(spark.createDataFrame([(twice / 2, int(pairs))], "concordant double, pairs long"))
 
 
 def concordance(obs: DataFrame, duration: str = "duration", event: str = "event", risk: str = "risk") -> DataFrame:
-    return by_levels(obs, duration, event, risk)
+    return by_blocks(obs, duration, event, risk)

@@ -1,21 +1,33 @@
 """Cox proportional hazards with Breslow ties.
 
-Each evaluation of the partial likelihood is one job: cases are summed by distinct duration (map-side
-combining), suffix sums over durations give S0, S1 and S2 of the risk sets, and one row comes back: the
-log likelihood, the gradient and the upper triangle of the Hessian. Newton's steps are on the driver.
+A fit puts the cases in order of falling duration once, dealt by ranges and packed into blocks of numbers that
+stay stored. An evaluation of the partial likelihood then builds no plan of its own: one pass sums each range's
+risk weights (S0, S1, S2), and a second, with the sums of the ranges before as its start, adds up the log
+likelihood, the gradient and the Hessian; a single range needs the second alone. What comes to the driver is a
+row of some p * p numbers a range. Newton's steps are on the driver. `likelihood` is the same in frames, for one
+evaluation.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import cumulative
+from ..functions.shared import cut, drop
 from ..functions.stats import chi2_sf, inverse, normal_sf, solve
-from .survival import Z95, cumulative
+from ..plans.workers import reachable
+from .survival import Z95
+
+#: Cases of a block, and of a range of blocks.
+BLOCK, RANGE = 1 << 16, 1 << 20
 
 
 def _pairs(p: int):
@@ -29,7 +41,7 @@ def linear_predictor(names, beta, centre=None) -> Column:
     return out
 
 
-def likelihood(obs: DataFrame, names, beta, duration: str = "duration", event: str = "event", centre=None, buckets: int = 64) -> DataFrame:
+def likelihood(obs: DataFrame, names, beta, duration: str = "duration", event: str = "event", centre=None) -> DataFrame:
     """One row: ll, g0..., h0_0... (upper triangle) of the partial likelihood at beta."""
     p = len(names)
     d = obs.select(F.col(duration).cast("double").alias("t"), F.col(event).cast("double").alias("e"), *[(F.col(n).cast("double") - (float(centre[i]) if centre is not None else 0.0)).alias(f"x{i}") for i, n in enumerate(names)])
@@ -39,7 +51,7 @@ def likelihood(obs: DataFrame, names, beta, duration: str = "duration", event: s
     aggs += [F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"wxx{i}_{j}") for i, j in _pairs(p)]
     t = d.groupBy("t").agg(*aggs)
     sums = {"s0": F.col("w")} | {f"s1_{i}": F.col(f"wx{i}") for i in range(p)} | {f"s2_{i}_{j}": F.col(f"wxx{i}_{j}") for i, j in _pairs(p)}
-    t = cumulative(t, "t", sums, descending=True, buckets=buckets).where("d > 0")
+    t = cumulative(t, "t", sums, descending=True).where("d > 0")
     lp = F.lit(0.0)
     for i, b in enumerate(beta):
         lp = lp + float(b) * F.col(f"ex{i}")
@@ -51,6 +63,161 @@ def likelihood(obs: DataFrame, names, beta, duration: str = "duration", event: s
     )
 
 
+def _packed(width: int, rows: int):
+    """Map: (t, e, x...) in falling t to blocks of at most `rows` cases, numbered by range."""
+
+    def run(batches):
+        part, seq = TaskContext.get().partitionId(), 0
+
+        def block(held):
+            data = np.concatenate(held)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([data.tobytes()], pa.binary())], ["part", "seq", "data"])
+
+        held, n = [], 0
+        for b in batches:
+            x = np.stack([np.asarray(c, float) for c in b.columns], axis=1)
+            while n + len(x) >= rows:
+                held.append(x[: rows - n])
+                yield block(held)
+                x, held, n, seq = x[rows - n :], [], 0, seq + 1
+            if len(x):
+                held.append(x)
+                n += len(x)
+        if n:
+            yield block(held)
+
+    return run
+
+
+def _lp(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    return (x * beta).sum(axis=1)  # a matrix product would wake threads that a task shouldn't have
+
+
+def _risk_sums(w: np.ndarray, x: np.ndarray, pairs) -> np.ndarray:
+    """Columns w, w * x_i, w * x_i * x_j of each case."""
+    wx = w[:, None] * x
+    return np.concatenate([w[:, None], wx, *[(wx[:, i] * x[:, j])[:, None] for i, j in pairs]], axis=1)
+
+
+def _blocks_of(batches, width: int):
+    """A range's blocks in order, as (part, matrix)."""
+    for b in batches:
+        for part, data in zip(b.column(0).to_pylist(), b.column(2)):
+            yield part, np.frombuffer(data.as_buffer(), float).reshape(-1, width)
+
+
+def _row(part, values):
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.asarray(values, float).tobytes()], pa.binary())], ["part", "data"])
+
+
+def _totals(beta: np.ndarray, pairs):
+    """Map: of each range its first and last duration, its risk sums, and those of the cases at its first duration."""
+
+    def run(batches):
+        part = first = last = whole = head = None
+        for part, m in _blocks_of(batches, 2 + len(beta)):
+            sums = _risk_sums(np.exp(_lp(m[:, 2:], beta)), m[:, 2:], pairs)
+            if first is None:
+                first, whole, head = m[0, 0], 0.0, 0.0
+            whole, head, last = whole + sums.sum(axis=0), head + sums[m[:, 0] == first].sum(axis=0), m[-1, 0]
+        if part is not None:
+            yield _row(part, np.concatenate([[first, last], whole, head]))
+
+    return run
+
+
+def _terms(beta: np.ndarray, pairs, before: dict, after: dict):
+    """Map: of each range the log likelihood, events, gradient and upper Hessian of its events.
+
+    before: risk sums of the ranges before; after: of the cases beyond the range at its last duration."""
+    p = len(beta)
+
+    def run(batches):
+        part, out, at, waiting, since = None, np.zeros(2 + p + len(pairs)), None, 0.0, None
+
+        def close(d, s):
+            """Events d at ends of durations with risk sums s."""
+            d, s = d[d > 0], s[d > 0]
+            mean, second = s[:, 1 : 1 + p] / s[:, :1], s[:, 1 + p :] / s[:, :1]
+            out[0] -= (d * np.log(s[:, 0])).sum()
+            out[1] += d.sum()
+            out[2 : 2 + p] -= (d[:, None] * mean).sum(axis=0)
+            for k, (i, j) in enumerate(pairs):
+                out[2 + p + k] -= (d * (second[:, k] - mean[:, i] * mean[:, j])).sum()
+
+        for part, m in _blocks_of(batches, 2 + p):
+            t, e, x = m[:, 0], m[:, 1], m[:, 2:]
+            if at is None:
+                at = np.array(before.get(part, 0.0)) + np.zeros(1 + p + len(pairs))
+            lp = _lp(x, beta)
+            out[0] += (e * lp).sum()
+            out[2 : 2 + p] += (e[:, None] * x).sum(axis=0)
+            new = np.concatenate([[0], np.flatnonzero(t[1:] != t[:-1]) + 1])
+            d = np.add.reduceat(e, new)
+            upto = at + np.cumsum(np.add.reduceat(_risk_sums(np.exp(lp), x, pairs), new, axis=0), axis=0)
+            if since == t[0]:
+                d[0] += waiting
+            elif since is not None:
+                close(np.array([waiting]), at[None, :])
+            close(d[:-1], upto[:-1])
+            waiting, since, at = d[-1], t[-1], upto[-1]
+        if part is not None:
+            close(np.array([waiting]), (at + after.get(part, 0.0))[None, :])
+            yield _row(part, out)
+
+    return run
+
+
+class RiskBlocks:
+    """Cases in stored blocks by falling duration, for any number of evaluations; `close` drops them."""
+
+    def __init__(self, obs: DataFrame, cols, duration: str = "duration", event: str = "event", block: int = BLOCK, rows: int = RANGE):
+        reachable(obs.sparkSession)
+        self.p, self.pairs = len(cols), _pairs(len(cols))
+        d = obs.select(F.col(duration).cast("double").alias("t"), F.col(event).cast("double").alias("e"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+        source = cut(d)
+        self.cases, events, *means = source.agg(F.count("*"), F.sum("e"), *[F.avg(f"x{i}") for i in range(self.p)]).first()
+        self.events = int(events or 0)
+        # centred, which keeps exp() in range; coefficients, likelihood and errors do not change
+        self.centre = np.array([m or 0.0 for m in means], float)
+        d = source.select("t", "e", *[(F.col(f"x{i}") - float(c)).alias(f"x{i}") for i, c in enumerate(self.centre)])
+        self.ranges = max(1, -(-self.cases // rows))
+        # one duration may hold any share of the cases: the hash lets it lie over several ranges
+        d = d.coalesce(1) if self.ranges == 1 else d.repartitionByRange(self.ranges, F.col("t").desc(), F.xxhash64(*d.columns))
+        self._blocks = cut(d.sortWithinPartitions(F.col("t").desc()).mapInArrow(_packed(2 + self.p, block), "part int, seq int, data binary"))
+        drop(source)
+
+    def close(self) -> None:
+        drop(self._blocks)
+
+    def _collect(self, f) -> dict[int, np.ndarray]:
+        rows = self._blocks.mapInArrow(f, "part int, data binary").collect()
+        return {r.part: np.frombuffer(r.data, float) for r in sorted(rows)}
+
+    def at(self, beta) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log likelihood, gradient and Hessian."""
+        beta, p = np.asarray(beta, float), self.p
+        before, after = {}, {}
+        if self.ranges > 1:
+            got = self._collect(_totals(beta, self.pairs))
+            parts, size, upto = list(got), 1 + p + len(self.pairs), 0.0
+            for k, part in enumerate(parts):
+                before[part] = upto
+                upto = upto + got[part][2 : 2 + size]
+                for later in parts[k + 1 :]:  # the last duration may go on in the ranges that follow
+                    first, last = got[later][:2]
+                    if first != got[part][1]:
+                        break
+                    after[part] = after.get(part, 0.0) + got[later][2 + size :]
+                    if last != first:
+                        break
+        out = sum(self._collect(_terms(beta, self.pairs, before, after)).values(), np.zeros(2 + p + len(self.pairs)))
+        h = np.zeros((p, p))
+        for k, (i, j) in enumerate(self.pairs):
+            h[i, j] = h[j, i] = out[2 + p + k]
+        return out[0], out[2 : 2 + p], h
+
+
 def baseline(obs: DataFrame, names, beta, duration: str = "duration", event: str = "event") -> DataFrame:
     """time, hazard, cumulative_hazard at event times (Breslow)."""
     d = obs.select(F.col(duration).cast("double").alias("time"), F.col(event).cast("double").alias("e"), F.exp(linear_predictor(names, beta)).alias("w"))
@@ -70,7 +237,14 @@ class CoxModel:
     converged: bool
     cases: int
     events: int
-    base: DataFrame = field(repr=False, default=None)
+    #: The baseline hazard's frame, or what makes it when it is first asked for.
+    curve: DataFrame | Callable[[], DataFrame] | None = field(repr=False, default=None)
+
+    @property
+    def base(self) -> DataFrame:
+        if callable(self.curve):
+            self.curve = self.curve()
+        return self.curve
 
     @property
     def hazard_ratios(self):
@@ -152,21 +326,11 @@ def curve_quantile(model: CoxModel, values: dict[str, float], p: float = 0.5) ->
 
 def fit_cox(obs: DataFrame, names, duration: str = "duration", event: str = "event", prefix: str = "x_", iterations: int = 50, tolerance: float = 1e-9) -> CoxModel:
     cols, p = [prefix + n for n in names], len(names)
-    source = obs.select(duration, event, *cols)
-    obs = source.persist()
+    blocks = RiskBlocks(obs, cols, duration, event)
     try:
-        n, events, *means = obs.agg(F.count("*"), F.sum(F.col(event).cast("long")), *[F.avg(c) for c in cols]).first()
-        if not n or not events:
+        if not blocks.events:
             raise ValueError("no events: a hazard model cannot be fitted")
-        centre = np.array(means, float)  # keeps exp() in range; beta, ll and errors do not change
-
-        def at(beta):
-            r = likelihood(obs, cols, beta, duration, event, centre).first()
-            h = np.zeros((p, p))
-            for i, j in _pairs(p):
-                h[i, j] = h[j, i] = r[f"h{i}_{j}"]
-            return r.ll, np.array([r[f"g{i}"] for i in range(p)]), h
-
+        at = blocks.at
         beta, done, used = np.zeros(p), False, 0
         ll, g, h = at(beta)
         null = ll
@@ -190,6 +354,6 @@ def fit_cox(obs: DataFrame, names, duration: str = "duration", event: str = "eve
             se = [math.sqrt(v) if v > 0 else float("nan") for v in np.diag(inverse(-h))]
         except ValueError:
             se = [float("nan")] * p
-        return CoxModel(list(names), beta.tolist(), se, ll, null, used, done, n, int(events), baseline(source, cols, beta, duration, event))
+        return CoxModel(list(names), beta.tolist(), se, ll, null, used, done, blocks.cases, blocks.events, lambda: baseline(obs, cols, beta, duration, event))
     finally:
-        obs.unpersist()
+        blocks.close()

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import over_blocks
+from ..functions.ordered import Layout, lay_out
 
 
 @dataclass(frozen=True)
@@ -56,10 +56,11 @@ RULES = (
 )
 
 
-def flags(df: DataFrame, z: str, order: str, rules: Sequence[int | RunRule] | None = None) -> DataFrame:
+def flags(df: DataFrame | Layout, z: str, order: str, rules: Sequence[int | RunRule] | None = None) -> DataFrame:
     """Adds violations, the codes of the rules that the point completes, in the rules' order.
 
-    rules: numbers of the built-in rules, or RunRules of one's own (flag takes the column and the window)."""
+    rules: numbers of the built-in rules, or RunRules of one's own (flag takes the column and the window).
+    df: the series, or a layout of it."""
     chosen = [r if isinstance(r, RunRule) else RULES[r - 1] for r in (rules if rules is not None else range(1, 9))]
 
     def add(d, w):
@@ -78,7 +79,8 @@ def flags(df: DataFrame, z: str, order: str, rules: Sequence[int | RunRule] | No
         return d.withColumn("violations", F.array_compact(F.array(*made)) if made else none).drop("_step", "_turn")
 
     # a block starts with as many rows of those before as the longest rule looks back
-    return over_blocks(df, order, max([r.window for r in chosen], default=1) - 1, add)
+    at = df if isinstance(df, Layout) else lay_out(df, order)
+    return at.over(max([r.window for r in chosen], default=1) - 1, add).plain()
 
 
 def expand(df: DataFrame, order: str, rules: Sequence[RunRule] = RULES) -> DataFrame:
@@ -91,5 +93,5 @@ def expand(df: DataFrame, order: str, rules: Sequence[RunRule] = RULES) -> DataF
         return d.withColumn("violations", F.array_compact(F.array(*wide)))
 
     # looking ahead is looking back in falling order
-    turned = over_blocks(df.withColumn("_turned", -F.col(order)), "_turned", max(back.values(), default=1) - 1, add)
-    return turned.drop("_turned")
+    turned = lay_out(df.withColumn("_turned", -F.col(order)), "_turned").over(max(back.values(), default=1) - 1, add)
+    return turned.plain().drop("_turned")

@@ -1,17 +1,18 @@
 """Right-censored survival: everything runs on the risk table, one row a distinct duration.
 
 The data-sized step is one grouped count with map-side combining. Suffix and prefix sums then run over
-distinct durations in two levels: within ranges of the duration (a fixed number to a doubling), and over
-the totals of these ranges, of which there are a bounded number, so no single task orders all durations.
+distinct durations, laid out in order once (functions.ordered): in one block where they are few, else in
+ranges of even size, with the totals of the ranges before added.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import Layout, cumulative, lay_out
 from ..functions.stats import chi2_sf
 
 Z95 = 1.959963984540054
@@ -25,29 +26,15 @@ def check(obs: DataFrame, duration: str = "duration", event: str = "event") -> N
         raise ValueError("durations must be non-negative and events 0 or 1")
 
 
-def cumulative(df: DataFrame, by: str, columns: dict[str, Column], descending: bool = False, buckets: int = 64, products: dict[str, Column] | None = None) -> DataFrame:
-    """Running sums (and products) over rows ordered by `by` (unique), inclusive. columns: output name to expression.
-
-    `buckets` ranges to a doubling of `by` + 1; each is summed by itself, and what the ranges before hold is
-    added. There are at most 1024 * buckets ranges for any numbers, and some tens to hundreds in practice."""
-    order = F.col(by).desc() if descending else F.col(by).asc()
-    exprs = [(k, c, F.sum) for k, c in columns.items()] + [(k, c, F.product) for k, c in (products or {}).items()]
-    size = F.floor(F.log2(F.abs(F.col(by)) + 1.0) * buckets).cast("int")
-    d = df.withColumn("_b", F.when(F.col(by) < 0, -size - 1).otherwise(size)).withColumns({f"_c{i}": c for i, (_, c, _) in enumerate(exprs)})
-    side = Window.orderBy(F.col("_b").desc() if descending else F.col("_b").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    sums = d.groupBy("_b").agg(*[f(f"_c{i}").alias(f"_s{i}") for i, (_, _, f) in enumerate(exprs)])
-    sums = sums.select(F.col("_b").alias("_kb"), *[F.coalesce(f(f"_s{i}").over(side), F.lit(1 if f is F.product else 0)).alias(f"_t{i}") for i, (_, _, f) in enumerate(exprs)])
-    w = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.join(F.broadcast(sums), F.col("_b") == F.col("_kb"))
-    d = d.withColumns({k: (F.product(f"_c{i}").over(w) * F.col(f"_t{i}") if f is F.product else F.sum(f"_c{i}").over(w) + F.col(f"_t{i}")) for i, (k, _, f) in enumerate(exprs)})
-    return d.drop("_b", "_kb", *[f"_c{i}" for i in range(len(exprs))], *[f"_t{i}" for i in range(len(exprs))])
+def _risk(obs: DataFrame, duration: str, event: str, rows: int | None = None) -> Layout:
+    g = obs.groupBy(F.col(duration).cast("double").alias("time")).agg(F.sum(F.col(event).cast("long")).alias("events"), F.count("*").alias("n"))
+    at = lay_out(g, "time", rows).running({"at_risk": F.col("n")}, descending=True)
+    return at.having(at.frame.select("_blk", "time", "at_risk", "events", (F.col("n") - F.col("events")).alias("censored")))
 
 
-def risk_table(obs: DataFrame, duration: str = "duration", event: str = "event", buckets: int = 64) -> DataFrame:
-    """time, at_risk, events, censored by distinct duration."""
-    g = obs.groupBy(F.col(duration).cast("double").alias("time")).agg(F.sum(F.col(event).cast("long")).alias("events"), F.count("*").alias("n"))
-    g = cumulative(g, "time", {"at_risk": F.col("n")}, descending=True, buckets=buckets)
-    return g.select("time", "at_risk", "events", (F.col("n") - F.col("events")).alias("censored"))
+def risk_table(obs: DataFrame, duration: str = "duration", event: str = "event", rows: int | None = None) -> DataFrame:
+    """time, at_risk, events, censored by distinct duration; rows: of a block of durations."""
+    return _risk(obs, duration, event, rows).plain()
 
 
 def kaplan_meier(obs: DataFrame, duration: str = "duration", event: str = "event", z: float = Z95) -> DataFrame:
@@ -56,7 +43,7 @@ def kaplan_meier(obs: DataFrame, duration: str = "duration", event: str = "event
     The product is F.product: exact zeros stay zeros, and steps equal the textbook product."""
     n, d = F.col("at_risk"), F.col("events")
     greenwood = F.when(n > d, d / (n * (n - d))).otherwise(0.0)
-    t = cumulative(risk_table(obs, duration, event), "time", {"_g": greenwood}, products={"survival": 1.0 - d / n})
+    t = _risk(obs, duration, event).running({"_g": greenwood}, products={"survival": 1.0 - d / n}).plain()
     t = t.withColumn("_g", F.when(F.col("survival") == 0, F.lit(float("inf"))).otherwise(F.col("_g")))
     s, g = F.col("survival"), F.col("_g")
     inside = (s > 0) & (s < 1) & (g < float("inf"))
@@ -99,7 +86,7 @@ def curve_rows(curve: DataFrame) -> DataFrame:
 
 
 def nelson_aalen(obs: DataFrame, duration: str = "duration", event: str = "event") -> DataFrame:
-    return cumulative(risk_table(obs, duration, event), "time", {"cumulative_hazard": F.col("events") / F.col("at_risk")})
+    return _risk(obs, duration, event).running({"cumulative_hazard": F.col("events") / F.col("at_risk")}).plain()
 
 
 def hazard_at(curve: DataFrame, time: float) -> float:
@@ -147,6 +134,7 @@ def upper_median(df: DataFrame, value: str) -> DataFrame:
 
 def thin(curve: DataFrame, order: str, budget: int = 300) -> DataFrame:
     """Every stride-th row and the last, for display."""
-    n = curve.count()
+    at = lay_out(curve, order)
+    n = at.frame.count()
     stride = max(1, n // budget)
-    return cumulative(curve, order, {"_i": F.lit(1)}).withColumn("_i", F.col("_i") - 1).where((F.col("_i") % stride == 0) | (F.col("_i") == n - 1)).drop("_i")
+    return at.running({"_i": F.lit(1)}).plain().withColumn("_i", F.col("_i") - 1).where((F.col("_i") % stride == 0) | (F.col("_i") == n - 1)).drop("_i")
