@@ -179,6 +179,22 @@ def test_cached_evaluation_equals_frames(spark):
         blocks.close()
 
 
+def test_exact_quantiles_by_refinement(spark):
+    from tidemark.functions.quantiles import exact_quantiles
+
+    g = random.Random(8)
+    rows = [("a", g.expovariate(1e-3)) for _ in range(700)] + [("ties", float(g.randrange(3))) for _ in range(500)] + [("one", 4.0), ("none", None), (None, -1.0), (None, 2.5)]
+    rows += [("wide", 10.0 ** g.uniform(-200, 200) * g.choice((-1, 1))) for _ in range(300)] + [("two", 1.0), ("two", 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    qs = (0.0, 0.1, 0.5, 0.9, 1.0)
+    for limit, buckets in ((100_000, 1024), (20, 64), (0, 256)):
+        got = {r.k: [r[f"q{i}"] for i in range(len(qs))] for r in exact_quantiles(df, ["k"], "v", qs, limit, buckets).collect()}
+        assert set(got) == {"a", "ties", "one", None, "wide", "two"}
+        for k, x in got.items():
+            assert x == pytest.approx([stats.quantile([v for a, v in rows if a == k], q) for q in qs], rel=1e-12)
+    assert exact_quantiles(df.where("false"), ["k"], "v", qs).count() == 0
+
+
 def naive_concordance(d, e, r):
     good = pairs = 0
     for i in range(len(d)):
@@ -322,3 +338,23 @@ def test_scored_curve_quantile_and_text(spark):
     assert q == min(t for t, s in curve.items() if s <= 0.5)
     assert "a " in model.to_text() and "300 cases" in model.to_text()
     assert survival.curve_rows(survival.kaplan_meier(obs)).columns == ["time", "at_risk", "events", "survival", "std_error", "lower", "upper"]
+
+
+@pytest.mark.parametrize("rows", [None, 9])
+@pytest.mark.parametrize("strict", [False, True])
+def test_asof_join_against_a_scan(spark, rows, strict):
+    """One key holds half of all rows and lies over many ranges; keys and times are null or equal here and there."""
+    from tidemark.operators.asof import asof_join
+
+    g = random.Random(5)
+    key = lambda: g.choice(["hot", "hot", "hot", "a", "b", None])
+    left = [(i, key(), g.choice([g.randrange(40), g.randrange(40), None])) for i in range(120)] + [(7, "hot", 3), (7, "hot", 3)]
+    right = [(key(), g.choice([g.randrange(40), None]), g.choice([1, 2, None])) for _ in range(60)]
+    got = asof_join(spark.createDataFrame(left, "id int, k string, t int").repartition(3), spark.createDataFrame(right, "k string, t int, v int"), ("t", "t"), ["k"], strict, rows)
+    assert got.columns == ["id", "k", "t", "t_right", "v"]
+    want = []
+    for i, k, t in left:
+        ok = [(u, -1 if v is None else v) for a, u, v in right if a == k and u is not None and t is not None and (u < t if strict else u <= t)]
+        u, v = max(ok, default=(None, None))
+        want.append((i, k, t, u, None if v == -1 else v))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.worktime import WorkCalendar, iso_week
 from .operators import capability as cap
-from .operators import charts, conformance, cox, design, eventlog, lint, mining, nelson, survival
+from .operators import asof, charts, conformance, cox, design, eventlog, lint, mining, nelson, survival
 from .operators import concordance as conc
 from .operators import gage as gage_ops
 from .plans import fixtures as fx
@@ -97,6 +97,7 @@ _WORK, _WALL = fx.sql_hours("ts", "next_ts"), "((epoch_us(next_ts) - epoch_us(ts
 _EDGE = ("total_hours", "mean_hours", "median_hours", "p90_hours")
 _query("dfg_edges", _edge_sql(LOG_USER, _WORK))(lambda s, d: _round(mining.edges(fx.log_user(s, d), CAL), *_EDGE))
 _query("dfg_edges_wall", _edge_sql(LOG_USER, _WALL))(lambda s, d: _round(mining.edges(fx.log_user(s, d)), *_EDGE))
+_query("dfg_edges_selected", _edge_sql(LOG_USER, _WORK))(lambda s, d: _round(mining.edges(fx.log_user(s, d), CAL, small=0), *_EDGE))
 _query("dfg_filtered", _edge_sql(LOG_SESSION, _WALL, " HAVING count(*) >= 100"))(lambda s, d: _round(mining.edges(fx.log_session(s, d), least=100), *_EDGE))
 _query("dfg_self_loops", _edge_sql(LOG_USER, _WALL, " HAVING source = target"))(lambda s, d: _round(mining.self_loops(mining.edges(fx.log_user(s, d))), *_EDGE))
 _query("dfg_successors", f"WITH {LOG_SESSION}, {ORDERED} SELECT DISTINCT next_activity AS target FROM o WHERE activity = 'view' AND next_activity IS NOT NULL")(lambda s, d: mining.successors(mining.edges(fx.log_session(s, d)), "view"))
@@ -125,6 +126,8 @@ SELECT activity, count(*) AS occurrences, count(DISTINCT case_id) AS cases, roun
 
 _query("activity_stats", _stats_sql("prev_ts"))(lambda s, d: _round(mining.activity_statistics(fx.log_session(s, d)), *_STATS))
 
+_query("activity_stats_selected", _stats_sql("prev_ts"))(lambda s, d: _round(mining.activity_statistics(fx.log_session(s, d), small=0), *_STATS))
+
 
 @_query("activity_stats_arrival", _stats_sql("coalesce(prev_ts, arrived)", ", a AS (SELECT case_id, date_trunc('day', min(ts)) AS arrived FROM log GROUP BY 1)", " LEFT JOIN a USING (case_id)"))
 def _stats_arrival(s, d):
@@ -342,6 +345,34 @@ def _cox_fit(s, d):
     return s.createDataFrame([(r["covariate"], r["coef"], r["se"], r["hazard_ratio"], r["p"]) for r in m.rows()], "covariate string, coef double, se double, hazard_ratio double, p double")
 
 
+# --- as-of joins -----------------------------------------------------------------------------------
+@_query("asof_last_order", """WITH r AS (SELECT o_custkey, o_orderdate, max((o_orderkey)) AS last_key FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2)
+SELECT o.o_orderkey, o.o_custkey, r.last_key, strftime(r.o_orderdate, '%Y-%m-%d') AS last_date FROM orders o ASOF LEFT JOIN r ON o.o_custkey = r.o_custkey AND o.o_orderdate >= r.o_orderdate""")
+def _asof_orders(s, d):
+    o = fx.table(s, d, "orders")
+    r = o.where("o_orderstatus = 'F'").select("o_custkey", "o_orderdate", F.col("o_orderkey").alias("last_key"))
+    got = asof.asof_join(o.select("o_orderkey", "o_custkey", "o_orderdate"), r, ("o_orderdate", "o_orderdate"), ["o_custkey"], rows=5000)
+    return got.select("o_orderkey", "o_custkey", "last_key", F.date_format("o_orderdate_right", "yyyy-MM-dd").alias("last_date"))
+
+
+@_query("asof_last_purchase", """SELECT e.event_id, r.event_id AS purchase_id, round(r.value, 6) AS value FROM (SELECT * FROM events WHERE event_type = 'click') e
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') r ON e.user_id = r.user_id AND e.ts > r.ts""")
+def _asof_events(s, d):
+    e = fx.table(s, d, "events")
+    r = e.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("bought"), F.col("event_id").alias("purchase_id"), "value")
+    got = asof.asof_join(e.where("event_type = 'click'").select("event_id", "user_id", "ts"), r, ("ts", "bought"), ["user_id"], strict=True)
+    return _round(got.select("event_id", "purchase_id", "value"), "value")
+
+
+@_query("asof_market", """WITH r AS (SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1), l AS (SELECT event_id, ts::DATE - INTERVAL 1 DAY AS d FROM events)
+SELECT l.event_id, r.n FROM l ASOF LEFT JOIN r ON l.d >= r.day""")
+def _asof_day(s, d):
+    """Without keys: one series for all rows."""
+    e = fx.table(s, d, "events")
+    r = e.groupBy(F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n"))
+    return asof.asof_join(e.select("event_id", F.date_sub(F.col("ts").cast("date"), 1).alias("d")), r, ("d", "day"), rows=1000).select("event_id", "n")
+
+
 # --- model lint and synthetic extracts (no SQL: a tokenizer, and seeded draws) ----------------------
 _query("lint_findings")(lambda s, d: lint.lint(sample(s)))
 _query("dax_tokens")(lambda s, d: lint.tokens(sample(s)))

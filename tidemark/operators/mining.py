@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import quantiles
+from ..functions.shared import cut
 from ..functions.worktime import WorkCalendar
 from .eventlog import ordered, traces, wall_hours
 
 
-def _quantile(value, q: float, exact: bool) -> Column:
-    """Type-7 quantile. exact=False for groups whose distinct values do not fit in memory."""
-    return F.percentile(value, q) if exact else F.percentile_approx(value, q, 100_000)
+def _with_quantiles(rows: DataFrame, keys: list[str], aggregates: list[Column], small: int | None, exact: bool) -> DataFrame:
+    """Groups of rows with aggregates, and median_hours and p90_hours of the column hours (type 7).
+
+    Exact by one buffer a group where there are at most `small` rows, by selection over grouped counts beyond;
+    exact=False: a sketch."""
+    qs, names = (0.5, 0.9), ("median_hours", "p90_hours")
+    small = quantiles.SMALL if small is None else small
+    if not exact:
+        return rows.groupBy(*keys).agg(*aggregates, *[F.percentile_approx("hours", q, 100_000).alias(n) for q, n in zip(qs, names)])
+    if small and rows.count() <= small:
+        return rows.groupBy(*keys).agg(*aggregates, *[F.percentile("hours", q).alias(n) for q, n in zip(qs, names)])
+    rows = cut(rows)
+    got = quantiles.exact_quantiles(rows, keys, "hours", qs).withColumnsRenamed({"q0": names[0], "q1": names[1]})
+    return rows.groupBy(*keys).agg(*aggregates).join(got, keys, "left")
 
 
 def nodes(events: DataFrame) -> DataFrame:
@@ -29,12 +42,10 @@ def steps(events: DataFrame, calendar: WorkCalendar | None = None) -> DataFrame:
     return ordered(events).where("next_activity IS NOT NULL").select(F.col("activity").alias("source"), F.col("next_activity").alias("target"), hours.alias("hours"))
 
 
-def edges(events: DataFrame, calendar: WorkCalendar | None = None, least: int = 1, exact: bool = True) -> DataFrame:
+def edges(events: DataFrame, calendar: WorkCalendar | None = None, least: int = 1, exact: bool = True, small: int | None = None) -> DataFrame:
     """Directly-follows edges: frequency, total, mean, median and p90 hours; at least `least` times."""
-    got = steps(events, calendar).groupBy("source", "target").agg(
-        F.count("*").alias("frequency"), F.sum("hours").alias("total_hours"), F.avg("hours").alias("mean_hours"),
-        _quantile("hours", 0.5, exact).alias("median_hours"), _quantile("hours", 0.9, exact).alias("p90_hours"),
-    )
+    stats = [F.count("*").alias("frequency"), F.sum("hours").alias("total_hours"), F.avg("hours").alias("mean_hours")]
+    got = _with_quantiles(steps(events, calendar), ["source", "target"], stats, small, exact)
     return got.where(F.col("frequency") >= least) if least > 1 else got
 
 
@@ -90,16 +101,20 @@ def variant_coverage(events: DataFrame) -> DataFrame:
     return v.select((F.col("_rank") + place).cast("int").alias("rank"), "trace", "count", ((F.col("_upto") + place * F.col("count")) / F.col("_all")).alias("coverage"))
 
 
-def activity_statistics(events: DataFrame, cases: DataFrame | None = None, exact: bool = True) -> DataFrame:
+def activity_statistics(events: DataFrame, cases: DataFrame | None = None, exact: bool = True, small: int | None = None) -> DataFrame:
     """occurrences, cases and hours since the event before (for the first: since arrival, if cases are given)."""
-    o = ordered(events).select("case_id", "activity", "ts", "prev_ts")
+    o = ordered(events).select("case_id", "activity", "ts", "prev_ts", "pos")
     if cases is not None:
         o = o.join(cases.select("case_id", "arrived"), "case_id", "left").withColumn("prev_ts", F.coalesce("prev_ts", F.col("arrived").cast("timestamp_ntz")))
     o = o.withColumn("hours", F.greatest(F.lit(0.0), wall_hours("prev_ts", "ts"))).withColumn("hours", F.when(F.col("prev_ts").isNotNull(), F.col("hours")))
-    return o.groupBy("activity").agg(
-        F.count("*").alias("occurrences"), F.count_distinct("case_id").alias("cases"), F.coalesce(F.avg("hours"), F.lit(0.0)).alias("mean_hours"),
-        F.coalesce(_quantile("hours", 0.5, exact), F.lit(0.0)).alias("median_hours"), F.coalesce(_quantile("hours", 0.9, exact), F.lit(0.0)).alias("p90_hours"), F.coalesce(F.sum("hours"), F.lit(0.0)).alias("total_hours"),
-    ).orderBy("activity")
+    # a case counts once for an activity: at its first event of it
+    first = F.row_number().over(Window.partitionBy("case_id", "activity").orderBy("pos")) == 1
+    o = o.select("activity", "hours", first.alias("first"))
+    nought = lambda c: F.coalesce(c, F.lit(0.0))
+    stats = [F.count("*").alias("occurrences"), F.sum(F.col("first").cast("long")).alias("cases"), nought(F.avg("hours")).alias("mean_hours"), nought(F.sum("hours")).alias("total_hours")]
+    got = _with_quantiles(o, ["activity"], stats, small, exact)
+    got = got.withColumns({c: nought(F.col(c)) for c in ("median_hours", "p90_hours")})
+    return got.select("activity", "occurrences", "cases", "mean_hours", "median_hours", "p90_hours", "total_hours").orderBy("activity")
 
 
 def rework(events: DataFrame) -> DataFrame:
