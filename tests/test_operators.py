@@ -358,3 +358,18 @@ def test_asof_join_against_a_scan(spark, rows, strict):
         u, v = max(ok, default=(None, None))
         want.append((i, k, t, u, None if v == -1 else v))
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_custom_rules_get_whole_cases(spark, log, size):
+    import pandas as pd
+
+    rows = [("a", 1), ("b", 1), ("b", 2), ("b", 3), ("b", 4), ("c", 1), ("d", 1), ("d", 2)]
+    frames = [pd.DataFrame(rows[i : i + size], columns=["case_id", "x"]) for i in range(0, len(rows), size)]
+    seen = list(conformance._whole_cases(iter(frames), lambda f: [f]))
+    assert [tuple(r) for f in seen for r in f.itertuples(index=False)] == rows
+    ids = [set(f["case_id"]) for f in seen]
+    assert sum(map(len, ids)) == len(set().union(*ids)) == 4
+    both = [conformance.CustomRule(lambda c: ["long", "too long"] if len(c) > 3 else []), conformance.CustomRule(lambda f: f.groupby("case_id").size().loc[lambda n: n > 3].reset_index().assign(detail="long")[["case_id", "detail"]], whole=True)]
+    got = [[(r.case_id, r.detail, r.at) for r in x.violations(log).orderBy("at").collect()] for x in both]
+    assert got == [[("3", "long", 0), ("3", "too long", 1)], [("3", "long", 0)]]

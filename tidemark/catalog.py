@@ -178,6 +178,21 @@ _query("conf_fitness", _ALL + " SELECT (SELECT count(DISTINCT case_id) FROM log)
 _query("conf_by_rule", _ALL + " SELECT rule, count(*) AS violations, count(DISTINCT case_id) AS cases FROM v GROUP BY 1")(lambda s, d: conformance.by_rule(conformance.violations(fx.log_session(s, d), _RULES)))
 _query("conf_cases_for", _ALL + " SELECT DISTINCT case_id FROM v WHERE rule = 'FOUR_EYES'")(lambda s, d: conformance.cases_for(conformance.violations(fx.log_session(s, d), _RULES), "FOUR_EYES"))
 
+
+
+def _error_then_purchase(pdf):
+    """Rows of many cases: each purchase right after an error of the same case."""
+    pos = pdf.groupby("case_id", sort=False).cumcount() + 1
+    hit = (pdf["activity"] == "error") & (pdf["activity"].shift(-1) == "purchase") & (pdf["case_id"].shift(-1) == pdf["case_id"])
+    return pdf.loc[hit, ["case_id"]].assign(detail="'error' -> 'purchase' at position " + pos[hit].astype(str))
+
+
+# the twins of two built-in rules, by batches of whole cases and case by case
+_query("conf_custom_batch", f"WITH {LOG_SESSION}, {ORDERED} {_VIOL['conf_forbidden']}")(
+    lambda s, d: conformance.CustomRule(_error_then_purchase, "FORBIDDEN", whole=True).violations(fx.log_session(s, d)).select("case_id", "rule", "detail"))
+_query("conf_custom_case", f"WITH {LOG_SESSION}, {ORDERED} {_VIOL['conf_end']}")(
+    lambda s, d: conformance.CustomRule(lambda c: [f"ended with '{a}'" for a in c["activity"].iloc[-1:] if a not in ("purchase", "click")], "END").violations(fx.log_session(s, d)).select("case_id", "rule", "detail"))
+
 # --- control charts --------------------------------------------------------------------------------
 _CHART = ("value", "center", "lcl", "ucl", "sigma", "z")
 

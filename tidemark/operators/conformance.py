@@ -152,25 +152,62 @@ class FourEyes(Rule):
         return _hit(test, F.format_string("%s both performed '%s' and checked it", F.col("resource"), made["activity"]), _place())
 
 
+def _whole_cases(frames, check):
+    """Frames in order of case, cut at borders of cases, through check."""
+    import pandas as pd
+
+    held = []
+    for f in frames:
+        if not len(f):
+            continue
+        # the last case of a frame may go on in the next
+        start = int((f["case_id"].to_numpy() != f["case_id"].iloc[-1]).sum())
+        if held and held[-1]["case_id"].iloc[-1] != f["case_id"].iloc[0]:
+            yield from check(pd.concat(held, ignore_index=True))
+            held = []
+        if start:
+            yield from check(pd.concat([*held, f.iloc[:start]], ignore_index=True))
+            held = []
+        held.append(f.iloc[start:])
+    if held:
+        yield from check(pd.concat(held, ignore_index=True))
+
+
 @dataclass(frozen=True)
 class CustomRule:
-    """Any check in Python over one case's events (a pandas frame in order), giving its details: the slow path."""
+    """Any check in Python: the slow path, in batches of many whole cases.
+
+    check takes one case's events (a pandas frame in order) and gives its details; with whole=True it takes a
+    frame of many whole cases, one after another, and gives a frame of case_id and detail, with one call for
+    some ten thousand events. A case must fit in a task's memory."""
 
     check: Callable
     code: str = "CUSTOM"
     description: str = "a custom check"
+    whole: bool = False
 
     def violations(self, events: DataFrame) -> DataFrame:
         import pandas as pd
 
-        check, code = self.check, self.code
+        check, code, whole = self.check, self.code, self.whole
 
-        def run(pdf):
-            pdf = pdf.sort_values(["ts", "seq"])
-            got = [str(x) for x in check(pdf)]
-            return pd.DataFrame({"case_id": [pdf["case_id"].iloc[0]] * len(got), "rule": code, "detail": got, "at": range(len(got))}).astype({"at": "int32", "case_id": object, "rule": object, "detail": object})
+        def shaped(case, detail):
+            found = pd.DataFrame({"case_id": list(case), "rule": code, "detail": [str(x) for x in detail]}, dtype=object)
+            found["at"] = found.groupby("case_id", sort=False).cumcount().astype("int32") if len(found) else pd.Series([], dtype="int32")
+            return found
 
-        return events.groupBy("case_id").applyInPandas(run, "case_id string, rule string, detail string, at int")
+        def run(pdf):
+            if whole:
+                got = check(pdf)
+                yield shaped(got["case_id"], got["detail"])
+                return
+            ids = pdf["case_id"].to_numpy()
+            borders = [0, *((ids[1:] != ids[:-1]).nonzero()[0] + 1).tolist(), len(ids)]
+            out = [(ids[a], x) for a, b in zip(borders, borders[1:]) for x in check(pdf.iloc[a:b])]
+            yield shaped([c for c, _ in out], [x for _, x in out])
+
+        d = events.repartition("case_id").sortWithinPartitions("case_id", "ts", "seq")
+        return d.mapInPandas(lambda frames: _whole_cases(frames, run), "case_id string, rule string, detail string, at int")
 
 
 def _esc(s: str) -> str:

@@ -24,6 +24,7 @@ from ..functions.ordered import cumulative
 from ..functions.shared import cut, drop
 from ..functions.stats import chi2_sf, inverse, normal_sf, solve
 from ..plans.workers import reachable
+from .asof import asof_join
 from .survival import Z95
 
 #: Cases of a block, and of a range of blocks.
@@ -297,12 +298,9 @@ class CoxModel:
         return cases.withColumn("risk", risk).withColumn("breach_probability", F.exp(-F.lit(self.hazard_at(sla_hours)) * F.exp("risk")))
 
     def breach_by_target(self, cases: DataFrame, sla: str = "sla_hours") -> DataFrame:
-        """As breach_probability with each case's own target: the hazards up to each distinct target are running
-        sums over event times and targets together."""
+        """As breach_probability with each case's own target: the hazard as of each distinct target."""
         targets = cases.select(F.col(sla).cast("double").alias("_sla")).where("_sla IS NOT NULL").distinct()
-        both = self.base.select(F.col("time").alias("_sla"), "hazard", F.lit(0).alias("_asked")).union(targets.select("_sla", F.lit(0.0), F.lit(1)))
-        both = both.groupBy("_sla").agg(F.sum("hazard").alias("hazard"), F.max("_asked").alias("_asked"))
-        look = cumulative(both, "_sla", {"_h": F.col("hazard")}).where("_asked = 1").select("_sla", "_h")
+        look = asof_join(targets, self.base.select("time", "cumulative_hazard"), ("_sla", "time")).select("_sla", F.coalesce("cumulative_hazard", F.lit(0.0)).alias("_h"))
         got = cases.join(look, F.col(sla).cast("double") == F.col("_sla")).withColumn("risk", self.score(cases))
         return got.withColumn("breach_probability", F.exp(-F.col("_h") * F.exp("risk"))).drop("_sla", "_h")
 
