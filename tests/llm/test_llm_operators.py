@@ -209,6 +209,9 @@ def test_exact_nulls_and_repeats(spark):
     assert sorted(r.doc_id for r in exact_dedup.deduplicate(df).collect()) == [2, 3]
     assert exact_dedup.deduplicate(df).columns == df.columns
     assert exact_dedup.exact_groups(df.where("false")).count() == 0
+    low = spark.createDataFrame([(-(2**63), "a b"), (-(2**63), "a b"), (None, "ab"), (2**63 - 1, " "), (None, ""), (-(2**63), " ")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.keep_id, r.group_size) for r in exact_dedup.exact_groups(low).collect()) == [(-(2**63), -(2**63), 3)] * 3 + [(0, -(2**63), 3)] * 2 + [(2**63 - 1, -(2**63), 3)]
+    assert sorted(r.text for r in exact_dedup.deduplicate(low).collect()) == [" ", "a b"]
 
 
 def test_exact_keeps_every_text_whatever_its_id(spark):
@@ -758,3 +761,14 @@ def test_number_rows(spark):
     for k in range(3):
         own = sorted(r.n for r in rows if r.k == k)
         assert own == list(range(len(own)))
+
+
+def test_language_id_with_repeated_and_null_ids(spark):
+    """A doc_id of very many rows brings a bounded number of them to the driver; null ids and empty tables do too."""
+    from tidemark.llm import langid
+
+    rows = [(7 if i % 2 else None, f"der hund und die katze {i % 50}" if i % 3 else f"the dog and the cat {i % 50}", "de" if i % 3 else "en", "s") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumnRenamed("source", "at")
+    got = langid.train(df, sample=50)
+    assert got["langs"] == ["de", "en"]
+    assert langid.train(df.where("false"))["langs"] == []

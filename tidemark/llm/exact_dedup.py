@@ -142,12 +142,16 @@ def recipes(docs: DataFrame, bits: int = 128) -> DataFrame:
     return texts.mapInArrow(both, _ROWS)
 
 
+def _first():
+    """The least of a group stays: most code points, then the smallest id, null last."""
+    return [(-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id"]
+
+
 def exact_groups(docs: DataFrame, bits: int = 128) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row; see the module text."""
     rows = materialize(recipes(docs, bits), "recipes")
-    first = F.struct(F.col("points"), F.coalesce(-F.col("doc_id"), F.lit(-(2**63))).alias("i"))
-    groups = rows.groupBy("recipe").agg(F.count("*").alias("group_size"), F.max(first).alias("best")).where("group_size > 1")
-    groups = groups.select(F.col("recipe").alias("_r"), "group_size", F.when(F.col("best.i") != -(2**63), -F.col("best.i")).alias("best_id"))
+    groups = rows.groupBy("recipe").agg(F.count("*").alias("group_size"), F.min(F.struct(*_first())).alias("best")).where("group_size > 1")
+    groups = groups.select(F.col("recipe").alias("_r"), "group_size", F.col("best.doc_id").alias("best_id"))
     groups = materialize(groups, "recipe-groups")  # both sides of the join are then plain exchanges, whose hot partitions are split
     got = rows.join(groups, F.col("recipe") == F.col("_r"), "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("best_id"))
@@ -161,8 +165,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Texts move only where a bitmap of the rows that go can't tell that they stay.
     """
     rows = materialize(recipes(docs).select("points", "doc_id", "recipe", "k1", "k2"), "recipes")
-    first = F.struct(F.col("points"), F.coalesce(-F.col("doc_id"), F.lit(-(2**63))).alias("i"), "k1", "k2")
-    best = rows.groupBy("recipe").agg(F.count("*").alias("n"), F.max(first).alias("o")).where("n > 1")
+    best = rows.groupBy("recipe").agg(F.count("*").alias("n"), F.min(F.struct(*_first(), "k1", "k2")).alias("o")).where("n > 1")
     out = keep_rows(docs, rows, best.select("recipe", F.col("o.k1").alias("k1"), F.col("o.k2").alias("k2")), "recipe")
     discard(rows)
     return out

@@ -115,7 +115,8 @@ def train(docs: DataFrame, sample: int = 1500, seed: int = 5) -> dict:
     ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~in_fold(F.col("doc_id"), 0)).select("doc_id", F.xxhash64(F.lit(seed), "doc_id").alias("h"))
     chosen = ids.orderBy("h", "doc_id").limit(sample).select("doc_id")  # at most `sample` ids
     rows = docs.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), "text")
-    got = rows.mapInArrow(_histograms, "lang string, short boolean, at binary, n binary").collect()
+    # two rows an id at most, but for repeated ids
+    got = rows.mapInArrow(_histograms, "lang string, short boolean, at binary, n binary").orderBy("at", "n", "lang", "short").limit(4 * sample).collect()
     got = sorted(got, key=lambda r: (r.lang, r.short, bytes(r.at), bytes(r.n)))
     langs = sorted({r.lang for r in got})
     if not langs:
