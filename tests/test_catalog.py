@@ -7,7 +7,7 @@ import pytest
 from tidemark import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("orders", "lineitem", "events")
+TABLES = ("orders", "lineitem", "events", "customer")
 
 
 def _norm(rows, names):

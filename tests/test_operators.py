@@ -373,3 +373,55 @@ def test_custom_rules_get_whole_cases(spark, log, size):
     both = [conformance.CustomRule(lambda c: ["long", "too long"] if len(c) > 3 else []), conformance.CustomRule(lambda f: f.groupby("case_id").size().loc[lambda n: n > 3].reset_index().assign(detail="long")[["case_id", "detail"]], whole=True)]
     got = [[(r.case_id, r.detail, r.at) for r in x.violations(log).orderBy("at").collect()] for x in both]
     assert got == [[("3", "long", 0), ("3", "too long", 1)], [("3", "long", 0)]]
+
+
+def test_very_many_variants_of_one_case_share_tasks(spark):
+    """A common start and equal counts: ranges of variants stay even, and ranks are whole."""
+    from tidemark.functions import ordered
+
+    n = 3000
+    log = spark.range(n * 4).select((F.col("id") / 4).cast("long").cast("string").alias("case_id"), F.when(F.col("id") % 4 < 3, "start").otherwise(F.concat(F.lit("x"), (F.col("id") / 4).cast("long").cast("string"))).alias("activity"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"), F.lit("").alias("resource"), F.col("id").alias("seq"))
+    before = len(ordered._stored)
+    got = mining.variant_coverage(log, rows=200).orderBy("rank").collect()
+    sizes = [r["count"] for r in ordered._stored[before].groupBy("_blk").count().collect()]
+    assert len(sizes) > 10 and max(sizes) <= 2 * 200
+    assert [r.rank for r in got] == list(range(1, n + 1)) and got[-1].coverage == pytest.approx(1.0)
+    assert [r.trace for r in got] == sorted(r.trace for r in got)
+
+
+def test_batches_merge_without_reading_the_first_again(spark, log, tmp_path):
+    from tidemark.operators import incremental
+
+    noon = "timestamp_ntz'2026-03-02 10:30:00'"
+    a, b = (incremental.summarize(log.where(f"ts {side} {noon}")) for side in ("<", ">="))
+    a.write(str(tmp_path / "a"))
+    both = incremental.merge(incremental.read_summary(spark, str(tmp_path / "a")), b)
+    want, key = mining.edges(log), ["source", "target"]
+    rounded = lambda d: [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in d.orderBy(*key).collect()]
+    assert rounded(incremental.graph(both)) == rounded(want)
+    assert {tuple(r) for r in incremental.start_end(both).collect()} == {tuple(r) for r in mining.start_end(log).collect()}
+    assert both.ends.agg(F.sum("events")).first()[0] == log.count()
+    with pytest.raises(Exception, match="come before"):
+        incremental.merge(b, a).steps.collect()
+
+
+def test_chi_square_tail_as_a_column(spark):
+    xs = [0.0, 1e-8, 0.3, 1.0, 3.84, 10.0, 55.0, 300.0, 1400.0]
+    df = spark.createDataFrame([(x, k) for x in xs for k in (1, 2, 3, 7, 40, 500)] + [(None, 1), (1.0, 0), (1.0, None)], "x double, k int")
+    for r in df.withColumn("p", stats.chi2_sf_column("x", "k")).collect():
+        if r.x is None or not r.k:
+            assert r.p is None
+        else:
+            assert r.p == pytest.approx(stats.chi2_sf(r.x, r.k), abs=1e-10)
+
+
+def test_logrank_in_strata(spark):
+    g = random.Random(12)
+    rows = [(g.choice(["a", "a", "a", "b", None, "c"]), float(g.randrange(25)), g.randrange(2), g.randrange(2)) for _ in range(400)] + [("lone", 1.0, 1, 0)]
+    df = spark.createDataFrame(rows, "s string, duration double, event int, g int")
+    for size in (None, 12):
+        got = {r.s: r for r in survival.logrank_by(df, "s", "g", rows=size).collect()}
+        assert set(got) == {"a", "b", "c", None, "lone"} and got["lone"].p_value == 1.0
+        for k in ("a", "b", "c", None):
+            want = survival.logrank(df.where(F.col("s").eqNullSafe(k)), "g")
+            assert (got[k].statistic, got[k].p_value) == pytest.approx((want.statistic, want.p_value), rel=1e-9)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.worktime import WorkCalendar, iso_week
 from .operators import capability as cap
-from .operators import asof, charts, conformance, cox, design, eventlog, lint, mining, nelson, survival
+from .operators import asof, charts, conformance, cox, design, eventlog, incremental, lint, mining, nelson, survival
 from .operators import concordance as conc
 from .operators import gage as gage_ops
 from .plans import fixtures as fx
@@ -98,6 +98,17 @@ _EDGE = ("total_hours", "mean_hours", "median_hours", "p90_hours")
 _query("dfg_edges", _edge_sql(LOG_USER, _WORK))(lambda s, d: _round(mining.edges(fx.log_user(s, d), CAL), *_EDGE))
 _query("dfg_edges_wall", _edge_sql(LOG_USER, _WALL))(lambda s, d: _round(mining.edges(fx.log_user(s, d)), *_EDGE))
 _query("dfg_edges_selected", _edge_sql(LOG_USER, _WORK))(lambda s, d: _round(mining.edges(fx.log_user(s, d), CAL, small=0), *_EDGE))
+
+
+def _halves(s, d):
+    """Two batches of the log, one after the other, summarised apart and merged."""
+    log = fx.log_user(s, d)
+    return incremental.merge(*(incremental.summarize(log.where(f"ts {side} TIMESTAMP_NTZ'2024-01-15 12:00:00'")) for side in ("<", ">=")))
+
+
+_query("dfg_edges_merged", _edge_sql(LOG_USER, _WALL))(lambda s, d: _round(incremental.graph(_halves(s, d)), *_EDGE))
+_query("dfg_start_end_merged", f"WITH {LOG_USER}, {ORDERED} SELECT activity, sum((pos = 1)::INT)::BIGINT AS starts, sum((next_activity IS NULL)::INT)::BIGINT AS ends FROM o WHERE pos = 1 OR next_activity IS NULL GROUP BY 1")(
+    lambda s, d: incremental.start_end(_halves(s, d)))
 _query("dfg_filtered", _edge_sql(LOG_SESSION, _WALL, " HAVING count(*) >= 100"))(lambda s, d: _round(mining.edges(fx.log_session(s, d), least=100), *_EDGE))
 _query("dfg_self_loops", _edge_sql(LOG_USER, _WALL, " HAVING source = target"))(lambda s, d: _round(mining.self_loops(mining.edges(fx.log_user(s, d))), *_EDGE))
 _query("dfg_successors", f"WITH {LOG_SESSION}, {ORDERED} SELECT DISTINCT next_activity AS target FROM o WHERE activity = 'view' AND next_activity IS NOT NULL")(lambda s, d: mining.successors(mining.edges(fx.log_session(s, d)), "view"))
@@ -290,10 +301,31 @@ SELECT sum(d1)::DOUBLE AS observed, round(sum(d * r1 / r), 6) AS expected, round
     lambda s, d: _round(survival.logrank_core(fx.observations(s, d), "urgent"), "expected", "variance"))
 
 
-@_query("logrank_p")
+#: Upper tail of chi-square with one degree of freedom at x: a series for erf.
+_TAIL = "(CASE WHEN {x} <= 0 THEN 1 ELSE greatest(0, 1 - 2 / sqrt(pi()) * exp(-{x} / 2) * list_sum([exp(2 * k * ln(2) + (2 * k + 1) * ln(sqrt({x} / 2)) - lgamma(2 * k + 2) + lgamma(k + 1)) FOR k IN generate_series(0, 200)])) END)"
+
+
+@_query("logrank_by_nation", f"""WITH {OBS}, s AS (SELECT obs.*, c_nationkey AS nation FROM obs JOIN orders ON o_orderkey::VARCHAR = case_id JOIN customer ON c_custkey = o_custkey),
+a AS (SELECT nation, duration AS time, count(*) AS n, sum(urgent) AS n1, sum(event) AS d, sum(event * urgent) AS d1 FROM s GROUP BY 1, 2),
+b AS (SELECT *, (sum(n) OVER w)::DOUBLE AS r, (sum(n1) OVER w)::DOUBLE AS r1 FROM a WINDOW w AS (PARTITION BY nation ORDER BY time DESC ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT nation, coalesce(sum(d1) FILTER (d > 0 AND r > 1), 0)::DOUBLE AS observed, coalesce(sum(d * r1 / r) FILTER (d > 0 AND r > 1), 0) AS expected, coalesce(sum(d * (r1 / r) * (1 - r1 / r) * (r - d) / (r - 1)) FILTER (d > 0 AND r > 1), 0) AS variance FROM b GROUP BY 1),
+u AS (SELECT *, CASE WHEN variance > 0 THEN (observed - expected) ** 2 / variance ELSE 0 END AS statistic FROM t)
+SELECT nation, observed, round(expected, 6) AS expected, round(variance, 6) AS variance, round(statistic, 6) AS statistic, round({_TAIL.format(x="statistic")}, 6) AS p_value FROM u""")
+def _logrank_by(s, d):
+    who = fx.table(s, d, "orders").join(fx.table(s, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").cast("string").alias("case_id"), F.col("c_nationkey").alias("nation"))
+    return _round(survival.logrank_by(fx.observations(s, d).join(who, "case_id"), "nation", "urgent", rows=2000), "expected", "variance", "statistic", "p_value")
+
+
+_LOGRANK = f"""WITH {OBS}, a AS (SELECT duration AS time, count(*) AS n, sum(urgent) AS n1, sum(event) AS d, sum(event * urgent) AS d1 FROM obs GROUP BY 1),
+b AS (SELECT *, (sum(n) OVER w)::DOUBLE AS r, (sum(n1) OVER w)::DOUBLE AS r1 FROM a WINDOW w AS (ORDER BY time DESC ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT (sum(d1) - sum(d * r1 / r)) ** 2 / sum(d * (r1 / r) * (1 - r1 / r) * (r - d) / (r - 1)) AS x FROM b WHERE d > 0 AND r > 1)
+SELECT round(x, 6) AS statistic, round({_TAIL.format(x="x")}, 6) AS p_value FROM t"""
+
+
+@_query("logrank_p", _LOGRANK)
 def _logrank(s, d):
     r = survival.logrank(fx.observations(s, d), "urgent")
-    return s.createDataFrame([(r.statistic, r.p_value)], "statistic double, p_value double")
+    return _round(s.createDataFrame([(r.statistic, r.p_value)], "statistic double, p_value double"), "statistic", "p_value")
 
 
 _query("upper_median", f"WITH {CASES} SELECT (list(duration_hours ORDER BY duration_hours))[count(*) // 2 + 1] AS upper_median FROM cases WHERE resolved")(lambda s, d: survival.upper_median(fx.order_cases(s, d).where("resolved"), "duration_hours"))

@@ -81,6 +81,57 @@ def chi2_sf(x: float, df: int) -> float:
     return min(1.0, max(0.0, q))
 
 
+def _upper_gamma(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised upper incomplete gamma Q(a, x), elementwise: the power series below a + 1, a continued fraction above."""
+    a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
+    out = np.ones(x.shape)
+    kinds, which = np.unique(a, return_inverse=True)
+    log_gamma = np.array([math.lgamma(k) for k in kinds])[which].reshape(a.shape)
+    with np.errstate(all="ignore"):
+        front = np.exp(a * np.log(x) - x - log_gamma)
+        low = (x > 0) & (x < a + 1)
+        if low.any():
+            b, y = a[low], x[low]
+            term = total = 1 / b
+            for n in range(1, 10_000):
+                term = term * y / (b + n)
+                total = total + term
+                if (term <= total * 1e-17).all():
+                    break
+            out[low] = 1 - front[low] * total
+        high = (x >= a + 1) & np.isfinite(x)
+        if high.any():
+            b, y = a[high], x[high]
+            p, q = y + 1 - b, np.full(y.shape, 1e300)
+            d = 1 / p
+            h = d
+            for n in range(1, 10_000):
+                k = n * (b - n)
+                p = p + 2
+                d = 1 / (p + k * d)
+                q = p + k / q
+                h = h * d * q
+                if (np.abs(d * q - 1) < 1e-16).all():
+                    break
+            out[high] = front[high] * h
+        out[x == np.inf] = 0.0
+    return np.clip(out, 0.0, 1.0)
+
+
+def chi2_sf_column(x, df):
+    """Column form of chi2_sf, by Arrow batches; df a column or a number. Null where either is null or df is below 1."""
+    from pyspark.sql import functions as F
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, df: pd.Series) -> pd.Series:
+        ok = x.notna() & (df >= 1)
+        out = pd.Series(np.nan, index=x.index)
+        out[ok] = _upper_gamma(df[ok].to_numpy(float) / 2, x[ok].to_numpy(float) / 2)
+        return out.where(ok, None).astype("Float64") if not ok.all() else out
+
+    return run(x, df if not isinstance(df, (int, float)) else F.lit(float(df)))
+
+
 def solve(matrix, right) -> np.ndarray:
     """Solution of a linear system; ValueError when it is singular to working precision."""
     a = np.array(matrix, float)

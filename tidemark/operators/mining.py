@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import quantiles
+from ..functions.ordered import lay_out
 from ..functions.shared import cut
 from ..functions.worktime import WorkCalendar
 from .eventlog import ordered, traces, wall_hours
@@ -85,20 +86,15 @@ def variant_cases(events: DataFrame) -> DataFrame:
     return traces(events).select("trace", "case_id")
 
 
-def variant_coverage(events: DataFrame) -> DataFrame:
+def variant_coverage(events: DataFrame, rows: int | None = None) -> DataFrame:
     """rank, trace, count, coverage: share of cases in this variant and the more frequent ones.
 
-    Variants are ordered within (count, first two activities), and these groups among themselves, so the many
-    variants of one case each don't meet in one task."""
-    v = traces(events).groupBy("trace").agg(F.count("*").alias("count")).withColumns({"_a": F.get("trace", F.lit(0)), "_b": F.get("trace", F.lit(1))})
-    key = ["count", "_a", "_b"]
-    groups = v.groupBy(*key).agg(F.count("*").alias("_n"))
-    side = Window.orderBy(F.col("count").desc(), F.col("_a").asc_nulls_first(), F.col("_b").asc_nulls_first())
-    back = side.rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.select(F.col("count").alias("_c"), F.col("_a").alias("_x"), F.col("_b").alias("_y"), F.coalesce(F.sum("_n").over(back), F.lit(0)).alias("_rank"), F.coalesce(F.sum(F.col("_n") * F.col("count")).over(back), F.lit(0)).alias("_upto"), F.sum(F.col("_n") * F.col("count")).over(Window.partitionBy()).alias("_all"))
-    v = v.join(groups, (F.col("count") == F.col("_c")) & F.col("_a").eqNullSafe(F.col("_x")) & F.col("_b").eqNullSafe(F.col("_y")))
-    place = F.row_number().over(Window.partitionBy(*key).orderBy("trace"))
-    return v.select((F.col("_rank") + place).cast("int").alias("rank"), "trace", "count", ((F.col("_upto") + place * F.col("count")) / F.col("_all")).alias("coverage"))
+    Variants lie in ranges of (falling count, trace), cut inside equal counts and common starts alike, so very many
+    variants of one case each are as any others; rows: of a range."""
+    v = traces(events).groupBy("trace").agg(F.count("*").alias("count")).withColumn("_o", F.struct((-F.col("count")).alias("c"), "trace"))
+    at = lay_out(v, "_o", rows).running({"rank": F.lit(1), "_upto": F.col("count")})
+    total = at.frame.agg(F.sum("count")).first()[0] or 0
+    return at.frame.select(F.col("rank").cast("int").alias("rank"), "trace", "count", (F.col("_upto") / float(total or 1)).alias("coverage"))
 
 
 def activity_statistics(events: DataFrame, cases: DataFrame | None = None, exact: bool = True, small: int | None = None) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordered import Layout, cumulative, lay_out
-from ..functions.stats import chi2_sf
+from ..functions.stats import chi2_sf, chi2_sf_column
+from ..plans.workers import reachable
 
 Z95 = 1.959963984540054
 
@@ -107,6 +108,26 @@ def logrank_core(obs: DataFrame, group: str, duration: str = "duration", event:
     return t.agg(F.sum("d1").cast("double").alias("observed"), F.sum(d * r1 / r).alias("expected"), F.sum(d * (r1 / r) * (1 - r1 / r) * (r - d) / (r - 1)).alias("variance"))
 
 
+def logrank_by(obs: DataFrame, by: str, group: str, duration: str = "duration", event: str = "event", rows: int | None = None) -> DataFrame:
+    """by, observed, expected, variance, statistic, p_value: one log-rank test in each stratum of `by`, in one job.
+
+    All strata share one layout of (stratum, duration), so a stratum of any size lies over several ranges."""
+    reachable(obs.sparkSession)
+    g = F.col(group).cast("int")
+    t = obs.groupBy(F.col(by).alias("by"), F.col(duration).cast("double").alias("time")).agg(
+        F.count("*").alias("n"), F.sum(g).cast("long").alias("n1"), F.sum(F.col(event).cast("long")).alias("d"), F.sum(F.col(event).cast("long") * g).alias("d1"),
+    ).withColumn("_o", F.struct("by", "time"))
+    at = lay_out(t, "_o", rows).running({"_r": F.col("n"), "_r1": F.col("n1")}, descending=True).plain()
+    # what strata after this one add to its running sums
+    after = at.groupBy(F.col("by").alias("_by")).agg(F.min(F.col("_r") - F.col("n")).alias("_a"), F.min(F.col("_r1") - F.col("n1")).alias("_a1"))
+    at = at.join(after, F.col("by").eqNullSafe(F.col("_by"))).withColumns({"r": (F.col("_r") - F.col("_a")).cast("double"), "r1": F.col("_r1") - F.col("_a1")})
+    r, r1, d, open_ = F.col("r"), F.col("r1"), F.col("d"), (F.col("d") > 0) & (F.col("r") > 1)
+    own = lambda x: F.coalesce(F.sum(F.when(open_, x)), F.lit(0.0))
+    got = at.groupBy("by").agg(own(F.col("d1").cast("double")).alias("observed"), own(d * r1 / r).alias("expected"), own(d * (r1 / r) * (1 - r1 / r) * (r - d) / (r - 1)).alias("variance"))
+    got = got.withColumn("statistic", F.when(F.col("variance") > 0, F.pow(F.col("observed") - F.col("expected"), 2) / F.col("variance")).otherwise(0.0))
+    return got.withColumn("p_value", chi2_sf_column("statistic", 1)).withColumnRenamed("by", by)
+
+
 @dataclass
 class LogRank:
     statistic: float
