@@ -211,3 +211,16 @@ def test_csv_records_over_splits(spark, tmp_path):
     norm = lambda rows: [tuple(x.replace("\r\n", "\n") for x in r) for r in rows]
     assert len(rows) == 600 and norm(rows) == norm(want)
     assert len({r.seq for r in got.select("seq").collect()}) == 600
+
+
+def test_model_lookups(spark):
+    from tidemark.plans.sample_model import sample
+
+    m = sample(spark)
+    first = m["measures"].orderBy("ordinal").first()
+    assert tabular.table(m, first.table.upper()).first().table == first.table and tabular.table(m, "no such table").count() == 0
+    assert [r.ordinal for r in tabular.measures(m).collect()] == sorted(r.ordinal for r in m["measures"].collect())
+    assert {r.table for r in tabular.columns(m, first.table.lower()).collect()} == {first.table}
+    assert first.name.lower() in {r.name for r in tabular.measure_names(m).collect()}
+    assert tabular.column_names(m).count() <= m["columns"].count()
+    assert tabular.auto_date_tables(m).count() == m["tables"].where("auto_date").count()
