@@ -37,6 +37,9 @@ def _hit(test: Column, detail: Column, at: Column | int = 0) -> Column:
     return F.when(test, F.struct(detail.alias("detail"), at.cast("int").alias("at")))
 
 
+# The rules' codes and the texts of their details below, and the default control set.
+
+
 class Rule:
     """A rule whose mark() is a column over the log in order."""
 

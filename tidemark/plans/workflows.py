@@ -104,6 +104,7 @@ def payload(events: DataFrame, cases: DataFrame, model: dict | None, numeric=("c
         meta.append({"name": n, "binary": not kinds, "min": math.floor(low * 100) / 100, "max": math.ceil(high * 100) / 100, "mean": _r(mid, 2)})
     done = cases.where("resolved").agg(F.count("*"), F.avg(F.when(eventlog.breached(), 1.0).otherwise(0.0))).first()
     found = lint_model(model) if model else []
+    # The keys and their order, which readers of the file know.
     return {
         "generated": dt.date.today().isoformat(),
         "summary": {"cases": t["cases"], "events": events.count(), "resolved": done[0], "open": t["open"], "breachRate": _r(done[1], 4)},
