@@ -316,6 +316,10 @@ def test_concordance_blocks_equal_all_pairs(spark):
         obs = spark.createDataFrame([(float(g.randrange(times)), g.randrange(2), round(g.gauss(0, 1), 1)) for _ in range(n)], "duration double, event int, risk double")
         want = concordance.by_join(obs).first()
         assert [concordance.by_blocks(obs, rows=r).first() for r in (None, 7, 50)] == [want] * 3
+    # one duration and one risk hold most cases
+    rows = [(5.0 if g.random() < 0.6 else float(g.randrange(12)), g.randrange(2), 1.0 if g.random() < 0.4 else g.gauss(0, 1)) for _ in range(300)]
+    obs = spark.createDataFrame(rows, "duration double, event int, risk double")
+    assert [concordance.by_blocks(obs, rows=r).first() for r in (10, 60)] == [concordance.by_join(obs).first()] * 2
     # unrounded risks in a narrow band
     rows = [(float(g.randrange(300)), g.randrange(2), g.gauss(0, 1e-3)) for _ in range(2000)]
     obs = spark.createDataFrame(rows, "duration double, event int, risk double")

@@ -1,16 +1,16 @@
 """Harrell's concordance index, exact, on blocks of even size.
 
-Pairs (i, j) compare when i has an event and j lasted longer, or as long without an event. Cases are numbered
-by falling duration in classes: those of one duration without an event come before those with one, so that i
-compares with exactly the cases of smaller class. Classes are cut into slices of even size. A pair lies
+Pairs (i, j) compare when i has an event and j lasted longer, or as long without an event. Durations are numbered
+from the longest down and cut into slices of even size; one that fills a slice has one for itself. A pair lies
 
+- at one duration: running sums over (duration, risk), laid out by ranges, count these;
 - in one slice: each slice's cases are counted by themselves, in order of risk;
 - or in two: dealt by ranges of risk, each range counts its own pairs of different slices, and for the risks
   below it one vector of cases a slice is enough, the sum of the ranges' before.
 
-So each case moves twice, whatever the durations and risks; no two cases are matched, and the driver holds one
-number a slice and range. Within a task pairs are counted by running sums over risk, bit by bit of the slice or
-class number.
+So each case moves three times, whatever the durations and risks, and no duration or risk is hot; no two cases
+are matched, and the driver holds one number a slice and range. Within a task pairs are counted by running sums
+over risk, bit by bit of the slice's or duration's number.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordered import lay_out
+from ..functions.shared import cut, drop
 from ..plans.workers import reachable
 
 #: Cases of a slice or range, and slices at most (each range keeps a vector of so many numbers).
@@ -121,33 +122,45 @@ def _across(slices: int, lower: dict):
     return run
 
 
+def _same_duration(g: DataFrame, rows: int) -> int:
+    """Twice the concordant pairs of an event and a case of the same duration without one."""
+    one = g.groupBy("t", "r").agg(F.sum(F.col("n") * (1 - F.col("e"))).alias("open"), F.sum(F.col("n") * F.col("e")).alias("ended")).withColumn("_o", F.struct("t", "r"))
+    at = lay_out(one, "_o", rows).running({"upto": F.col("open")}).plain()
+    before = at.groupBy(F.col("t").alias("_t")).agg(F.min(F.col("upto") - F.col("open")).alias("before"))
+    at = at.where("ended > 0").join(before, F.col("t") == F.col("_t"))
+    return at.agg(F.sum(F.col("ended") * (2 * (F.col("upto") - F.col("open") - F.col("before")) + F.col("open")))).first()[0] or 0
+
+
 def by_blocks(obs: DataFrame, duration: str = "duration", event: str = "event", risk: str = "risk", rows: int | None = None) -> DataFrame:
     """One row: concordant (ties count a half), pairs, c_index."""
     spark, rows = obs.sparkSession, rows or ROWS
     reachable(spark)
-    g = _grouped(obs, duration, event, risk)
+    g = cut(_grouped(obs, duration, event, risk))
     at = lay_out(g.groupBy("t").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("e")).alias("d")), "t")
-    # classes by falling duration, censored before events; the cases of smaller class compare with an event
-    at = at.running({"place": F.lit(1)}, descending=True).running({"upto": F.col("size")}, descending=True)
-    cases = at.frame.agg(F.sum("size")).first()[0] or 0
+    # from the longest down; an event compares with all cases so far but the events of its own duration
+    at = at.running({"place": F.lit(1), "upto": F.col("size")}, descending=True)
+    cases, pairs = at.frame.agg(F.sum("size"), F.sum((F.col("upto") - F.col("d")) * F.col("d"))).first()
+    cases, pairs = cases or 0, pairs or 0
     each = max(rows, -(-cases // SLICES))
-    pairs = at.frame.agg(F.sum((F.col("upto") - F.col("d")) * F.col("d"))).first()[0] or 0
-    slices = cases // each + 1
-    # a slice holds whole durations
-    times = at.frame.select(F.col("t").alias("_t"), "place", F.floor((F.col("upto") - 1) / each).cast("int").alias("cut"))
-    d = g.join(times, F.col("t") == F.col("_t")).select("cut", (2 * F.col("place") + F.col("e")).alias("level"), "r", "n", "e")
-    inside = d.groupBy("cut").applyInArrow(_within, _SHAPE)
-    if slices > 1:
+    # a slice holds whole durations; of those that end in the same one, one as large as a slice comes first
+    slices = 2 * (cases // each + 1)
+    own = 2 * F.floor((F.col("upto") - 1) / each).cast("int") + F.when(F.col("size") >= each, 0).otherwise(1)
+    times = at.frame.select(F.col("t").alias("_t"), "place", own.alias("cut"))
+    d = g.join(times, F.col("t") == F.col("_t")).select("cut", F.col("place").alias("level"), "r", "n", "e")
+    inside = d.where("cut % 2 = 1").groupBy("cut").applyInArrow(_within, _SHAPE)
+    ranged = None
+    if slices > 2:
         n = d.groupBy("cut", "r", "e").agg(F.sum("n").alias("n")).select("cut", "r", "n", "e")
-        ranged = n.repartitionByRange(max(1, -(-cases // rows)), "r").withColumn("part", F.spark_partition_id()).persist()
+        ranged = cut(n.repartitionByRange(max(1, -(-cases // rows)), "r").withColumn("part", F.spark_partition_id()))
         got = {r.part: np.frombuffer(r.sizes, np.int64) for r in ranged.mapInArrow(_sizes(slices), "part int, sizes binary").collect()}
         lower, upto = {}, np.zeros(slices, np.int64)
         for part in sorted(got):
             lower[part], upto = upto, upto + got[part]
         inside = inside.union(ranged.mapInArrow(_across(slices, lower), _SHAPE))
-    twice = inside.agg(F.sum("twice")).first()[0] or 0
-    if slices > 1:
-        ranged.unpersist()
+    twice = (inside.agg(F.sum("twice")).first()[0] or 0) + _same_duration(g, rows)
+    for t in (g, ranged):
+        if t is not None:
+            drop(t)
     return _share(spark.createDataFrame([(twice / 2, int(pairs))], "concordant double, pairs long"))
 
 

@@ -12,16 +12,16 @@ from ..functions.worktime import WorkCalendar
 from .eventlog import ordered, traces, wall_hours
 
 
-def _with_quantiles(rows: DataFrame, keys: list[str], aggregates: list[Column], small: int | None, exact: bool) -> DataFrame:
+def _with_quantiles(events: DataFrame, rows: DataFrame, keys: list[str], aggregates: list[Column], small: int | None, exact: bool) -> DataFrame:
     """Groups of rows with aggregates, and median_hours and p90_hours of the column hours (type 7).
 
-    Exact by one buffer a group where there are at most `small` rows, by selection over grouped counts beyond;
-    exact=False: a sketch."""
+    Exact by one buffer a group where there are at most `small` events (no more rows come of them), by selection
+    over grouped counts beyond; exact=False: a sketch."""
     qs, names = (0.5, 0.9), ("median_hours", "p90_hours")
     small = quantiles.SMALL if small is None else small
     if not exact:
         return rows.groupBy(*keys).agg(*aggregates, *[F.percentile_approx("hours", q, 100_000).alias(n) for q, n in zip(qs, names)])
-    if small and rows.count() <= small:
+    if small and events.count() <= small:
         return rows.groupBy(*keys).agg(*aggregates, *[F.percentile("hours", q).alias(n) for q, n in zip(qs, names)])
     rows = cut(rows)
     got = quantiles.exact_quantiles(rows, keys, "hours", qs).withColumnsRenamed({"q0": names[0], "q1": names[1]})
@@ -46,7 +46,7 @@ def steps(events: DataFrame, calendar: WorkCalendar | None = None) -> DataFrame:
 def edges(events: DataFrame, calendar: WorkCalendar | None = None, least: int = 1, exact: bool = True, small: int | None = None) -> DataFrame:
     """Directly-follows edges: frequency, total, mean, median and p90 hours; at least `least` times."""
     stats = [F.count("*").alias("frequency"), F.sum("hours").alias("total_hours"), F.avg("hours").alias("mean_hours")]
-    got = _with_quantiles(steps(events, calendar), ["source", "target"], stats, small, exact)
+    got = _with_quantiles(events, steps(events, calendar), ["source", "target"], stats, small, exact)
     return got.where(F.col("frequency") >= least) if least > 1 else got
 
 
@@ -108,7 +108,7 @@ def activity_statistics(events: DataFrame, cases: DataFrame | None = None, exact
     o = o.select("activity", "hours", first.alias("first"))
     nought = lambda c: F.coalesce(c, F.lit(0.0))
     stats = [F.count("*").alias("occurrences"), F.sum(F.col("first").cast("long")).alias("cases"), nought(F.avg("hours")).alias("mean_hours"), nought(F.sum("hours")).alias("total_hours")]
-    got = _with_quantiles(o, ["activity"], stats, small, exact)
+    got = _with_quantiles(events, o, ["activity"], stats, small, exact)
     got = got.withColumns({c: nought(F.col(c)) for c in ("median_hours", "p90_hours")})
     return got.select("activity", "occurrences", "cases", "mean_hours", "median_hours", "p90_hours", "total_hours").orderBy("activity")
 
