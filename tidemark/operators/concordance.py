@@ -142,25 +142,26 @@ def by_blocks(obs: DataFrame, duration: str = "duration", event: str = "event",
     cases, pairs = at.frame.agg(F.sum("size"), F.sum((F.col("upto") - F.col("d")) * F.col("d"))).first()
     cases, pairs = cases or 0, pairs or 0
     each = max(rows, -(-cases // SLICES))
+    if cases <= each:  # one slice, in which cases without an event come before those with one of the same duration
+        d = g.join(at.frame.select(F.col("t").alias("_t"), "place"), F.col("t") == F.col("_t")).select(F.lit(1).alias("cut"), (2 * F.col("place") + F.col("e")).alias("level"), "r", "n", "e")
+        twice = d.groupBy("cut").applyInArrow(_within, _SHAPE).agg(F.sum("twice")).first()[0] or 0
+        drop(g)
+        return _share(spark.createDataFrame([(twice / 2, int(pairs))], "concordant double, pairs long"))
     # a slice holds whole durations; of those that end in the same one, one as large as a slice comes first
     slices = 2 * (cases // each + 1)
     own = 2 * F.floor((F.col("upto") - 1) / each).cast("int") + F.when(F.col("size") >= each, 0).otherwise(1)
     times = at.frame.select(F.col("t").alias("_t"), "place", own.alias("cut"))
     d = g.join(times, F.col("t") == F.col("_t")).select("cut", F.col("place").alias("level"), "r", "n", "e")
     inside = d.where("cut % 2 = 1").groupBy("cut").applyInArrow(_within, _SHAPE)
-    ranged = None
-    if slices > 2:
-        n = d.groupBy("cut", "r", "e").agg(F.sum("n").alias("n")).select("cut", "r", "n", "e")
-        ranged = cut(n.repartitionByRange(max(1, -(-cases // rows)), "r").withColumn("part", F.spark_partition_id()))
-        got = {r.part: np.frombuffer(r.sizes, np.int64) for r in ranged.mapInArrow(_sizes(slices), "part int, sizes binary").collect()}
-        lower, upto = {}, np.zeros(slices, np.int64)
-        for part in sorted(got):
-            lower[part], upto = upto, upto + got[part]
-        inside = inside.union(ranged.mapInArrow(_across(slices, lower), _SHAPE))
+    n = d.groupBy("cut", "r", "e").agg(F.sum("n").alias("n")).select("cut", "r", "n", "e")
+    ranged = cut(n.repartitionByRange(-(-cases // rows), "r").withColumn("part", F.spark_partition_id()))
+    got = {r.part: np.frombuffer(r.sizes, np.int64) for r in ranged.mapInArrow(_sizes(slices), "part int, sizes binary").collect()}
+    lower, upto = {}, np.zeros(slices, np.int64)
+    for part in sorted(got):
+        lower[part], upto = upto, upto + got[part]
+    inside = inside.union(ranged.mapInArrow(_across(slices, lower), _SHAPE))
     twice = (inside.agg(F.sum("twice")).first()[0] or 0) + _same_duration(g, rows)
-    for t in (g, ranged):
-        if t is not None:
-            drop(t)
+    drop(g), drop(ranged)
     return _share(spark.createDataFrame([(twice / 2, int(pairs))], "concordant double, pairs long"))
 
 
