@@ -14,7 +14,7 @@ def checkpoint_dir(spark: SparkSession) -> None:
         return
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = tempfile.mkdtemp(prefix="tidemark-")
     sc.setCheckpointDir(got)
