@@ -100,7 +100,7 @@ def test_inclusion_follows_odds(spark):
 
 
 def test_mix_sample_against_plain_sampling(spark):
-    """The drawn sample equals Pareto order sampling done plainly: ranks by odds, taken while that comes closer."""
+    """The drawn sample equals Pareto order sampling done plainly: ranks by odds, taken in turns of what fits, whatever the buckets."""
     g = random.Random(21)
     texts = ["w " * g.choice([5, 40, 150, 200, 300]) for _ in range(400)]
     df = frame(spark, texts, source=["abc"[i % 3] if i % 2 else "a" for i in range(400)])
@@ -123,14 +123,24 @@ def test_mix_sample_against_plain_sampling(spark):
         p = {i: want[i] - whole[i] for i in want}
         room = own[0].target - sum(whole[r.doc_id] * r.size for r in own)
         copies = dict(whole)
-        for i in sorted((i for i in p if p[i] > 1e-9), key=lambda i: u[i] / (1 - u[i]) / (p[i] / (1 - p[i]))):
-            if got[i].size < 2 * room:
+        order = sorted((i for i in p if p[i] > 1e-9), key=lambda i: (u[i] / (1 - u[i]) / (p[i] / (1 - p[i])), i))
+        last = None
+        for _ in range(4):  # turns
+            fitting, last = [i for i in order if got[i].size <= room], None
+            for i in fitting:
+                if got[i].size > room:
+                    last = i
+                    break
                 copies[i] += 1
                 room -= got[i].size
-            elif room <= 0:
+            if last is None:
                 break
-        off = [i for i in copies if copies[i] != got[i].copies]
-        assert len(off) <= 6, (source, len(off))  # the plain walk goes on past the bucket in which the sample ends
+            order = order[order.index(last) + 1 :]
+        if last is not None and got[last].size < 2 * room:
+            copies[last] += 1
+        assert copies == {i: got[i].copies for i in copies}, source
+    for rows in (32, 1024):  # buckets are a matter of effort alone
+        assert {r.doc_id: r.copies for r in mixing.mix_documents(df, bucket_rows=rows).collect()} == {i: r.copies for i, r in got.items()}
 
 
 def test_mix_null_and_repeated_ids(spark):

@@ -5,12 +5,14 @@ reshared by weight. Within a source, a document's expected copies are c * m, sto
 m = min(1, (1 + log2 class of its size) / 8), so that scraps of a few words are included less often,
 and c meets the target. Whole copies (the integer part) are certain. The rest is a Pareto order
 sample: with inclusion probability p (the fraction left) and a uniform number u from a seeded hash of
-doc_id, documents are ranked by (u / (1 - u)) / (p / (1 - p)), and taken in that order while the
-next whole document brings the source's words closer to its target: a sample of fixed size in words.
+doc_id, documents are ranked by (u / (1 - u)) / (p / (1 - p)), and taken in that order until one exceeds
+the words left; what is left is filled in the same way from later documents that are no larger, in at
+most `turns` turns in all, and the last one that does not fit is taken if that comes closer to the
+target: a sample of fixed size in words.
 
 Scale: documents are read once, into a narrow table. Ranks are never sorted per source: a rank is a
 number of 60 bits, and level by level its next 3 bits deal a source's documents into 8 buckets, whose
-running sums find the one in which the sample ends, until that one holds at most `bucket_rows`; only it
+running sums find the one in which a turn ends, until that one holds at most `bucket_rows`; only it
 is walked in order. So neither a hot source nor crowded ranks reach one task. Tables by source or class
 are small (a row a source, eight a source) and joined with hints left to the planner.
 
@@ -47,7 +49,52 @@ def _size():
     return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: int = 3, seed: int = 7, bucket_rows: int = 1024):
+def _place(rank):
+    """A row's place in the order of ranks; rows alike in doc_id, source and size have one place."""
+    return F.struct(rank.alias("q"), F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("size").cast("long").alias("size"))
+
+
+def _ends(ranks: DataFrame, rooms: DataFrame, turns: int, bucket_rows: int) -> DataFrame:
+    """Where each source's sample ends: _es, runs (low, high, room: rows between these places of at most room words
+    are taken), hit (one more place, or null).
+
+    A turn takes, after the place where the last one ended, the documents of at most the room's words in rank order
+    until one does not fit. After the last turn that one is taken if it brings the words closer to the target.
+    `bucket_rows` says only when the search stops refining buckets and walks; it changes no result.
+    """
+    none = lambda q: F.struct(F.lit(q).cast("long").alias("q"), F.lit(False).alias("known"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("size"))
+    shape = "array<struct<low:struct<q:bigint,known:boolean,doc_id:bigint,size:bigint>,high:struct<q:bigint,known:boolean,doc_id:bigint,size:bigint>,room:double>>"
+    state = rooms.select(F.col("_s").alias("_es"), F.col("room").cast("double").alias("room"), none(-1).alias("low"), F.expr(f"cast(array() as {shape})").alias("runs"), F.lit(0).cast("long").alias("words"), F.lit(True).alias("live"))
+    at = F.expr("shiftright(at.q, below)")
+    for _ in range(turns):
+        live = state.where("live").select("_es", "room", "low")
+        rows = ranks.join(live, F.col("_s").eqNullSafe(F.col("_es")) & (F.col("at") > F.col("low")) & (F.col("size") <= F.col("room"))).select("_s", "size", "at", "room")
+        cut = rows.groupBy("_s").agg(F.sum("size").alias("words"), F.max("room").alias("left"), F.count("*").alias("n")).where("words > left")
+        cut = materialize(cut.select(F.col("_s").alias("_cs"), F.lit(0).cast("long").alias("cut"), F.lit(60).alias("below"), "left", "n"), "mix-cuts")
+        while not cut.where((F.col("n") > bucket_rows) & (F.col("below") > 0)).isEmpty():
+            wide = (F.col("n") > bucket_rows) & (F.col("below") > 0)
+            here = rows.join(cut.where(wide), F.col("_s").eqNullSafe(F.col("_cs")) & (at == F.col("cut")))
+            sums = here.groupBy("_s", (F.col("below") - 3).alias("below"), F.expr("shiftright(at.q, below - 3)").alias("b")).agg(F.sum("size").alias("words"), F.max("left").alias("left"), F.count("*").alias("n"))
+            before = F.coalesce(F.sum("words").over(Window.partitionBy("_s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            sums = sums.withColumn("before", before).where((F.col("before") <= F.col("left")) & (F.col("before") + F.col("words") > F.col("left")))
+            finer = sums.select(F.col("_s").alias("_cs"), F.col("b").alias("cut"), "below", (F.col("left") - F.col("before")).alias("left"), "n")
+            old, cut = cut, materialize(cut.where(~wide).union(finer), "mix-cuts")
+            discard(old)
+        units = rows.join(cut, F.col("_s").eqNullSafe(F.col("_cs")) & (at == F.col("cut"))).groupBy("_s", "left", "at").agg(F.sum("size").alias("words"))
+        units = units.withColumn("sum", F.sum("words").over(Window.partitionBy("_s").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+        end = units.where("sum > left").groupBy("_s").agg(F.min(F.struct("at", "words", (F.col("left") - F.col("sum") + F.col("words")).alias("left"))).alias("e"))
+        x = state.join(end, F.col("_es").eqNullSafe(F.col("_s")), "left")
+        more = F.concat("runs", F.array(F.struct("low", F.coalesce("e.at", none(1 << 61)).alias("high"), "room")).cast(shape))
+        runs = F.when(F.col("live"), more).otherwise(F.col("runs")).alias("runs")
+        x = x.select("_es", F.coalesce("e.left", "room").alias("room"), F.coalesce("e.at", "low").alias("low"), runs, F.coalesce("e.words", F.lit(0)).alias("words"), F.col("e").isNotNull().alias("live"))
+        state = materialize(x, "mix-ends")
+        discard(cut)
+        if state.where("live").isEmpty():
+            break
+    return state.select("_es", "runs", F.when(F.col("live") & (F.col("words") < 2 * F.col("room")), F.col("low")).alias("hit"))
+
+
+def _plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: int = 3, seed: int = 7, turns: int = 4, bucket_rows: int = 1024):
     """(the narrow rows of docs, sources with their targets, and what adds `copies` to rows of doc_id, source, size)."""
     base = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size().alias("size")), "mix-sizes")
     kind = F.when(F.col("size") < 1, 0).otherwise(F.least(F.lit(8), F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)))) + 1)).cast("int")
@@ -74,42 +121,17 @@ def _plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: int = 3, s
     d = base.join(k, F.col("source").eqNullSafe(F.col("_s")) & (F.col("kind") == F.col("_kind")), "left")
     q = (u / (1 - u)) / (F.col("odds") / F.col("odds_max"))
     rank, k_rows = F.floor(q / (1 + q) * float(1 << 60)).cast("long"), k.count()
-    d = d.withColumn("q", F.when(F.col("odds") > 0, rank))
-    d = materialize(d.select("doc_id", "source", "size", "_s", "whole", "rest", "q"), "mix-ranks")
-    open_ = d.where("q IS NOT NULL")
-    at = F.expr("shiftright(q, below)")
-    cut = open_.groupBy("_s").agg(F.sum("size").alias("words"), F.max("rest").alias("room"), F.count("*").alias("n")).where("words > room")
-    cut = materialize(cut.select(F.col("_s").alias("_cs"), F.lit(0).cast("long").alias("cut"), F.lit(60).alias("below"), "room", "n"), "mix-cuts")
-    while not cut.where((F.col("n") > bucket_rows) & (F.col("below") > 0)).isEmpty():
-        wide = (F.col("n") > bucket_rows) & (F.col("below") > 0)
-        here = open_.join(cut.where(wide), F.col("_s").eqNullSafe(F.col("_cs")) & (at == F.col("cut")))
-        sums = here.groupBy("_s", (F.col("below") - 3).alias("below"), F.expr("shiftright(q, below - 3)").alias("b")).agg(F.sum("size").alias("words"), F.max("room").alias("room"), F.count("*").alias("n"))
-        before = F.coalesce(F.sum("words").over(Window.partitionBy("_s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        sums = sums.withColumn("before", before).where((F.col("before") <= F.col("room")) & (F.col("before") + F.col("words") > F.col("room")))
-        finer = sums.select(F.col("_s").alias("_cs"), F.col("b").alias("cut"), "below", (F.col("room") - F.col("before")).alias("room"), "n")
-        old, cut = cut, materialize(cut.where(~wide).union(finer), "mix-cuts")
-        discard(old)
-    ends = cut.select("_cs", "cut", "below", "room")
-    # walk the cut bucket in rank order: take a document when that brings the words closer to the target
-    units = open_.join(ends, F.col("_s").eqNullSafe(F.col("_cs")) & (at == F.col("cut")))
-    units = units.groupBy("_s", "room", "q", "doc_id", "size").agg((F.count("*") * F.col("size")).alias("words"))
-    walk = units.groupBy("_s", "room").agg(F.sort_array(F.collect_list(F.struct("q", "doc_id", "size", "words"))).alias("x"))
-    start = F.struct(F.col("room").cast("double").alias("room"), F.expr("cast(array() as array<struct<doc_id:bigint,size:bigint>>)").alias("got"))
-
-    def step(acc, x):
-        fits = x["words"] < 2 * acc["room"]
-        return F.struct(F.when(fits, acc["room"] - x["words"]).otherwise(acc["room"]).alias("room"), F.when(fits, F.concat(acc["got"], F.array(F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"))))).otherwise(acc["got"]).alias("got"))
-
-    taken = walk.select(F.col("_s").alias("_ts"), F.explode(F.aggregate("x", start, step)["got"]).alias("g")).select("_ts", F.col("g.doc_id").alias("_td"), F.col("g.size").alias("_tz"), F.lit(True).alias("hit"))
-    taken = materialize(taken, "mix-taken")  # a cut bucket a source at most
-    few = F.broadcast if taken.count() <= 200_000 and k_rows <= 200_000 else (lambda t: t)  # some 10 MB
+    ranks = materialize(d.where("odds > 0").select("_s", F.col("size"), _place(rank).alias("at")), "mix-ranks")
+    ends = _ends(ranks, k.where("odds > 0").groupBy("_s").agg(F.max("rest").alias("room")), turns, bucket_rows)
+    discard(ranks)
+    few = F.broadcast if k_rows <= 50_000 else (lambda t: t)  # some 20 MB with the ends
 
     def placed(rows: DataFrame) -> DataFrame:
         """rows (doc_id, source, size and others) with copies: whatever else they hold doesn't move while tables are few."""
         x = rows.withColumn("kind", kind).join(few(k), F.col("source").eqNullSafe(F.col("_s")) & (F.col("kind") == F.col("_kind")), "left")
-        x = x.withColumn("q", F.when(F.col("odds") > 0, rank)).join(few(ends), F.col("_s").eqNullSafe(F.col("_cs")), "left")
-        x = x.join(few(taken), F.col("_s").eqNullSafe(F.col("_ts")) & F.col("doc_id").eqNullSafe(F.col("_td")) & (F.col("size") == F.col("_tz")) & (at == F.col("cut")), "left")
-        extra = F.when(F.col("q").isNull(), F.lit(0)).when(F.col("cut").isNull() | (at < F.col("cut")) | F.col("hit"), F.lit(1)).otherwise(F.lit(0))
+        x = x.join(few(ends), F.col("source").eqNullSafe(F.col("_es")), "left").withColumn("at", F.when(F.col("odds") > 0, _place(rank)))
+        within = F.exists("runs", lambda r: (F.col("at") > r["low"]) & (F.col("at") < r["high"]) & (F.col("size") <= r["room"]))
+        extra = F.when(F.col("at").isNotNull() & (within | F.coalesce(F.col("at") == F.col("hit"), F.lit(False))), F.lit(1)).otherwise(F.lit(0))
         return x.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(F.lit(0)).cast("int"))
 
     return narrow, sources, placed
