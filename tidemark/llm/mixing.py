@@ -60,33 +60,47 @@ def _ends(ranks: DataFrame, rooms: DataFrame, turns: int, bucket_rows: int) -> D
 
     A turn takes, after the place where the last one ended, the documents of at most the room's words in rank order
     until one does not fit. After the last turn that one is taken if it brings the words closer to the target.
-    `bucket_rows` says only when the search stops refining buckets and walks; it changes no result.
+    A turn looks only as far beyond the last end as its room reaches. `bucket_rows` says when the search stops
+    refining buckets and walks; it changes no result.
     """
     none = lambda q: F.struct(F.lit(q).cast("long").alias("q"), F.lit(False).alias("known"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("size"))
     shape = "array<struct<low:struct<q:bigint,known:boolean,doc_id:bigint,size:bigint>,high:struct<q:bigint,known:boolean,doc_id:bigint,size:bigint>,room:double>>"
-    state = rooms.select(F.col("_s").alias("_es"), F.col("room").cast("double").alias("room"), none(-1).alias("low"), F.expr(f"cast(array() as {shape})").alias("runs"), F.lit(0).cast("long").alias("words"), F.lit(True).alias("live"))
-    at = F.expr("shiftright(at.q, below)")
+    state = rooms.select(F.col("_s").alias("_es"), F.col("room").cast("double").alias("room"), none(-1).alias("low"), F.lit(60).alias("below"), F.expr(f"cast(array() as {shape})").alias("runs"), F.lit(0).cast("long").alias("words"), F.lit(True).alias("live"))
+
+    def inside(cut):
+        """Rows of ranks in the range of 2 ** below ranks from `base`, after the last end, that fit the turn's room."""
+        near = F.col("_s").eqNullSafe(F.col("_cs")) & (F.expr("shiftright(at.q - base, below)") == 0) & (F.col("at.q") >= F.col("base"))
+        return ranks.join(cut, near & (F.col("at") > F.col("low")) & (F.col("size") <= F.col("room")))
+
+    per = ["_s", "base", "below", "low", "room"]
     for _ in range(turns):
-        live = state.where("live").select("_es", "room", "low")
-        rows = ranks.join(live, F.col("_s").eqNullSafe(F.col("_es")) & (F.col("at") > F.col("low")) & (F.col("size") <= F.col("room"))).select("_s", "size", "at", "room")
-        cut = rows.groupBy("_s").agg(F.sum("size").alias("words"), F.max("room").alias("left"), F.count("*").alias("n")).where("words > left")
-        cut = materialize(cut.select(F.col("_s").alias("_cs"), F.lit(0).cast("long").alias("cut"), F.lit(60).alias("below"), "left", "n"), "mix-cuts")
+        start = state.where("live").select(F.col("_es").alias("_cs"), F.greatest(F.col("low.q"), F.lit(0)).alias("base"), "below", "low", "room")
+        cut = None
+        while True:  # widen the range after the last end until it holds more than the room
+            sums = inside(start).groupBy(*per).agg(F.sum("size").alias("words"), F.count("*").alias("n")).select(F.col("_s").alias("_ws"), "words", "n")
+            wide = start.join(sums, F.col("_cs").eqNullSafe(F.col("_ws")), "left").withColumn("full", F.coalesce(F.col("words") > F.col("room"), F.lit(False)))
+            wide = materialize(wide.select("_cs", "base", "below", "low", "room", F.col("room").alias("left"), F.coalesce("n", F.lit(0)).alias("n"), "full"), "mix-cuts")
+            cut = wide.where("full") if cut is None else cut.union(wide.where("full"))
+            start = wide.where("NOT full AND below < 60").select("_cs", "base", F.least(F.col("below") + 3, F.lit(60)).alias("below"), "low", "room")
+            if start.isEmpty():
+                break
+        cut = materialize(cut.drop("full"), "mix-cuts")
         while not cut.where((F.col("n") > bucket_rows) & (F.col("below") > 0)).isEmpty():
-            wide = (F.col("n") > bucket_rows) & (F.col("below") > 0)
-            here = rows.join(cut.where(wide), F.col("_s").eqNullSafe(F.col("_cs")) & (at == F.col("cut")))
-            sums = here.groupBy("_s", (F.col("below") - 3).alias("below"), F.expr("shiftright(at.q, below - 3)").alias("b")).agg(F.sum("size").alias("words"), F.max("left").alias("left"), F.count("*").alias("n"))
+            big = (F.col("n") > bucket_rows) & (F.col("below") > 0)
+            deal = F.expr("shiftright(at.q - base, greatest(below - 3, 0))").alias("b")
+            sums = inside(cut.where(big)).groupBy(*per, "left", deal).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
             before = F.coalesce(F.sum("words").over(Window.partitionBy("_s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            sums = sums.withColumn("before", before).where((F.col("before") <= F.col("left")) & (F.col("before") + F.col("words") > F.col("left")))
-            finer = sums.select(F.col("_s").alias("_cs"), F.col("b").alias("cut"), "below", (F.col("left") - F.col("before")).alias("left"), "n")
-            old, cut = cut, materialize(cut.where(~wide).union(finer), "mix-cuts")
+            sums = sums.withColumn("before", before).where((F.col("before") <= F.col("left")) & (F.col("before") + F.col("words") > F.col("left"))).withColumn("finer", F.greatest(F.col("below") - 3, F.lit(0)))
+            finer = sums.select(F.col("_s").alias("_cs"), (F.col("base") + F.expr("shiftleft(b, finer)")).alias("base"), F.col("finer").alias("below"), "low", "room", (F.col("left") - F.col("before")).alias("left"), "n")
+            old, cut = cut, materialize(cut.where(~big).union(finer), "mix-cuts")
             discard(old)
-        units = rows.join(cut, F.col("_s").eqNullSafe(F.col("_cs")) & (at == F.col("cut"))).groupBy("_s", "left", "at").agg(F.sum("size").alias("words"))
+        units = inside(cut).groupBy("_s", "left", "below", "at").agg(F.sum("size").alias("words"))
         units = units.withColumn("sum", F.sum("words").over(Window.partitionBy("_s").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
-        end = units.where("sum > left").groupBy("_s").agg(F.min(F.struct("at", "words", (F.col("left") - F.col("sum") + F.col("words")).alias("left"))).alias("e"))
+        end = units.where("sum > left").groupBy("_s").agg(F.min(F.struct("at", "words", (F.col("left") - F.col("sum") + F.col("words")).alias("left"), "below")).alias("e"))
         x = state.join(end, F.col("_es").eqNullSafe(F.col("_s")), "left")
         more = F.concat("runs", F.array(F.struct("low", F.coalesce("e.at", none(1 << 61)).alias("high"), "room")).cast(shape))
         runs = F.when(F.col("live"), more).otherwise(F.col("runs")).alias("runs")
-        x = x.select("_es", F.coalesce("e.left", "room").alias("room"), F.coalesce("e.at", "low").alias("low"), runs, F.coalesce("e.words", F.lit(0)).alias("words"), F.col("e").isNotNull().alias("live"))
+        x = x.select("_es", F.coalesce("e.left", "room").alias("room"), F.coalesce("e.at", "low").alias("low"), F.coalesce("e.below", state["below"]).alias("below"), runs, F.coalesce("e.words", F.lit(0)).alias("words"), F.col("e").isNotNull().alias("live"))
         state = materialize(x, "mix-ends")
         discard(cut)
         if state.where("live").isEmpty():
@@ -120,7 +134,7 @@ def _plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: int = 3, s
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     d = base.join(k, F.col("source").eqNullSafe(F.col("_s")) & (F.col("kind") == F.col("_kind")), "left")
     q = (u / (1 - u)) / (F.col("odds") / F.col("odds_max"))
-    rank, k_rows = F.floor(q / (1 + q) * float(1 << 60)).cast("long"), k.count()
+    rank, k_rows = F.least(F.floor(q / (1 + q) * float(1 << 60)).cast("long"), F.lit((1 << 60) - 1)), k.count()
     ranks = materialize(d.where("odds > 0").select("_s", F.col("size"), _place(rank).alias("at")), "mix-ranks")
     ends = _ends(ranks, k.where("odds > 0").groupBy("_s").agg(F.max("rest").alias("room")), turns, bucket_rows)
     discard(ranks)
